@@ -29,4 +29,50 @@ select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(len(g)
 from d left join gone using (doc_id)
 """
 
-ORACLE = {"op1_decontamination": OP1, "op5_line_dedup": OP5}
+# The templates and phrases of the license scan.
+_TEMPLATES = """
+values ('apache-2.0', 'licensed under the apache license version 2 0'),
+       ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
+       ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
+       ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
+       ('gpl-3.0', 'this work is licensed under the gnu general public license version 3'),
+       ('mit', 'released under the mit license'),
+       ('mit-grant', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+       ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license'),
+       ('public-domain', 'this work has been released into the public domain')
+"""
+
+OP4 = f"""
+with t(name, said) as ({_TEMPLATES}),
+tw as (select name, unnest(list_distinct(string_split(said, ' '))) w, len(list_distinct(string_split(said, ' '))) size from t),
+d as (select doc_id, list_filter({_WORDS.format("text")}, lambda x: x <> '') w from documents),
+p(label, phrase) as (values ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])),
+base as (select doc_id, label, i - 1 place from d, p, unnest(range(1, len(w) - len(phrase) + 2)) x(i) where w[i] = phrase[1] and w[i : i + len(phrase) - 1] = phrase),
+lines as (select doc_id, j, list_filter({_WORDS.format("line")}, lambda x: x <> '') w
+          from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) j from documents where text is not null)),
+blocks as (select doc_id, j, i, case when len(w) <= 64 then w else w[i : i + 63] end w
+           from lines, unnest(case when len(w) <= 64 then [1] else range(1, len(w) - 31, 32) end) x(i) where len(w) > 0),
+hits as (select doc_id, j, i, name, count(*) / any_value(size) c
+         from (select distinct doc_id, j, i, b from (select doc_id, j, i, unnest(w) b from blocks)) bw join tw on bw.b = tw.w
+         group by doc_id, j, i, name having count(*) >= 0.8 * any_value(size) - 1e-9),
+b as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word from base group by doc_id),
+labelled as (select distinct doc_id, label, true is_base from base union all select distinct doc_id, name, false from hits),
+l as (select doc_id, string_agg(distinct label, ',' order by label) labels, string_agg(distinct label, ',' order by label) filter (where is_base) base_labels from labelled group by doc_id),
+s as (select doc_id, max(c) score from hits group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base, cast(first_word as bigint) first_word, cast(last_word as bigint) last_word,
+       coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0) score
+from d left join b using (doc_id) left join l using (doc_id) left join s using (doc_id)
+"""
+
+OP10 = r"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, length(regexp_replace(text, '(<\\*\|(im_start|im_end|endoftext|system|user|assistant)\|>|<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>)', '\1+', 'g')) n from c)
+select cast(conv_id as bigint) conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
+       cast(sum(length('<|im_start|>') + length(role) + 1 + n + length('<|im_end|>') + 1) as bigint) formatted_chars
+from e group by conv_id
+"""
+
+ORACLE = {"op4_license_scan": OP4, "op10_chat_format": OP10, "op1_decontamination": OP1, "op5_line_dedup": OP5}
