@@ -31,15 +31,15 @@ TABLES: dict[str, tuple[str, str]] = {
         when o_orderkey % 7 = 0 then 'FAILED' when o_orderstatus = 'O' then 'PENDING' else 'RUNNING' end as status,
         case when o_orderkey % 5 = 0 then null when o_orderkey % 3 = 0 then 'fake-model' else concat('model-', substring(o_orderpriority, 1, 1)) end as model_used,
         case when o_orderkey % 4 = 0 then 'REJECTED' when o_orderkey % 4 = 1 then 'DEGRADED' else 'VERIFIED' end as quality_grade,
-        cast(o_totalprice as bigint) % 2000 as tokens_in, cast(o_totalprice as bigint) % 700 as tokens_out,
+        cast(floor(o_totalprice) as bigint) % 2000 as tokens_in, cast(floor(o_totalprice) as bigint) % 700 as tokens_out,
         concat('v', cast(o_custkey % 3 as string)) as prompt_version, cast(o_custkey % 40 as string) as batch_id, cast(o_custkey % 7 as string) as tenant_id,
         o_orderdate as completed_at, cast(o_custkey as string) as normalized_hash from orders""",
     ),
     # one row for each model call
     "ledger": (
         "lineitem",
-        """select cast(l_orderkey as string) as job_id, concat('model-', l_returnflag) as model, cast(l_quantity as bigint) * 10 as tokens_in,
-        cast(l_quantity as bigint) * 3 as tokens_out, l_linenumber as call_no, l_shipdate as recorded_at,
+        """select cast(l_orderkey as string) as job_id, concat('model-', l_returnflag) as model, cast(floor(l_quantity) as bigint) * 10 as tokens_in,
+        cast(floor(l_quantity) as bigint) * 3 as tokens_out, l_linenumber as call_no, l_shipdate as recorded_at,
         cast(case when l_returnflag = 'A' then 0.300000 when l_returnflag = 'N' then 1.250000 else 2.500000 end as decimal(12, 6)) as unit_price_in from lineitem""",
     ),
     "rate_event": (

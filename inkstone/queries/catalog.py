@@ -1,7 +1,7 @@
 """All queries of the reference's operators."""
 
-from inkstone.queries import text
+from inkstone.queries import kb, relational, text
 from inkstone.queries.registry import ORACLE, QUERIES
 
-MODULES = [text]
+MODULES = [kb, relational, text]
 __all__ = ["ORACLE", "QUERIES"]
