@@ -256,7 +256,7 @@ _REPLAY_SQL = {
 def replay_rows(spark, sf):
     g = graded(spark, sf)
     t = kb.slot(g)
-    return t.select("seq", T.normalized_hash(F.col("original")).alias("l1_key"), F.when(F.col("year").isNotNull(), F.col("template_hash")).alias("template_hash"), "grade", (F.col("seq") % 3 != 0).alias("templatable"))
+    return t.select("seq", T.normalized_hash(F.col("original")).alias("l1_key"), "template", "template_hash", "grade", (F.col("seq") % 3 != 0).alias("templatable"))
 
 
 @query("e8_l1_replay", sql("graded", _REPLAY_SQL["e8"], _REPLAY))
@@ -265,13 +265,13 @@ def e8(spark, sf):
 
 
 def functional_rows(spark, sf):
-    """Rows in which each key has one template: the key's first."""
+    """Rows in which each key has one template, and templates have many keys: the first character of the key's first."""
     r = replay_rows(spark, sf)
-    first = r.groupBy("l1_key").agg(F.min_by("template_hash", "seq").alias("t"))
+    first = r.groupBy("l1_key").agg(F.substring(F.min_by("template", "seq"), 1, 1).alias("t"))
     return r.join(first, "l1_key").drop("template_hash").withColumnRenamed("t", "template_hash")
 
 
-_COUPLED = """, f as materialized (select r.seq, r.k, r.grade, r.templatable, first_value(r.template) over (partition by r.k order by r.seq) as t from rows r),
+_COUPLED = """, f as materialized (select r.seq, r.k, r.grade, r.templatable, substring(first_value(r.template) over (partition by r.k order by r.seq), 1, 1) as t from rows r),
 p as materialized (select *, coalesce(bool_or(grade <> 'REJECTED') over (partition by k order by seq rows between unbounded preceding and 1 preceding), false) as p1 from f),
 v as materialized (select t, min(seq) as v from p where grade = 'VERIFIED' and templatable and t is not null and not p1 group by t),
 o as materialized (select p.seq, v.v, case when v.v is null or p.seq <= v.v then case when p1 then 'L1' else 'LLM' end

@@ -272,7 +272,7 @@ def d27(spark, sf):
     return m.groupBy("lang").agg(F.count("*").alias("n")).join(examples, "lang")
 
 
-@query("d28_regex_occurrences", "select source, cast(sum(len(regexp_extract_all(original, '[a-z]+tion\\b'))) as bigint) as n from corpus group by source", "corpus")
+@query("d28_regex_occurrences", "select source, cast(sum(len(regexp_extract_all(original, '[a-z]+tion[ .,]'))) as bigint) as n from corpus group by source", "corpus")
 def d28(spark, sf):
     return bind(spark, sf, "corpus").groupBy("source").agg(F.sum(F.regexp_count("original", F.lit("[a-z]+tion[ .,]"))).alias("n"))
 
