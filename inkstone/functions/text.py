@@ -8,15 +8,19 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Six ASCII characters; a no-break space is none of them.
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
+def nfc(text: Column) -> Column:
     """Unicode NFC; Spark has no built-in for it."""
-    return text.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+
+    def normalise(batch: pd.Series) -> pd.Series:  # nested, so that it travels by value
+        return batch.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(normalise, StringType())(text)
 
 
 def normalized_hash(text: Column) -> Column:
