@@ -55,7 +55,7 @@ def c8(spark, sf):
 _KEYS = "select distinct substring(n_name, 1, 4) as key from nation union select distinct lower(substring(n_name, 2, 3)) from nation"
 
 
-@query("c9_kgram_dictionary_join", f"with k as ({_KEYS}) select seq, key, cast(i as bigint) as place from (select seq, original, unnest(range(1, length(original) + 1)) as i from corpus) c join k on substring(original, i, length(key)) = key", "corpus")
+@query("c9_kgram_dictionary_join", f"with k as ({_KEYS}), c as (select seq, string_split(original, '') ch from corpus), g as (select seq, i, ch[i] || ch[i + 1] || ch[i + 2] as g3, ch[i] || ch[i + 1] || ch[i + 2] || ch[i + 3] as g4 from c, unnest(range(1, len(ch) - 1)) t(i)) select seq, key, cast(i as bigint) as place from g join k on key = g3 union all select seq, key, cast(i as bigint) from g join k on key = g4", "corpus")
 def c9(spark, sf):
     nation = bind(spark, sf, "nation")
     keys = nation.select(F.substring("n_name", 1, 4).alias("key")).union(nation.select(F.lower(F.substring("n_name", 2, 3)))).distinct()

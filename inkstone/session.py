@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +23,19 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **extra: str) -
         "spark.ui.showConsoleProgress": "false",
     } | extra
     return SparkSession.builder.master(master).config(map=conf).getOrCreate()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once for each application, so that workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_inkstone_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # the driver serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "inkstone.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._inkstone_shipped = True
