@@ -145,7 +145,8 @@ def retry_hint_ms(message: Column, most_ms: int = 300_000) -> Column:
         F.nullif(F.regexp_extract(low, r"retry in ([0-9.]+) ?s", 1), F.lit("")),
         F.nullif(F.regexp_extract(low, r'"?retrydelay"?\s*[:=]\s*"?([0-9.]+)s', 1), F.lit("")),
     )
-    return F.least(F.round(found.try_cast("double") * 1000).cast("bigint"), F.lit(most_ms))
+    ms = F.round(found.try_cast("double") * 1000).cast("bigint")
+    return F.when(ms > most_ms, F.lit(most_ms).cast("bigint")).otherwise(ms)
 
 
 def brief(message: Column, most: int = 200) -> Column:

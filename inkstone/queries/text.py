@@ -258,7 +258,7 @@ def h19(spark, sf):
     return bind(spark, sf, "events").select("event_id", T.classify_error(F.expr(_MESSAGE)).alias("error_class"))
 
 
-@query("h20_retry_hint", f"select event_id, least(cast(round(try_cast(nullif(regexp_extract(lower({_MESSAGE}), 'retry in ([0-9.]+) ?s', 1), '') as double) * 1000) as bigint), 300000) as wait_ms from events")
+@query("h20_retry_hint", f"select event_id, case when ms > 300000 then 300000 else ms end as wait_ms from (select event_id, cast(round(try_cast(nullif(regexp_extract(lower({_MESSAGE}), 'retry in ([0-9.]+) ?s', 1), '') as double) * 1000) as bigint) as ms from events)")
 def h20(spark, sf):
     return bind(spark, sf, "events").select("event_id", T.retry_hint_ms(F.expr(_MESSAGE)).alias("wait_ms"))
 

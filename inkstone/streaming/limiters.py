@@ -142,6 +142,7 @@ def bucket_step(b: Bucket, e: dict) -> dict:
     return {"event_id": e["event_id"], "granted": granted, "wait_ms": wait, "rpm": float(b.rpm or b.limits.initial_rpm), "streak": b.streak}
 
 
+WEEK_MS = 7 * 86_400_000
 BUCKET = "event_id bigint, granted boolean, wait_ms bigint, rpm double, streak int"
 
 
@@ -158,25 +159,27 @@ def sliding_log(events: DataFrame, key: str, rpm: int, per_day: int) -> DataFram
 
 
 def token_bucket_stream(events: DataFrame, key: str = "bucket", limits: Limits | None = None) -> DataFrame:
-    """The limiter over a stream: events of a micro-batch are taken in event time, state lives a week."""
+    """The limiter over a stream: events of a micro-batch are taken in event time.
+
+    State that was idle for a week in event time counts as none; a processing-time timeout would keep
+    an ``availableNow`` run from ending.
+    """
     rule = limits or Limits()
 
     def process(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         b = Bucket(rule)
         if state.exists:
             b.rpm, b.tokens, b.at_ms, b.blocked_until, b.streak = state.get
         for batch in batches:
-            rows = [bucket_step(b, e) for e in batch.sort_values(["ts_ms", "event_id"]).to_dict("records")]
-            yield pd.DataFrame(rows)
-        state.update((b.rpm or rule.initial_rpm, b.tokens if b.tokens is not None else -1.0, b.at_ms or 0, b.blocked_until, b.streak))
-        state.setTimeoutDuration(7 * 86_400_000)
+            events_ = batch.sort_values(["ts_ms", "event_id"]).to_dict("records")
+            if events_ and b.at_ms is not None and events_[0]["ts_ms"] - b.at_ms > WEEK_MS:
+                b = Bucket(rule)
+            yield pd.DataFrame([bucket_step(b, e) for e in events_], columns=["event_id", "granted", "wait_ms", "rpm", "streak"])
+        state.update((b.rpm, b.tokens, b.at_ms, b.blocked_until, b.streak))
 
     ship_code(events.sparkSession)
     schema = "rpm double, tokens double, at_ms bigint, blocked_until bigint, streak int"
-    return events.groupBy(key).applyInPandasWithState(process, BUCKET, schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(process, BUCKET, schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def wait_plan(wait_ms: int, most_ms: int = 120_000, slice_ms: int = 1000) -> list[int] | None:
