@@ -33,6 +33,8 @@ def attribute(token_starts: np.ndarray, size: int, section_starts: np.ndarray, r
 
     Starts are sorted byte offsets; tokens and sections tile [0, size).
     """
+    if not len(token_starts):
+        return np.zeros(len(section_starts), dtype=np.int64), 0
     ends = np.append(token_starts[1:], size)
     first = np.searchsorted(section_starts, token_starts, "right") - 1
     last = np.searchsorted(section_starts, ends, "left") - 1
