@@ -79,13 +79,32 @@ def _codes(x: np.ndarray, width: int) -> np.ndarray:
     return before * width + x
 
 
-def pair_counts(docs: DataFrame, labels: DataFrame, words: list[bytes]) -> DataFrame:
-    """``code, background, target``: how often each pair of neighbouring ids stands in either corpus."""
-    width = len(words) + 2
+def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """``id, ids``: the word ids of each document as bytes, four for each word or two where they fit."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
+    kind = _kind(words)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         ids = {w: i + 2 for i, w in enumerate(shipped.value)}
+        for batch in batches:
+            packed = [_ids(t, ids).astype(kind).tobytes() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], schema=schema)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), run, "id bigint, ids binary")
+
+
+def _kind(words: list[bytes]) -> str:
+    return "<u2" if len(words) + 2 <= 1 << 16 else "<u4"
+
+
+def pair_counts(docs: DataFrame, labels: DataFrame, words: list[bytes]) -> DataFrame:
+    """``code, background, target``: how often each pair of neighbouring ids stands in either corpus.
+
+    What meets the labels is word ids, not texts; the join sorts both sides at every size.
+    """
+    width, kind = len(words) + 2, _kind(words)
+
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
@@ -98,8 +117,8 @@ def pair_counts(docs: DataFrame, labels: DataFrame, words: list[bytes]) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (code, both, good)], schema=schema)
 
         for batch in batches:
-            for text, good in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                x = _ids(text, ids)
+            for packed, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(packed, dtype=kind).astype(np.int64)
                 if len(x):
                     held.append(_codes(x, width) << 1 | int(good))
                     size += len(x)
@@ -109,7 +128,8 @@ def pair_counts(docs: DataFrame, labels: DataFrame, words: list[bytes]) -> DataF
         if held:
             yield rows()
 
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(targets(labels), F.col("id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("good"))
+    known = targets(labels).hint("merge")
+    marked = encoded(docs, words).join(known, F.col("id") == F.col("target_id"), "left").select("ids", F.col("target_id").isNotNull().alias("good"))
     counted = map_arrow(marked, run, "code bigint, background bigint, target bigint")
     return counted.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
