@@ -261,6 +261,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BU
     named = found.join(leaves, found["node"] == leaves["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = found.join(named, "component").select(F.col("node").alias("linked"), "component_id")
     owners = leaves.join(by_print, leaves["fp"] == by_print["linked"], "left").select(F.col("fp").alias("owner"), F.coalesce("component_id", "least").alias("component_id"))
+    # as a table of its own it meets the rows in a join whose two sides Spark can split where a fingerprint is hot
+    owners = durable(owners)
     return prints.join(owners, prints["fp"] == owners["owner"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
