@@ -102,7 +102,7 @@ def i8(spark, sf):
     return replay.reserve_daily(bind(spark, sf, "rate_event"), "model", "ts", "event_id", 20).select("event_id", "admitted")
 
 
-@query("i9_tenant_charge", "select event_id, sum(k) over w as charged, sum(k) over w <= 500 as allowed from (select *, cast(floor(value) as bigint) k from rate_event) window w as (partition by tenant_id, cast(ts as date) order by ts, event_id rows unbounded preceding)", "rate_event")
+@query("i9_tenant_charge", "select event_id, cast(sum(k) over w as bigint) as charged, sum(k) over w <= 500 as allowed from (select *, cast(floor(value) as bigint) k from rate_event) window w as (partition by tenant_id, cast(ts as date) order by ts, event_id rows unbounded preceding)", "rate_event")
 def i9(spark, sf):
     e = bind(spark, sf, "rate_event").withColumn("k", F.floor("value"))
     return replay.charge_daily(e, "tenant_id", "ts", "event_id", "k", 500).select("event_id", F.col("charged").cast("bigint").alias("charged"), "allowed")

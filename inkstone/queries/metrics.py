@@ -209,7 +209,7 @@ def h35(spark, sf):
 @query(
     "h36_bio_spans",
     """with t as (select event_id, user_id, value, case when event_type = 'signup' then 'B' when event_type in ('click', 'view') then 'I' else 'O' end tag from events), g as (select *, sum(cast(tag <> 'I' as int)) over (partition by user_id order by event_id) grp from t)
-    select user_id, grp, count(*) as tokens, avg(value) as score from g group by user_id, grp having bool_or(tag = 'B')""",
+    select user_id, cast(grp as bigint) as grp, count(*) as tokens, avg(value) as score from g group by user_id, grp having bool_or(tag = 'B')""",
 )
 def h36(spark, sf):
     tag = F.when(F.col("event_type") == "signup", "B").when(F.col("event_type").isin("click", "view"), "I").otherwise("O")
