@@ -12,6 +12,11 @@ from pyspark.sql.types import StringType
 
 from inkstone.session import ship_code
 
+# What a prompt says before its linked entities, an office and undecided candidates.
+ENTITY_HEADER = "\n[등장 인물 한자→한글]\n"
+OFFICE = ("  (관직: ", ")")
+UNDECIDED = " → 동명이인 후보 중 문맥으로 판단: "
+
 SPANS = "array<struct<surface:string,start:int,end:int,score:double>>"
 
 
@@ -97,8 +102,14 @@ def repair(text: Column, surname: Column, gold: Column, library: Column) -> Colu
 
 def prompt(block: Column, entities: Column, original: Column) -> Column:
     """A prompt: guide block, one line for each linked entity, and the sentence. Entities have surface, name, office, resolved, others."""
-    line = lambda e: F.when(e["resolved"], F.concat(F.lit("  · "), e["surface"], F.lit(" → "), e["name"], F.when(e["office"].isNotNull(), F.concat(F.lit("  (관직: "), e["office"], F.lit(")"))).otherwise(F.lit("")))).otherwise(F.concat(F.lit("  · "), e["surface"], F.lit(" → 동명이인 후보 중 문맥으로 판단: "), F.array_join(e["others"], " / ")))
-    kb = F.when(F.size(entities) > 0, F.concat(F.lit("\n[등장 인물 한자→한글]\n"), F.array_join(F.transform(entities, line), "\n"), F.lit("\n"))).otherwise(F.lit(""))
+
+    def line(e: Column) -> Column:
+        office = F.when(e["office"].isNotNull(), F.concat(F.lit(OFFICE[0]), e["office"], F.lit(OFFICE[1]))).otherwise(F.lit(""))
+        known = F.concat(F.lit("  · "), e["surface"], F.lit(" → "), e["name"], office)
+        return F.when(e["resolved"], known).otherwise(F.concat(F.lit("  · "), e["surface"], F.lit(UNDECIDED), F.array_join(e["others"], " / ")))
+
+    lines = F.concat(F.lit(ENTITY_HEADER), F.array_join(F.transform(entities, line), "\n"), F.lit("\n"))
+    kb = F.when(F.size(entities) > 0, lines).otherwise(F.lit(""))
     return F.concat(block, kb, original)
 
 

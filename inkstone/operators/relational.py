@@ -67,9 +67,13 @@ def positional_quantile(values: Column, p: float) -> Column:
 
 
 def repeat_flags(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Whether an earlier row has the same key; rows without a key never repeat."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("repeated", F.col(key).isNotNull() & (F.row_number().over(w) > 1))
+    """Whether an earlier row has the same key; rows without a key never repeat.
+
+    A minimum combines before the shuffle, and the join's hot keys can be split; a window could do neither.
+    """
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+    joined = df.join(first, key, "left")
+    return joined.withColumn("repeated", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
 
 
 def repeat_rate_by_prefix(flags: DataFrame, order: str, sizes: list[int]) -> DataFrame:
@@ -81,15 +85,17 @@ def repeat_rate_by_prefix(flags: DataFrame, order: str, sizes: list[int]) -> Dat
 def round_robin(df: DataFrame, stratum: str, order: Column, n: int) -> DataFrame:
     """Take one row from each stratum in turn, larger strata first, until there are n."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
-    ranked = df.withColumn("_turn", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).join(sizes, stratum)
+    # no stratum gives more than n rows, and a limit on the rank is pushed below the shuffle
+    ranked = df.withColumn("_turn", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).where(F.col("_turn") <= n).join(sizes, stratum)
     return ranked.orderBy("_turn", F.desc("_size"), stratum).limit(n).drop("_size")
 
 
 def proportional(df: DataFrame, stratum: str, order: Column, n: int) -> DataFrame:
     """From each stratum its share of n rows, rounded."""
-    w = Window.partitionBy(stratum)
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
     total = df.count()
-    out = df.withColumn("_rank", F.row_number().over(w.orderBy(order))).withColumn("_size", F.count("*").over(w))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).where(F.col("_rank") <= n)
+    out = ranked.join(sizes, stratum)
     return out.where(F.col("_rank") <= F.round(F.col("_size") * n / total)).drop("_rank", "_size")
 
 

@@ -15,7 +15,7 @@ TABLES: dict[str, tuple[str, str]] = {
     # the corpus: one sentence for each document, with a catalogue id and a reign date
     "corpus": (
         "documents",
-        """select doc_id as seq, concat('SJW-A', lpad(cast(doc_id % 27 + 1 as string), 2, '0'), '010010-', lpad(cast(doc_id as string), 5, '0')) as id,
+        """select doc_id as seq, concat('DIA-A', lpad(cast(doc_id % 27 + 1 as string), 2, '0'), '010010-', lpad(cast(doc_id as string), 5, '0')) as id,
         concat('A', lpad(cast(doc_id % 27 + 1 as string), 2, '0'), '0101') as date, text as original, source, lang from documents""",
     ),
     # parallel text: a user's turn and the assistant's answer

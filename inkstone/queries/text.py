@@ -314,9 +314,9 @@ def h28(spark, sf):
     return bind(spark, sf, "customer").select("c_custkey", T.without_surname(F.col("c_name")).alias("given"))
 
 
-@query("h29_catalogue_year", "select seq, case when substring(i, 5, 1) = 'A' then try_cast(substring(i, 6, 2) as int) + 1622 end as year from (select seq, case when seq % 9 = 0 then 'SJW-B12' when seq % 10 = 0 then 'SJW-Axy' else id end as i from corpus)", "corpus")
+@query("h29_catalogue_year", "select seq, case when substring(i, 5, 1) = 'A' then try_cast(substring(i, 6, 2) as int) + 1622 end as year from (select seq, case when seq % 9 = 0 then 'DIA-B12' when seq % 10 = 0 then 'DIA-Axy' else id end as i from corpus)", "corpus")
 def h29(spark, sf):
-    i = F.when(F.col("seq") % 9 == 0, F.lit("SJW-B12")).when(F.col("seq") % 10 == 0, F.lit("SJW-Axy")).otherwise(F.col("id"))
+    i = F.when(F.col("seq") % 9 == 0, F.lit("DIA-B12")).when(F.col("seq") % 10 == 0, F.lit("DIA-Axy")).otherwise(F.col("id"))
     return _corpus(spark, sf).select("seq", T.catalogue_year(i).alias("year"))
 
 
