@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ def assemble(c: bpe.Codec, roles: list[str], texts: list[str]) -> Iterator[tuple
         if role == "assistant":
             steps[bounds[2]] += 1
             steps[bounds[3]] -= 1
-        yield np.array([i for p in parts for i in p], dtype=np.int32), np.cumsum(steps[:-1]) > 0
+        yield np.fromiter(chain.from_iterable(parts), np.int32, bounds[-1]), np.cumsum(steps[:-1]) > 0
 
 
 def encode(turns: DataFrame, rank_path: str) -> DataFrame:
@@ -86,19 +87,27 @@ def encode(turns: DataFrame, rank_path: str) -> DataFrame:
     return map_arrow(turns.selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text"), run, CHUNKS)
 
 
-def read_back(c: bpe.Codec, ids: list[int], loss: list[bool]) -> tuple[str, str, str, int]:
+def read_back(c: bpe.Codec, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str, int]:
     """Role, text and text under the loss mask of a turn, and the code points of its formatted form."""
     start, end = len(c.bytes_of), len(c.bytes_of) + 1
-    if ids[0] != start or ids.count(end) != 1:
+    ends = np.flatnonzero(ids == end)
+    if ids[0] != start or len(ends) != 1:
         raise ValueError("not a formatted turn")
-    stop = ids.index(end)
-    body = c.decode(ids[1:stop]).decode()
-    tail = c.decode(ids[stop + 1 :]).decode()
-    masked = unescape(c.decode(i for i, m in zip(ids, loss) if m).decode())
+    stop = int(ends[0])
+    body = c.decode(ids[1:stop].tolist()).decode()
+    tail = c.decode(ids[stop + 1 :].tolist()).decode()
+    masked = unescape(c.decode(ids[loss].tolist()).decode()) if loss.any() else ""
     role, _, text = body.partition("\n")
     return unescape_role(role), unescape(text), masked, len(START) + len(body) + len(END) + len(tail)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a list column as slices of one array."""
+    bounds = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
 TURNS = "conv_id bigint, turn bigint, role string, text string, masked string, chars bigint"
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
@@ -110,7 +119,7 @@ def decode(chunks: DataFrame, rank_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks)
         for batch in batches:
-            rows = [read_back(c, i, m) for i, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = [read_back(c, i, m) for i, m in zip(_lists(batch.column(2)), _lists(batch.column(3)))]
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:]))], schema=schema)
 
