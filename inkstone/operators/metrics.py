@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.operators.relational import numbered
+
 CHRF_ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
 
@@ -75,22 +77,21 @@ def bootstrap_ratio(rows: DataFrame, hits: str, total: str, order: str, iters: i
     """The ratio of sums and its interval: ``ratio, low, high``.
 
     Each iteration draws as many rows as there are; the ends are positions int(.025 n) and int(.975 n) - 1
-    of the sorted iterations. ``rows`` has one row for each sentence and is a result table, not a corpus.
+    of the sorted iterations. ``rows`` has one row for each unit that is drawn.
     """
-    n = rows.count()
-    placed = rows.select(hits, total, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint").alias("place"))
+    placed = numbered(rows.select(order, hits, total), order, "place")
+    n = placed.count()
     drawn = draws(rows.sparkSession, n, iters, seed).join(placed, "place")
     per = drawn.groupBy("iter").agg(F.try_divide(F.sum(hits), F.sum(total)).alias("ratio"))
     ends = F.array_sort(F.collect_list("ratio"))
     spread = per.agg(F.element_at(ends, int(0.025 * iters) + 1).alias("low"), F.element_at(ends, int(0.975 * iters)).alias("high"))
-    return rows.agg(F.try_divide(F.sum(hits), F.sum(total)).alias("ratio")).crossJoin(spread)
+    return placed.agg(F.try_divide(F.sum(hits), F.sum(total)).alias("ratio")).crossJoin(spread)
 
 
 def bootstrap_chrf(stats: DataFrame, key: str, iters: int = 1000, seed: int = 0) -> DataFrame:
     """``iter, chrf`` from weighted sums of per-sentence statistics; texts are not read again."""
-    places = stats.select(key).distinct()
-    n = places.count()
-    placed = places.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint").alias("place"))
+    placed = numbered(stats.select(key).distinct(), key, "place")
+    n = placed.count()
     weights = draws(stats.sparkSession, n, iters, seed).groupBy("iter", "place").agg(F.count("*").alias("w"))
     weighted = weights.join(placed, "place").join(stats, key).select("iter", "n", *[(F.col(c) * F.col("w")).alias(c) for c in ("hyp", "ref", "match")])
     return chrf(weighted, ["iter"])

@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.session import durable
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds consecutive numbers from 0 by ``order``, without a window over all rows in one task.
+
+    Rows are sorted within ranges; the ranges' sizes, one number for each partition, give the offsets.
+    """
+    ordered = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    ordered = durable(ordered.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))  # partitions are numbered once
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ordered.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ordered.join(offsets, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
 
 def neighbours(df: DataFrame, width: int, order: str = "seq") -> DataFrame:
     """Each row's ``order`` with the rows at most ``width`` places away, itself left out: ``order, off, other.*``.

@@ -378,9 +378,4 @@ def l23(spark, sf):
 @query("a19_kb_promotion", sql("kb_index", "select surface, format('AUG_x_{:05d}', row_number() over (order by surface)) as kb_id from (select distinct surface from mention where surface not in (select surface from kb_index) and length(surface) > 10)"))
 def a19(spark, sf):
     new = mentions(spark, sf).where(F.length("surface") > 10).select("surface").distinct().join(index(spark, sf), "surface", "left_anti")
-    # consecutive numbers over a range-partitioned sort: counts of the partitions, then an offset in each
-    ordered = new.repartitionByRange("surface").sortWithinPartitions("surface").withColumn("p", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
-    ordered = durable(ordered.withColumn("n", F.col("n").bitwiseAND(F.lit((1 << 33) - 1))))  # partitions are numbered once
-    sizes = ordered.groupBy("p").agg(F.max("n").alias("m")).withColumn("before", F.sum(F.col("m") + 1).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)))
-    out = ordered.join(sizes.select("p", F.coalesce("before", F.lit(0)).alias("before")), "p")
-    return out.select("surface", F.format_string("AUG_x_%05d", F.col("n") + 1 + F.col("before")).alias("kb_id"))
+    return R.numbered(new, "surface", "n").select("surface", F.format_string("AUG_x_%05d", F.col("n") + 1).alias("kb_id"))

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkstone.operators import metrics as M
+from inkstone.operators import names as N
 from inkstone.queries.bindings import bind
 from inkstone.queries.registry import query
+from inkstone.session import durable
 
 _NOSPACE = "regexp_replace(coalesce({0}, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')"
 
@@ -96,20 +98,20 @@ _DRAW = "('0x' || substring(md5('0-' || cast(it as varchar) || '-' || cast(j as
 
 @query(
     "k9_bootstrap_interval",
-    f"""with s as materialized (select id, sum(hit) h, sum(total) t from score where cast(id as bigint) % 100 = 0 group by id), p as materialized (select h, t, row_number() over (order by id) - 1 place from s), c as (select count(*) n from p),
-    d as (select it, {_DRAW} % n as place from c, range(0, 200) a(it), unnest(range(0, n)) b(j)), r as (select it, sum(h) / sum(t) ratio from d join p using (place) group by it), o as (select ratio, row_number() over (order by ratio) k from r)
-    select (select sum(h) / sum(t) from s) as ratio, max(ratio) filter (where k = 6) as low, max(ratio) filter (where k = 195) as high from o""",
-    "score",
+    f"""with p as materialized (select l_suppkey, sum(l_quantity) h, sum(l_quantity + l_linenumber) t, row_number() over (order by l_suppkey) - 1 place from lineitem group by l_suppkey), c as (select count(*) n from p),
+    d as (select it, {_DRAW} % n as place from c, range(0, 2000) a(it), unnest(range(0, n)) b(j)), r as (select it, sum(h) / sum(t) ratio from d join p using (place) group by it), o as (select ratio, row_number() over (order by ratio) k from r)
+    select (select sum(h) / sum(t) from p) as ratio, max(ratio) filter (where k = 51) as low, max(ratio) filter (where k = 1950) as high from o""",
 )
 def k9(spark, sf):
-    rows = bind(spark, sf, "score").where("cast(id as bigint) % 100 = 0").groupBy("id").agg(F.sum("hit").alias("h"), F.sum("total").alias("t"))
-    return M.bootstrap_ratio(rows, "h", "t", "id", iters=200)
+    """Clusters are drawn: all lines of a supplier together."""
+    rows = bind(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("h"), F.sum(F.col("l_quantity") + F.col("l_linenumber")).alias("t"))
+    return M.bootstrap_ratio(rows, "h", "t", "l_suppkey")
 
 
 @query("k10_bootstrap_chrf")
 def k10(spark, sf):
     st = M.ngram_stats(bind(spark, sf, "pairs"), "translation", "original", 6)
-    return M.bootstrap_chrf(st, "seq", iters=50).agg(F.median("chrf").alias("median"), F.min("chrf").alias("low"), F.max("chrf").alias("high"))
+    return M.bootstrap_chrf(st, "seq").agg(F.median("chrf").alias("median"), F.min("chrf").alias("low"), F.max("chrf").alias("high"))
 
 
 @query("k11_non_inferiority", "with m as (select variant, avg(value) v, avg(hit / total) r, count(*) n from score group by variant) select b.variant, case when b.n < 10 then 2 when a.v - b.v <= 2.0 and a.r - b.r <= 0 then 0 else 1 end as exit_code from m a, m b where a.variant = 'p0' and b.variant <> 'p0'", "score")
@@ -155,25 +157,46 @@ def k17(spark, sf):
     return bind(spark, sf, "pairs").agg(F.try_divide(F.sum(F.size(F.array_intersect(b, b))), F.sum(F.size(b))).alias("ceiling"))
 
 
-def distances(vectors):
-    """Euclidean distances of all pairs of a selected set, which is small by definition."""
-    a = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, v: s + v))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", d.alias("distance"))
+def distances(queries, vectors, block: int = 512):
+    """Euclidean distances ``a, b, distance`` of a stated query set to all other vectors.
+
+    Queries are gathered in blocks of about ``block``. One block is broadcast; of several, each meets the
+    vectors slice by slice, so that a task holds one block and one slice's vectors pass it.
+    """
+    n_blocks = -(-queries.count() // block) or 1
+    mine = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))).alias("q"))
+    other = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    if n_blocks == 1:
+        met = other.join(F.broadcast(mine))  # one row
+    else:
+        n_slices = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        mine = mine.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_slices - 1).cast("bigint"))))
+        other = other.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+        met = other.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(n_slices).cast("bigint"))).join(mine, ["block", "slice"])
+    pairs = met.select("b", "y", F.explode("q").alias("q")).where("q.a <> b")
+    d = F.sqrt(F.aggregate(F.zip_with("q.x", "y", lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, v: s + v))
+    return pairs.select("q.a", "b", d.alias("distance"))
 
 
-_PAIR = "select a.vec_id a, b.vec_id b, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]) * (z[1]::double - z[2])))) as distance from (select * from embeddings where label = 3 and vec_id < 100) a join (select * from embeddings where label = 3 and vec_id < 100) b on a.vec_id < b.vec_id"
+_DISTANCE = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]) * (z[1]::double - z[2]))))"
 
 
-@query("h38_pairwise_distance", f"select a, b, round(distance, 6) as distance from ({_PAIR})")
+@query("h38_pairwise_distance", f"select a.vec_id a, b.vec_id b, round({_DISTANCE}, 6) as distance from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0")
 def h38(spark, sf):
-    return distances(bind(spark, sf, "embeddings").where("label = 3 and vec_id < 100")).select("a", "b", F.round("distance", 6).alias("distance"))
+    """Rows whose id is divisible by 100 against all rows."""
+    e = bind(spark, sf, "embeddings")
+    return distances(e.where("vec_id % 100 = 0"), e).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@query("k18_selection_diversity", f"select round(avg(distance), 6) as mean_distance, count(*) as pairs from ({_PAIR})")
+@query(
+    "k18_selection_diversity",
+    f"""with s as materialized (select * from embeddings order by -ln((('0x' || substring(md5('42-' || cast(vec_id as varchar)), 1, 8))::bigint + 1) / (4294967297.0::double)), vec_id limit 20)
+    select round(avg({_DISTANCE}), 6) as mean_distance, count(*) as pairs from s a join s b on a.vec_id < b.vec_id""",
+)
 def k18(spark, sf):
-    return distances(bind(spark, sf, "embeddings").where("label = 3 and vec_id < 100")).agg(F.round(F.avg("distance"), 6).alias("mean_distance"), F.count("*").alias("pairs"))
+    """Of a selection of 20: what is measured is the selection."""
+    chosen = durable(N.weighted_pick(bind(spark, sf, "embeddings").withColumn("w", F.lit(1)), "w", "vec_id", 20))
+    return distances(chosen, chosen).where("a < b").agg(F.round(F.avg("distance"), 6).alias("mean_distance"), F.count("*").alias("pairs"))
 
 
 @query("h37_min_max_scaling", "select event_id, (value - low) / (high - low + 1e-8) as scaled from events, (select min(value) low, max(value) high from events)")

@@ -97,9 +97,9 @@ def i3(spark, sf):
     return J.to_process(j.select("id").unionAll(j.select("id")), j).select("id")
 
 
-@query("a6_xml_scan", "select doc_id, trim(regexp_replace(substring(text, 1, 100), '[<>&\n]', ' ', 'g')) as translation from documents")
+@query("a6_xml_scan", "select doc_id, trim(regexp_replace(text, '[<>&\n]', ' ', 'g')) as translation from documents")
 def a6(spark, sf):
-    body = F.trim(F.regexp_replace(F.substring("text", 1, 100), "[<>&\n]", " "))
+    body = F.trim(F.regexp_replace("text", "[<>&\n]", " "))
     home = scratch(spark)
     bind(spark, sf, "documents").select(F.concat(F.lit('<article id="'), "doc_id", F.lit('"><translation>'), body, F.lit("</translation></article>")).alias("v")).write.text(home)
     out = readers.xml_articles(spark, home)

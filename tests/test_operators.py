@@ -204,3 +204,22 @@ def test_json_readers(spark, tmp_path):
 def test_wait_plan():
     assert L.wait_plan(2500) == [1000, 1000, 500]
     assert L.wait_plan(200_000) is None
+
+
+def test_numbers_are_consecutive(spark):
+    from inkstone.operators.relational import numbered
+
+    rows = spark.createDataFrame([(f"k{i % 50:02d}", i) for i in range(200)] + [(None, -1)], "k string, v int").repartition(7)
+    got = sorted((r.n, r.k or "") for r in numbered(rows, "k", "n").collect())
+    assert [n for n, _ in got] == list(range(201)) and [k for _, k in got] == sorted(k for _, k in got)
+    assert numbered(rows.limit(0), "k", "n").count() == 0
+
+
+def test_distances_in_blocks(spark):
+    from inkstone.queries.metrics import distances
+
+    v = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(30)], "vec_id bigint, embedding array<float>")
+    few = v.where("vec_id % 3 = 0")
+    want = sorted((a, b, round(((a - b) ** 2 + (a * a % 7 - b * b % 7) ** 2) ** 0.5, 6)) for a in range(0, 30, 3) for b in range(30) if a != b)
+    for block in (2, 512):
+        assert sorted((r.a, r.b, round(r.distance, 6)) for r in distances(few, v, block).collect()) == want
