@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from inkstone.session import ship_code
+from inkstone.session import durable, ship_code  # noqa: F401
 
 BATCH_ROWS = 256
 
@@ -42,17 +42,6 @@ def as_text(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder the session names.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a local folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 #: Byte table: A-Z to lower case, all that is no digit, letter or byte above 127 to a space.
 PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

@@ -4,8 +4,9 @@ The automaton holds every substring of the normalised test items, in words. A do
 streamed through it; the longest match that ends at each word tells which words lie inside an
 occurrence of a window (``window`` consecutive item words; a shorter item is one window).
 
-The automaton is built once per block of items of at most ``block_words`` words and broadcast, so
-its size has a bound whatever the benchmark's size; documents are scanned once per block.
+Items are dealt to blocks of at most ``block_words`` words, give or take one item. A block is broadcast
+and each worker builds its automaton, about a kilobyte a word, so what a worker holds has a bound
+whatever the benchmark's size; documents are scanned once per block.
 
 Null or empty texts have no words and no hits. Items without words are ignored; equal items share
 windows and each counts. Rows keep their repeats: equal rows give equal results.
@@ -14,16 +15,17 @@ windows and each counts. Rows keep their repeats: equal rows give equal results.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import as_bytes, map_arrow, plain_words
+from inkstone.llm.common import as_bytes, map_arrow, plain_words, small_batches
 
 WINDOW = 8
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 
 
 class SuffixAutomaton:
@@ -146,78 +148,92 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "doc_id bigint, row_key bigint, n_words bigint, spans array<struct<first:int,end:int>>, items array<bigint>, coverage double"
+SCANNED = "doc_id bigint, row_key bigint, n_words bigint, spans array<struct<first:int,end:int>>, items array<bigint>, least int"
+HIT = "hit_id bigint, hit_key bigint, spans array<struct<first:int,end:int>>, items array<bigint>, least int"
 
+_BUILT: dict[str, tuple[SuffixAutomaton, dict[int, int]]] = {}
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items in blocks of about ``block_words`` words, each block on the driver alone."""
-    rows = items.selectExpr(f"cast({item_col} as bigint) item_id", f"{text_col} text").where("item_id is not null and text is not null")
+
+class Block:
+    """A block of items that is broadcast; a worker builds its automaton once and holds one at a time."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, list[bytes]]], window: int) -> None:
+        self.shipped = spark.sparkContext.broadcast(items)
+        self.window = window
+        self.token = uuid.uuid4().hex
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int], int]:
+        """Words of a text, its hit spans, their items, and the words of the shortest of these; 0 without hits."""
+        if self.token not in _BUILT:
+            _BUILT.clear()
+            sizes: dict[int, int] = {}
+            for item, words in self.shipped.value:
+                sizes[item] = min(len(words), sizes.get(item, len(words)))
+            _BUILT[self.token] = SuffixAutomaton(self.shipped.value, self.window), sizes
+        automaton, sizes = _BUILT[self.token]
+        words = plain_words(text)
+        spans, hits = automaton.scan(words)
+        return len(words), spans, hits, min((sizes[i] for i in hits), default=0)
+
+
+def _blocks(spark: SparkSession, items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+    """Items in blocks of about ``block_words`` words, each block on the driver alone; at least one block."""
+    rows = items.selectExpr("cast(item_id as bigint) item_id", "text").where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // (4 * block_words)) or 1  # a word and its gap take four bytes or more, mostly
     for i in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         block = [(r.item_id, words) for r in part.collect() if (words := plain_words(r.text.encode()))]
         if block or i == 0:
-            yield sorted(block)
+            yield Block(spark, sorted(block), window)
 
 
-def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: hit spans in words, items with occurring windows and the largest share of
-    an item that one span has: ``doc_id, row_key, n_words, spans, items, coverage``."""
-    sc = docs.sparkSession.sparkContext
+def _scan(docs: DataFrame, block: Block, id_col: str, text_col: str) -> DataFrame:
+    """What one block's automaton finds in each row."""
+
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [block.scan(t) for t in as_bytes(batch.column(2))]
+            columns = ([n for n, *_ in rows], [_structs(s) for _, s, *_ in rows], [sorted(h) for _, _, h, _ in rows], [x for *_, x in rows])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:]))], schema=schema)
+
     rows = docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"xxhash64({id_col}, {text_col}) row_key", f"{text_col} text")
+    return map_arrow(rows, run, SCANNED)
 
-    def scan(block: list[tuple[int, list[bytes]]]) -> DataFrame:
-        shipped = sc.broadcast(block)
-        built: list[tuple[SuffixAutomaton, dict[int, int]]] = []
-
-        def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-            if not built:
-                sizes: dict[int, int] = {}
-                for item, words in shipped.value:
-                    sizes[item] = min(len(words), sizes.get(item, len(words)))
-                built.append((SuffixAutomaton(shipped.value, window), sizes))
-            automaton, sizes = built[0]
-            for batch in batches:
-                n_words, spans, hits, coverage = [], [], [], []
-                for text in as_bytes(batch.column(2)):
-                    words = plain_words(text)
-                    s, h = automaton.scan(words)
-                    n_words.append(len(words))
-                    spans.append([{"first": a, "end": b} for a, b in s])
-                    hits.append(sorted(h))
-                    coverage.append(max(b - a for a, b in s) / min(sizes[i] for i in h) if s else 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip((n_words, spans, hits, coverage), list(schema)[2:]))], schema=schema
-                )
-
-        return map_arrow(rows, run, FOUND)
-
-    parts = [scan(block) for block in _blocks(items, "item_id", "text", block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    hits = parts[0].where(F.size("items") > 0)
-    for p in parts[1:]:
-        hits = hits.unionByName(p.where(F.size("items") > 0))
-    spans = hits.groupBy("doc_id", "row_key").agg(
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("found"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.max("coverage").alias("coverage"),
-    )
-    joined = spans.withColumn(
-        "spans",
-        F.expr(
-            "aggregate(found, cast(array() as array<struct<first:int,end:int>>), (acc, x) -> case when size(acc) > 0 and x.first <= element_at(acc, -1).end"
-            " then concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'end', greatest(x.end, element_at(acc, -1).end))))"
-            " else concat(acc, array(x)) end)"
-        ),
-    ).drop("found")
-    base = parts[0].select("doc_id", "row_key", "n_words")
-    return (
-        base.join(joined.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("row_key", "hit_key"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key")), "left")
-        .selectExpr("doc_id", "row_key", "n_words", "coalesce(spans, array()) spans", "coalesce(items, array()) items", "coalesce(coverage, 0d) coverage")
+
+def _structs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"first": a, "end": b} for a, b in spans]
+
+
+def _hits(scans: list[DataFrame]) -> DataFrame:
+    """Of several blocks' scans, the hits of each row together; rows without hits are absent, equal rows are one."""
+    hits = scans[0].where("least > 0")
+    for s in scans[1:]:
+        hits = hits.unionByName(s.where("least > 0"))
+    grouped = hits.groupBy("doc_id", "row_key").agg(
+        F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.min("least").alias("least")
     )
 
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_structs(merged([(s["first"], s["end"]) for s in row])) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, schema.field(2).type), batch.column(3), batch.column(4)], schema=schema)
+
+    return map_arrow(grouped, run, HIT)
+
+
+def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document row: hit spans in words, items with occurring windows and the largest share of
+    the shortest of these that one span has: ``doc_id, row_key, n_words, spans, items, coverage``."""
+    scans = [_scan(docs, block, id_col, text_col) for block in _blocks(docs.sparkSession, items, window, block_words)]
+    found = scans[0]
+    if len(scans) > 1:
+        same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key"))
+        rows = scans[0].select("doc_id", "row_key", "n_words").join(_hits(scans), same, "left")
+        found = rows.selectExpr("doc_id", "row_key", "n_words", "coalesce(spans, array()) spans", "coalesce(items, array()) items", "coalesce(least, 0) least")
+    longest = F.array_max(F.transform("spans", lambda s: s["end"] - s["first"]))
+    return found.select("doc_id", "row_key", "n_words", "spans", "items", F.when(F.col("least") > 0, longest / F.col("least")).otherwise(F.lit(0.0)).alias("coverage"))
+
 
 def report(found: DataFrame, min_items: int = 2) -> DataFrame:
     """The digest of ``find``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
@@ -234,15 +250,15 @@ def report(found: DataFrame, min_items: int = 2) -> DataFrame:
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def without_spans(text: bytes, automaton: SuffixAutomaton, sizes: dict[int, int], *, max_words: int, max_coverage: float, max_share: float) -> bytes | None:
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]], least: int, *, max_words: int, max_coverage: float, max_share: float) -> bytes | None:
     """The text without the spans over a limit; None where they are over ``max_share`` of its words."""
-    spans, hits = automaton.scan(plain_words(text))
-    if not spans:
-        return text
-    least = min(sizes[i] for i in hits)
     cut = [(a, b) for a, b in spans if b - a >= max_words or b - a >= max_coverage * least]
-    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-    places = [m.span() for m in _WORD.finditer(text.translate(lower))]
+    if not cut:
+        return text
+    places = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     if sum(b - a for a, b in cut) > max_share * len(places):
         return None
     out, at = [], 0
@@ -252,47 +268,60 @@ def without_spans(text: bytes, automaton: SuffixAutomaton, sizes: dict[int, int]
     return b"".join([*out, text[at:]])
 
 
+def _rewritten(columns: list[pa.Array], names: list[str], schema: pa.Schema, found: list[tuple[list[tuple[int, int]], int]], limits: dict[str, float]) -> pa.RecordBatch:
+    """The rows that stay, with their new texts."""
+    at = names.index("text")
+    old = columns[at].cast(pa.binary()).to_pylist()
+    new = [t if t is None or not spans else without_spans(t, spans, least, **limits) for t, (spans, least) in zip(old, found)]
+    stays = [n is not None or o is None for n, o in zip(new, old)]
+    if "n_chars" in names:
+        i = names.index("n_chars")
+        counts = columns[i].to_pylist()
+        columns[i] = pa.array([c if n is None or n == o else len(n.decode()) for c, n, o in zip(counts, new, old)], columns[i].type)
+    columns[at] = pa.array(new, pa.binary()).cast(pa.string()).cast(schema.field(at).type)
+    return pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(stays, pa.bool_()))
+
+
 def clean(
     docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_words: int = WINDOW, max_coverage: float = 0.5, max_share: float = 0.8, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Documents without benchmark spans.
 
     A span goes if it has ``max_words`` words or covers ``max_coverage`` of the shortest item that
-    it belongs to; a document goes if over ``max_share`` of its words would. ``n_chars`` follows the
+    the text meets; a document goes if over ``max_share`` of its words would. ``n_chars`` follows the
     text where there is such a column. Other columns stay as they are; texts without hits stay byte for byte.
     Null texts stay null.
+
+    One block of items: texts are scanned and cut as they pass. Several blocks: each scans the whole
+    texts by itself, and the rows' hits are joined to the documents and cut at once.
     """
-    sc = docs.sparkSession.sparkContext
-    out = docs
-    schema = docs.schema
-    names = docs.columns
-    for block in _blocks(items, "item_id", "text", block_words):
-        shipped = sc.broadcast(block)
-        built: list[tuple[SuffixAutomaton, dict[int, int]]] = []
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, built=built) -> Iterator[pa.RecordBatch]:
-            if not built:
-                sizes: dict[int, int] = {}
-                for item, words in shipped.value:
-                    sizes[item] = min(len(words), sizes.get(item, len(words)))
-                built.append((SuffixAutomaton(shipped.value, window), sizes))
-            automaton, sizes = built[0]
-            at = names.index("text")
+    spark, names, schema = docs.sparkSession, docs.columns, docs.schema
+    limits = {"max_words": max_words, "max_coverage": max_coverage, "max_share": max_share}
+    blocks = list(_blocks(spark, items, window, block_words))
+    width = len(names)
+    small_batches(spark)
+    if len(blocks) == 1:
+        block, at = blocks[0], names.index("text")
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                old = batch.column(at).cast(pa.binary()).to_pylist()
-                new = [None if t is None else without_spans(t, automaton, sizes, max_words=max_words, max_coverage=max_coverage, max_share=max_share) for t in old]
-                stays = [n is not None or o is None for n, o in zip(new, old)]
-                text = pa.array([n.decode() if n is not None else None for n in new], pa.string())
-                columns = list(batch.columns)
-                if "n_chars" in names:
-                    i = names.index("n_chars")
-                    counts = columns[i].to_pylist()
-                    columns[i] = pa.array([c if n is o or n == o else len(n.decode()) if n is not None else c for c, n, o in zip(counts, new, old)], columns[i].type)
-                columns[at] = text.cast(batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stays))
-
-        from inkstone.llm.common import small_batches
-
-        small_batches(docs.sparkSession)
-        out = out.mapInArrow(run, schema)
-    return out
+                found = [(spans, least) for _, spans, _, least in map(block.scan, as_bytes(batch.column(at)))]
+                yield _rewritten(list(batch.columns), names, batch.schema, found, limits)
+
+        return docs.mapInArrow(scan, schema)
+
+    mark = "_hit"
+    while any(c.lower().startswith(mark) for c in names):
+        mark += "_"
+    hits = _hits([_scan(docs, b, "doc_id", "text") for b in blocks]).toDF(*[f"{mark}{i}" for i in range(5)])
+    same = docs["doc_id"].cast("bigint").eqNullSafe(hits[f"{mark}0"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == hits[f"{mark}1"])
+    joined = docs.join(hits, same, "left").select(*[docs[c] for c in names], f"{mark}2", f"{mark}4")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, least = (batch.column(i).to_pylist() for i in (width, width + 1))
+            found = [([(x["first"], x["end"]) for x in s or ()], n or 0) for s, n in zip(spans, least)]
+            kept = pa.schema([batch.schema.field(i) for i in range(width)])
+            yield _rewritten(list(batch.columns[:width]), names, kept, found, limits)
+
+    return joined.mapInArrow(cut, schema)

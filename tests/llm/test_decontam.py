@@ -58,3 +58,19 @@ def test_clean(spark):
     rows = [(1, f"{clean}One two, three four FIVE six seven eight nine! {clean}"), (2, item), (3, clean), (4, None), (5, LONG)]
     got = {r.doc_id: r.text for r in D.clean(docs(spark, rows), items_df(spark, [(1, item)])).collect()}
     assert got == {1: f"{clean}! {clean}", 3: clean, 4: None, 5: LONG}
+
+
+def test_clean_in_blocks_gives_the_same(spark):
+    items, texts = make(4)
+    rows = [*texts, *texts[:3], (None, "a b c a b c a b"), *EDGE]
+    for how in ({"max_share": 0.3}, {"max_words": 9, "max_coverage": 1.5, "max_share": 0.3}):
+        whole, parts = (D.clean(docs(spark, rows), items_df(spark, items), block_words=n, **how) for n in (D.BLOCK_WORDS, 10))
+        assert whole.columns == parts.columns
+        want = sorted(map(repr, whole.collect()))
+        assert want == sorted(map(repr, parts.collect())) and 0 < len(want) < len(rows)
+
+
+def test_clean_after_a_clashing_name(spark):
+    df = docs(spark, [(1, "x"), (2, "a b c d")], extra=False).selectExpr("*", "'clash' as _hit2", "1 as n_chars")
+    got = D.clean(df, items_df(spark, [(i, f"{a} {b}") for i, (a, b) in enumerate(["ab", "cd"] * 9)]), block_words=1, max_share=1.0).collect()
+    assert sorted((r.doc_id, r.text, r._hit2, r.n_chars) for r in got) == [(1, "x", "clash", 1), (2, "", "clash", 0)]
