@@ -113,17 +113,24 @@ def prompt(block: Column, entities: Column, original: Column) -> Column:
     return F.concat(block, kb, original)
 
 
-def per_query_examples(queries: DataFrame, pool: DataFrame, anchors: int = 2) -> DataFrame:
-    """``q, ex``: for each query the pool's rows of its pattern that are nearest in length, and the first of each other pattern.
+def per_query_examples(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """``q, ex``: for each query the pool's rows of its pattern that are nearest in length, one shorter and one as long
+    or longer, and the first of each other pattern.
 
-    ``queries`` is a stated query set; both have id, pattern, n. Nearest rows come from windows over the pool's
-    lengths, merged with the queries, so no pair is formed that is not returned.
+    ``queries`` is a stated query set; both have id, pattern, n, and a query that is in the pool is no example of
+    itself. Nearest rows come from windows over the pool's lengths, merged with the queries, so no pair is formed
+    that is not returned.
     """
-    both = queries.select(F.col("id").alias("q"), "pattern", "n", F.lit(None).cast("bigint").alias("ex")).unionByName(pool.select(F.lit(None).cast("bigint").alias("q"), "pattern", "n", F.col("id").alias("ex")))
+    place = Window.partitionBy("pattern").orderBy("n", "id")
+    beside = pool.select("pattern", "n", F.col("id").alias("ex"), F.lag("id").over(place).alias("less"), F.lead("id").over(place).alias("more"))
+    asked = queries.select(F.col("id").alias("q"), "pattern", "n")
+    both = asked.unionByName(beside.withColumn("x", F.struct("ex", "less", "more")), allowMissingColumns=True)
     w = Window.partitionBy("pattern").orderBy("n", F.coalesce("ex", F.lit(-1)), "q")
-    before = F.last("ex", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("ex", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("a", before).withColumn("b", after).where("q is not null").select("q", F.explode(F.array_distinct(F.array("a", "b"))).alias("ex")).where("ex is not null")
+    before = F.last("x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("x", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    other = lambda x, next_one: F.when(F.col(x)["ex"] == F.col("q"), F.col(x)[next_one]).otherwise(F.col(x)["ex"])
+    near = both.withColumn("a", before).withColumn("b", after).where("q is not null")
+    near = near.select("q", F.explode(F.array_distinct(F.array(other("a", "less"), other("b", "more")))).alias("ex")).where("ex is not null")
     firsts = pool.groupBy("pattern").agg(F.min("id").alias("ex"))  # one row for each pattern
     others = queries.select(F.col("id").alias("q"), F.col("pattern").alias("own")).join(F.broadcast(firsts.agg(F.collect_list(F.struct("pattern", "ex")).alias("f"))))
     rest = others.select("q", "own", F.explode("f").alias("f")).where("f.pattern <> own").select("q", F.col("f.ex").alias("ex"))

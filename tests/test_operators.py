@@ -223,3 +223,17 @@ def test_distances_in_blocks(spark):
     want = sorted((a, b, round(((a - b) ** 2 + (a * a % 7 - b * b % 7) ** 2) ** 0.5, 6)) for a in range(0, 30, 3) for b in range(30) if a != b)
     for block in (2, 512):
         assert sorted((r.a, r.b, round(r.distance, 6)) for r in distances(few, v, block).collect()) == want
+
+
+def test_examples_for_queries_of_the_pool(spark):
+    from inkstone.operators.names import per_query_examples
+
+    rows = [(i, "xyz"[i % 3], i * 7 % 12) for i in range(40)]
+    pool = spark.createDataFrame(rows, "id bigint, pattern string, n int")
+    got = {tuple(r) for r in per_query_examples(pool.where("id % 10 = 0"), pool).collect()}
+    want = set()
+    for q, p, n in rows[::10]:
+        mine = [(m, i) for i, o, m in rows if o == p and i != q]
+        want |= {(q, i) for _, i in [max((x for x in mine if x[0] < n), default=(0, None)), min((x for x in mine if x[0] >= n), default=(0, None))] if i is not None}
+        want |= {(q, min(i for i, o, _ in rows if o == other)) for other in "xyz" if other != p}
+    assert got == want
