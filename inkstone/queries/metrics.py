@@ -108,10 +108,18 @@ def k9(spark, sf):
     return M.bootstrap_ratio(rows, "h", "t", "l_suppkey")
 
 
-@query("k10_bootstrap_chrf")
+@query(
+    "k10_bootstrap_chrf",
+    f"""with {_stats(6)}, u as materialized (select seq, row_number() over (order by seq) - 1 place from (select distinct seq from st)), c as (select count(*) n from u),
+    w as (select it, place, count(*) w from (select it, {_DRAW} % n as place from c, range(0, 1000) a(it), unnest(range(0, n)) b(j)) group by it, place),
+    s as (select it, st.n, sum(w * hyp) hyp, sum(w * ref) ref, sum(w * m) m from w join u using (place) join st using (seq) group by it, st.n),
+    a as (select it, avg(m / hyp) p, avg(m / ref) r from s where hyp > 0 and ref > 0 group by it), f as (select {_F} as x from a)
+    select round(median(x), 6) as median, round(min(x), 6) as low, round(max(x), 6) as high from f""",
+    "pairs",
+)
 def k10(spark, sf):
     st = M.ngram_stats(bind(spark, sf, "pairs"), "translation", "original", 6)
-    return M.bootstrap_chrf(st, "seq").agg(F.median("chrf").alias("median"), F.min("chrf").alias("low"), F.max("chrf").alias("high"))
+    return M.bootstrap_chrf(st, "seq").agg(*[F.round(f("chrf"), 6).alias(name) for f, name in ((F.median, "median"), (F.min, "low"), (F.max, "high"))])
 
 
 @query("k11_non_inferiority", "with m as (select variant, avg(value) v, avg(hit / total) r, count(*) n from score group by variant) select b.variant, case when b.n < 10 then 2 when a.v - b.v <= 2.0 and a.r - b.r <= 0 then 0 else 1 end as exit_code from m a, m b where a.variant = 'p0' and b.variant <> 'p0'", "score")

@@ -240,7 +240,15 @@ def l28(spark, sf):
     return N.weighted_pick(pool, "w", "user_id", 20).select("user_id")
 
 
-@query("l29_per_query_examples")
+@query(
+    "l29_per_query_examples",
+    """with p as (select seq as id, lang as pattern, length(original) as n from corpus), q as (select * from p where id % 100 = 0),
+    pairs as (select q.id as q, q.n as q_n, p.* from q join p on q.pattern = p.pattern and q.id <> p.id), f as (select pattern, min(id) as ex from p group by pattern)
+    select q, arg_max(id, n * 1000000000 + id) as ex from pairs where n < q_n group by q
+    union select q, arg_min(id, n * 1000000000 + id) as ex from pairs where n >= q_n group by q
+    union select q.id as q, ex from q join f on q.pattern <> f.pattern""",
+    "corpus",
+)
 def l29(spark, sf):
     c = bind(spark, sf, "corpus").select(F.col("seq").alias("id"), F.col("lang").alias("pattern"), F.length("original").alias("n"))
     return N.per_query_examples(c.where("id % 100 = 0"), c)
