@@ -9,6 +9,10 @@ Defined cases: a text of fewer lines than a window, an empty and a null text sta
 windows of blank lines alone are no windows; a row without doc_id comes last; of rows that share a
 doc_id, windows at the same line are one occurrence, so repeated rows are treated alike. Other
 columns are not read by ``covered`` and stay as they are in ``deduplicate``.
+
+With ``short``, which the pipeline's stage sets and the query's fixed SQL does not have, a text of fewer
+lines than a window is one window too, compared with such texts, and so is each line of over
+``LONG_WORDS`` words by itself.
 """
 
 from __future__ import annotations
@@ -17,41 +21,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 3
+LONG_WORDS = 50
 _LAST = 2**63 - 1
 
 
-def _windows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``key, text_hash, line, h1, h2`` of each window."""
+def _windows(docs: DataFrame, size: int, id_col: str, text_col: str, short: bool) -> DataFrame:
+    """``key, text_hash, line, n, h1, h2`` of each window; n is how many lines it has."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.split(text_col, "\n").alias("lines"))
-    rows = rows.where(F.size("lines") >= size)
+    if not short:
+        rows = rows.where(F.size("lines") >= size)
 
     def window(i):
         lines = [F.get("lines", i + k) for k in range(size)]
-        return F.struct(i.cast("int").alias("line"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(size), *lines).alias("h2"), F.concat(*lines).rlike(r"\S").alias("has_words"))
+        return F.struct(i.cast("int").alias("line"), F.lit(size).alias("n"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(size), *lines).alias("h2"), F.concat(*lines).rlike(r"\S").alias("has_words"))
+
+    def other(i, n, text, kind):
+        # the kind keeps the hashes of long lines and short texts apart
+        return F.struct(i.cast("int").alias("line"), n.alias("n"), F.xxhash64(F.lit(kind), text).alias("h1"), F.xxhash64(text, F.lit(kind)).alias("h2"), text.rlike(r"\S").alias("has_words"))
 
-    w = F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), window))
-    return rows.select("key", "text_hash", w.alias("w")).where("w.has_words").select("key", "text_hash", "w.line", "w.h1", "w.h2")
+    found = F.transform(F.sequence(F.lit(0), F.size("lines") - size), window)
+    if short:
+        whole = F.array(other(F.lit(0), F.size("lines"), F.array_join("lines", "\n"), "text"))
+        line = lambda i: F.get("lines", i)
+        is_long = lambda i: line(i).rlike(r"^\s*+(?:\S++\s++){%d}\S" % LONG_WORDS)
+        long = F.transform(F.filter(F.sequence(F.lit(0), F.size("lines") - 1), is_long), lambda i: other(i, F.lit(1), line(i), "line"))
+        found = F.concat(F.when(F.size("lines") >= size, found).otherwise(whole), long)
+    return rows.select("key", "text_hash", F.explode(found).alias("w")).where("w.has_words").select("key", "text_hash", "w.line", "w.n", "w.h1", "w.h2")
 
 
-def covered(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, text_hash, starts``: first lines of the later occurrences in each document that has any."""
-    windows = _windows(docs, size, id_col, text_col).withColumn("place", F.expr("cast(key as decimal(28,0)) * 1000000000 + line"))
-    repeated = windows.groupBy("h1", "h2").agg(F.min("place").alias("first_place"), F.count("*").alias("n")).where("n > 1").drop("n")
+def covered(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """``key, text_hash, starts``: first line and number of lines of the later occurrences in each document that has any."""
+    windows = _windows(docs, size, id_col, text_col, short).withColumn("place", F.expr("cast(key as decimal(28,0)) * 1000000000 + line"))
+    repeated = windows.groupBy("h1", "h2").agg(F.min("place").alias("first_place"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = windows.join(repeated, ["h1", "h2"]).where("place > first_place")
-    return later.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("starts"))
+    return later.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set(F.struct("line", "n"))).alias("starts"))
 
 
-def deduplicate(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, short: bool = False) -> DataFrame:
     """The documents without their covered lines, plus ``n_lines`` and ``n_removed``.
 
     ``drop_emptied`` drops documents that lose every line. ``n_chars`` follows the text.
     """
-    found = covered(docs, size=size, id_col=id_col, text_col=text_col).withColumnsRenamed({"key": "_key", "text_hash": "_text_hash", "starts": "_starts"})
+    found = covered(docs, size=size, id_col=id_col, text_col=text_col, short=short).withColumnsRenamed({"key": "_key", "text_hash": "_text_hash", "starts": "_starts"})
     match = (F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)) == F.col("_key")) & (F.xxhash64(text_col) == F.col("_text_hash"))
     joined = docs.join(found, match, "left")
     lines = F.split(text_col, "\n")
     # positions that the windows cover, merged: each window adds its lines once
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (size - 1)))))
+    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["line"], s["line"] + s["n"] - 1))))
     # lines between the covered ones, gap by gap, so that long texts need no search for each line
     stops = F.concat(gone, F.array(F.size(lines)))
     gaps = F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), gone), stops, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
