@@ -35,6 +35,7 @@ from inkstone.llm.common import as_text, map_arrow
 BLOCK = 1 << 19
 CACHED_PIECES = 300_000
 CACHED_LENGTH = 64
+MERGED_BYTES = 1 << 22  # merge_many keeps places in 24 bits
 _NEVER = 1 << 30  # above every rank
 
 # Symbols: what the machine tells apart.
@@ -298,8 +299,17 @@ class Codec:
             if (r := self.ranks.get(b)) is not None:
                 self.cache[p] = (self.ints[r],)
         rest = [(p, b) for p, b in zip(new, data) if p not in self.cache]
+        low = size = 0
+        for k, (_, b) in enumerate(rest):
+            if size and size + len(b) > MERGED_BYTES:
+                self._cache_merged(rest[low:k])
+                low, size = k, 0
+            size += len(b)
         if rest:
-            self.cache.update(zip([p for p, _ in rest], self.merge_many([b for _, b in rest])))
+            self._cache_merged(rest[low:])
+
+    def _cache_merged(self, rest: list[tuple[str, bytes]]) -> None:
+        self.cache.update(zip([p for p, _ in rest], self.merge_many([b for _, b in rest])))
 
     def of_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The ids of each piece."""

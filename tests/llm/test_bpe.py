@@ -65,3 +65,16 @@ def test_round_trip_and_offsets(spark):
     assert back == sorted((i, t) for i, t in EDGE[4:])
     for r in encoded.collect():
         assert len(r.offsets) == r.n_tokens and list(r.offsets) == sorted(r.offsets)
+
+
+def test_new_pieces_merge_in_bounded_slices(both, monkeypatch):
+    codec, theirs = both
+    codec.cache.clear()
+    seen = []
+    merge_many = codec.merge_many
+    monkeypatch.setattr(bpe, "MERGED_BYTES", 500, raising=False)
+    monkeypatch.setattr(codec, "merge_many", lambda pieces: seen.append(sum(map(len, pieces))) or merge_many(pieces))
+    r = random.Random(5)
+    text = " ".join("".join(r.choice("abcdefxyz") for _ in range(r.randrange(5, 40))) for _ in range(800))
+    assert list(codec.encode_batch([text])) == [theirs.encode_ordinary(text)]
+    assert len(seen) > 10 and max(seen) <= 500
