@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from inkstone.session import durable, ship_code  # noqa: F401
 
@@ -32,6 +33,35 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch], pa.Schema],
     return df.mapInArrow(lambda batches: fn(batches, schema), ddl)
 
 
+def id_kind(docs: DataFrame, id_col: str = "doc_id") -> str:
+    """The type in which ids travel: whole numbers as bigint, all else as string."""
+    return "bigint" if isinstance(docs.schema[id_col].dataType, IntegralType) else "string"
+
+
+def ids_and(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "doc_id") -> DataFrame:
+    """The ids and texts alone, so that no other column can clash with what an operator adds."""
+    return docs.select(F.col(id_col).cast(id_kind(docs, id_col)).alias(name), F.col(text_col).alias("text"))
+
+
+def id_number(docs: DataFrame, id_col: str = "doc_id") -> Column:
+    """Ids as numbers that keep the order of whole numbers; other ids by 64 hash bits, whose order is fixed. Null stays null."""
+    if id_kind(docs, id_col) == "bigint":
+        return F.col(id_col).cast("bigint")
+    return F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after those that the documents have as columns."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

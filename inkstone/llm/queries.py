@@ -65,7 +65,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal data."""
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"), KEY).select("doc_id", *[F.coalesce(F.col("found")[k], F.lit(0)).alias(f"n_{k}") for k in pii.KINDS], "text")
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY).select("doc_id", *[F.coalesce(F.col("found")[k], F.lit(0)).alias(f"n_{k}") for k in pii.KINDS], "text")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
