@@ -6,9 +6,11 @@ least (doc_id, line); every later occurrence is covered, and a line in a covered
 an earlier equal line exists for each line that goes, every distinct line stays somewhere.
 
 Defined cases: a text of fewer lines than a window, an empty and a null text stay as they are;
-windows of blank lines alone are no windows; a row without doc_id comes last; of rows that share a
-doc_id, windows at the same line are one occurrence, so repeated rows are treated alike. Other
-columns are not read by ``covered`` and stay as they are in ``deduplicate``.
+windows of blank lines alone are no windows. Ids that are no whole numbers come in the order of a hash.
+A row without id comes after all ids, in the order of a hash of its text. Rows of one id and text are
+one document, so repeated rows, with an id or without, are treated alike. Columns of the input keep
+their names and values, but for the text and ``n_chars``, which follows it; ``n_lines`` and ``n_removed``
+get underscores at their end where the input has columns of these names.
 
 With ``short``, which the pipeline's stage sets and the query's fixed SQL does not have, a text of fewer
 lines than a window is one window too, compared with such texts, and so is each line of over
@@ -20,14 +22,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.common import id_number, unused
+
 SIZE = 3
 LONG_WORDS = 50
-_LAST = 2**63 - 1
 
 
 def _windows(docs: DataFrame, size: int, id_col: str, text_col: str, short: bool) -> DataFrame:
     """``key, text_hash, line, n, h1, h2`` of each window; n is how many lines it has."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.split(text_col, "\n").alias("lines"))
+    rows = docs.select(id_number(docs, id_col).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.split(text_col, "\n").alias("lines"))
     if not short:
         rows = rows.where(F.size("lines") >= size)
 
@@ -51,32 +54,42 @@ def _windows(docs: DataFrame, size: int, id_col: str, text_col: str, short: bool
 
 def covered(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``key, text_hash, starts``: first line and number of lines of the later occurrences in each document that has any."""
-    windows = _windows(docs, size, id_col, text_col, short).withColumn("place", F.expr("cast(key as decimal(28,0)) * 1000000000 + line"))
+    owner = f"coalesce(cast(key as decimal(20,0)), {2**63} + shiftrightunsigned(text_hash, 1))"
+    windows = _windows(docs, size, id_col, text_col, short).withColumn("place", F.expr(f"cast({owner} as decimal(20,0)) * 1000000000 + line"))
     repeated = windows.groupBy("h1", "h2").agg(F.min("place").alias("first_place"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = windows.join(repeated, ["h1", "h2"]).where("place > first_place")
     return later.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set(F.struct("line", "n"))).alias("starts"))
 
 
-def deduplicate(docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, short: bool = False) -> DataFrame:
-    """The documents without their covered lines, plus ``n_lines`` and ``n_removed``.
+def deduplicate(
+    docs: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, short: bool = False, counts: bool = True
+) -> DataFrame:
+    """The documents without their covered lines, plus ``n_lines`` and ``n_removed`` if ``counts``.
 
     ``drop_emptied`` drops documents that lose every line. ``n_chars`` follows the text.
     """
-    found = covered(docs, size=size, id_col=id_col, text_col=text_col, short=short).withColumnsRenamed({"key": "_key", "text_hash": "_text_hash", "starts": "_starts"})
-    match = (F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)) == F.col("_key")) & (F.xxhash64(text_col) == F.col("_text_hash"))
+    key, text_hash, starts, gone, whole, n_lines, n_removed = unused(docs, "_key", "_text_hash", "_starts", "_gone", "_whole", "n_lines", "n_removed")
+    found = covered(docs, size=size, id_col=id_col, text_col=text_col, short=short).toDF(key, text_hash, starts)
+    match = id_number(docs, id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(text_hash))
     joined = docs.join(found, match, "left")
     lines = F.split(text_col, "\n")
     # positions that the windows cover, merged: each window adds its lines once
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["line"], s["line"] + s["n"] - 1))))
+    covering = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s["line"], s["line"] + s["n"] - 1))))
     # lines between the covered ones, gap by gap, so that long texts need no search for each line
-    stops = F.concat(gone, F.array(F.size(lines)))
-    gaps = F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), gone), stops, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("_gone", gone)
-    out = out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-    changed = F.col("_starts").isNotNull()
-    kept = F.when(changed, F.array_join(gaps, "\n")).otherwise(F.col(text_col))
-    out = out.withColumn("_text", kept)
+    stops = F.concat(F.col(gone), F.array(F.size(lines)))
+    gaps = F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), F.col(gone)), stops, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+    out = joined.withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn(gone, covering)
+    out = out.withColumn(n_removed, F.coalesce(F.size(gone), F.lit(0)).cast("bigint"))
+    changed = F.col(starts).isNotNull()
+    out = out.withColumn(whole, F.when(changed, F.array_join(gaps, "\n")).otherwise(F.col(text_col)))
     if drop_emptied:
-        out = out.where("n_removed < n_lines or n_lines = 0")
-    columns = [F.col("_text").alias(text_col) if c == text_col else F.when(changed, F.length("_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns, "n_lines", "n_removed")
+        out = out.where((F.col(n_removed) < F.col(n_lines)) | (F.col(n_lines) == 0))
+
+    def column(c: str):
+        if c == text_col:
+            return F.col(whole).alias(c)
+        if c == "n_chars":
+            return F.when(changed, F.length(whole)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(c)
+
+    return out.select(*map(column, docs.columns), *([n_lines, n_removed] if counts else []))
