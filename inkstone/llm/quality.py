@@ -7,7 +7,8 @@ The list is emitted as one ordered Spark conditional expression.
 
 The rules are fitted on at most ``FIT_ROWS`` labelled documents, those with the least hash of their
 id; statistics and verdicts cover every document. Null texts count as empty. Ratios of texts
-without words are 0. Labels that are null, or that repeat with another value, do not teach.
+without words are 0. Labels that are null, or that repeat with another value, do not teach. Ids may be whole
+numbers of any size or strings; rows without id are judged like all others.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from inkstone.llm.common import as_bytes, map_arrow, small_batches
+from inkstone.llm.common import as_bytes, id_kind, ids_and, map_arrow, small_batches
 
 FIT_ROWS = 20_000
 SYMBOLS = b"#*$%&|<>"
-STATS = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_digits bigint, n_marks bigint, n_lines bigint, n_chars bigint"
+STATS = "doc_id {id}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_upper bigint, n_digits bigint, n_marks bigint, n_lines bigint, n_chars bigint"
 _UPPER, _DIGITS, _MARKS, _SPACES = bytes(range(65, 91)), b"0123456789", b"!?", b" \t\n\x0b\x0c\r"
 _TAILS = bytes(range(0x80, 0xC0))  # UTF-8 bytes that start no code point
 
@@ -71,16 +72,17 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     return (len(words), points - count(_SPACES), count(SYMBOLS), dups, repeated_words(words), count(_UPPER), count(_DIGITS), count(_MARKS), lines, points)
 
 
-def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts of every whole text, one row for each row."""
+def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
+    """The counts of every whole text, one row for each row, and a whole-number label if named."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_stats(t) for t in as_bytes(batch.column(1))]
             columns = zip(*rows) if rows else [[]] * 10
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), *batch.columns[2:]], schema=schema)
 
-    return map_arrow(docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} text"), run, STATS)
+    rows = ids_and(docs, id_col, text_col) if label_col is None else docs.select(F.col(id_col).cast(id_kind(docs, id_col)).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    return map_arrow(rows, run, STATS.format(id=id_kind(docs, id_col)) + ", label int" * (label_col is not None))
 
 
 #: Ratios that the rules may bound: name, numerator, denominator.
@@ -190,26 +192,29 @@ def learn(x: np.ndarray, bad: np.ndarray, *, most_rules: int = 12, most_terms: i
 
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, label_col: str = "quality", **how: float) -> list[Rule]:
     """Rules from at most ``fit_rows`` labelled documents; label 0 is what to reject."""
+    texts = ids_and(docs)
     known = (
-        labels.selectExpr("cast(doc_id as bigint) label_id", f"cast({label_col} as int) label")
+        labels.select(F.col("doc_id").cast(id_kind(docs)).alias("label_id"), F.col(label_col).cast("int").alias("label"))
         .where("label_id is not null and label in (0, 1)")
         .groupBy("label_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("most"))
         .where("label = most")
     )
-    # a first cut by hash leaves a few times fit_rows, so that the sort for the rest meets few rows at any size
-    share = min(1.0, 4 * fit_rows / max(1, known.count()))
+    # a first cut by hash leaves some four times fit_rows, so that the sort for the rest meets few rows at any
+    # size; that it leaves fewer than fit_rows has a probability under 1e-30, with few rows too
+    share = min(1.0, (4 * fit_rows + 200) / max(1, known.count()))
     if share < 1:
         known = known.where(F.xxhash64("label_id") < F.lit(int(-(2**63) + share * 2**64)))
-    # at most fit_rows pairs of an id and a bit: a few hundred kilobytes
+    # at most fit_rows pairs of an id and a label: a few hundred kilobytes
     chosen = known.select("label_id", "label").orderBy(F.xxhash64("label_id"), "label_id").limit(fit_rows)
-    taught = docs.join(F.broadcast(chosen), docs["doc_id"].cast("bigint") == chosen["label_id"]).select("label_id", "text", "label")
-    rows = stats(taught.selectExpr("label_id * 2 + label as doc_id", "text")).select("doc_id", F.struct(*[ratio(r[0]).alias(r[0]) for r in RATIOS]).alias("r"))
-    rows = rows.groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*").toPandas()  # one row for each chosen id
+    taught = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    found = stats(taught, label_col="label").select("doc_id", "label", F.struct(*[ratio(r[0]).alias(r[0]) for r in RATIOS]).alias("r"))
+    # rows that share an id teach once, by the least ratios; one row for each chosen id reaches the driver
+    rows = found.groupBy("doc_id", "label").agg(F.min("r").alias("r")).select("doc_id", "label", "r.*").toPandas()
     if not len(rows):
         return []
     rows = rows.sort_values("doc_id").reset_index(drop=True)
-    return learn(rows[[r[0] for r in RATIOS]].to_numpy(float), (rows["doc_id"] % 2 == 0).to_numpy(), **how)
+    return learn(rows[[r[0] for r in RATIOS]].to_numpy(float), (rows["label"] == 0).to_numpy(), **how)
 
 
 def verdict(rules: list[Rule]) -> Column:
