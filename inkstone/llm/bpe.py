@@ -12,7 +12,7 @@ is the public one::
 Texts longer than ``BLOCK`` code points are scanned block by block; a block ends at a token start,
 where the pattern looks at nothing to the left, so the result is that of one scan.
 
-Null and empty texts have no tokens. Rows keep their order and repeats; other columns are not read.
+Null and empty texts have no tokens. Ids may be whole numbers or strings. Rows keep their order and repeats; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm.common import as_text, map_arrow
+from inkstone.llm.common import as_text, id_kind, ids_and, map_arrow
 
 BLOCK = 1 << 19
 CACHED_PIECES = 300_000
@@ -354,8 +354,8 @@ def ship_ranks(spark: SparkSession, path: str) -> Broadcast[bytes]:
         return spark.sparkContext.broadcast(f.read())
 
 
-ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>, offsets array<int>"
-DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+ENCODED = "doc_id {id}, n_tokens bigint, ids array<int>, offsets array<int>"
+DIGESTS = "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +374,7 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int32()))], schema=schema
             )
 
-    return map_arrow(docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} text"), run, ENCODED)
+    return map_arrow(ids_and(docs, id_col, text_col), run, ENCODED.format(id=id_kind(docs, id_col)))
 
 
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
@@ -386,7 +386,7 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], schema=schema)
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id bigint, decoded binary")
+    return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {id_kind(encoded)}, decoded binary")
 
 
 def digests(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -411,4 +411,4 @@ def digests(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: s
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return map_arrow(docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} text"), run, DIGESTS + ", ids array<int>" * with_ids)
+    return map_arrow(ids_and(docs, id_col, text_col), run, DIGESTS.format(id=id_kind(docs, id_col)) + ", ids array<int>" * with_ids)

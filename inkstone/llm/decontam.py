@@ -5,11 +5,12 @@ streamed through it; the longest match that ends at each word tells which words
 occurrence of a window (``window`` consecutive item words; a shorter item is one window).
 
 Items are dealt to blocks of at most ``block_words`` words, give or take one item. A block is broadcast
-and each worker builds its automaton, about a kilobyte a word, so what a worker holds has a bound
-whatever the benchmark's size; documents are scanned once per block.
+and each Python worker builds its automaton, about a kilobyte a word, so what an executor holds is
+that times its cores whatever the benchmark's size; documents are scanned once per block.
 
 Null or empty texts have no words and no hits. Items without words are ignored; equal items share
-windows and each counts. Rows keep their repeats: equal rows give equal results.
+windows and each counts. Rows keep their repeats: equal rows give equal results. Ids of documents and
+items may be whole numbers or strings; items without id are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import as_bytes, map_arrow, plain_words, small_batches
+from inkstone.llm.common import as_bytes, durable, id_kind, map_arrow, plain_words, small_batches, unused
 
 WINDOW = 8
 BLOCK_WORDS = 500_000
@@ -148,8 +149,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-SCANNED = "doc_id bigint, row_key bigint, n_words bigint, spans array<struct<first:int,end:int>>, items array<bigint>, least int"
-HIT = "hit_id bigint, hit_key bigint, spans array<struct<first:int,end:int>>, items array<bigint>, least int"
+SCANNED = "doc_id {id}, row_key bigint, n_words bigint, spans array<struct<first:int,end:int>>, items array<{item}>, least int"
+HIT = "hit_id {id}, hit_key bigint, spans array<struct<first:int,end:int>>, items array<{item}>, least int"
 
 _BUILT: dict[str, tuple[SuffixAutomaton, dict[int, int]]] = {}
 
@@ -178,7 +179,7 @@ class Block:
 
 def _blocks(spark: SparkSession, items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
     """Items in blocks of about ``block_words`` words, each block on the driver alone; at least one block."""
-    rows = items.selectExpr("cast(item_id as bigint) item_id", "text").where("item_id is not null and text is not null")
+    rows = items.select(F.col("item_id").cast(id_kind(items, "item_id")).alias("item_id"), "text").where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // (4 * block_words)) or 1  # a word and its gap take four bytes or more, mostly
     for i in range(n):
@@ -188,7 +189,7 @@ def _blocks(spark: SparkSession, items: DataFrame, window: int, block_words: int
             yield Block(spark, sorted(block), window)
 
 
-def _scan(docs: DataFrame, block: Block, id_col: str, text_col: str) -> DataFrame:
+def _scan(docs: DataFrame, block: Block, item_kind: str, id_col: str, text_col: str) -> DataFrame:
     """What one block's automaton finds in each row."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -197,15 +198,16 @@ def _scan(docs: DataFrame, block: Block, id_col: str, text_col: str) -> DataFram
             columns = ([n for n, *_ in rows], [_structs(s) for _, s, *_ in rows], [sorted(h) for _, _, h, _ in rows], [x for *_, x in rows])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:]))], schema=schema)
 
-    rows = docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"xxhash64({id_col}, {text_col}) row_key", f"{text_col} text")
-    return map_arrow(rows, run, SCANNED)
+    kind = id_kind(docs, id_col)
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, SCANNED.format(id=kind, item=item_kind))
 
 
 def _structs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"first": a, "end": b} for a, b in spans]
 
 
-def _hits(scans: list[DataFrame]) -> DataFrame:
+def _hits(scans: list[DataFrame], item_kind: str) -> DataFrame:
     """Of several blocks' scans, the hits of each row together; rows without hits are absent, equal rows are one."""
     hits = scans[0].where("least > 0")
     for s in scans[1:]:
@@ -219,17 +221,19 @@ def _hits(scans: list[DataFrame]) -> DataFrame:
             spans = [_structs(merged([(s["first"], s["end"]) for s in row])) for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, schema.field(2).type), batch.column(3), batch.column(4)], schema=schema)
 
-    return map_arrow(grouped, run, HIT)
+    return map_arrow(grouped, run, HIT.format(id=id_kind(scans[0]), item=item_kind))
 
 
 def find(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: hit spans in words, items with occurring windows and the largest share of
     the shortest of these that one span has: ``doc_id, row_key, n_words, spans, items, coverage``."""
-    scans = [_scan(docs, block, id_col, text_col) for block in _blocks(docs.sparkSession, items, window, block_words)]
+    item_kind = id_kind(items, "item_id")
+    scans = [_scan(docs, block, item_kind, id_col, text_col) for block in _blocks(docs.sparkSession, items, window, block_words)]
     found = scans[0]
     if len(scans) > 1:
+        scans[0] = durable(scans[0])  # read twice: for the rows, and for their hits
         same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_key") == F.col("hit_key"))
-        rows = scans[0].select("doc_id", "row_key", "n_words").join(_hits(scans), same, "left")
+        rows = scans[0].select("doc_id", "row_key", "n_words").join(_hits(scans, item_kind), same, "left")
         found = rows.selectExpr("doc_id", "row_key", "n_words", "coalesce(spans, array()) spans", "coalesce(items, array()) items", "coalesce(least, 0) least")
     longest = F.array_max(F.transform("spans", lambda s: s["end"] - s["first"]))
     return found.select("doc_id", "row_key", "n_words", "spans", "items", F.when(F.col("least") > 0, longest / F.col("least")).otherwise(F.lit(0.0)).alias("coverage"))
@@ -310,12 +314,11 @@ def clean(
 
         return docs.mapInArrow(scan, schema)
 
-    mark = "_hit"
-    while any(c.lower().startswith(mark) for c in names):
-        mark += "_"
-    hits = _hits([_scan(docs, b, "doc_id", "text") for b in blocks]).toDF(*[f"{mark}{i}" for i in range(5)])
-    same = docs["doc_id"].cast("bigint").eqNullSafe(hits[f"{mark}0"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == hits[f"{mark}1"])
-    joined = docs.join(hits, same, "left").select(*[docs[c] for c in names], f"{mark}2", f"{mark}4")
+    item_kind = id_kind(items, "item_id")
+    marks = unused(docs, *[f"_hit{i}" for i in range(5)])
+    hits = _hits([_scan(docs, b, item_kind, "doc_id", "text") for b in blocks], item_kind).toDF(*marks)
+    same = F.col("doc_id").cast(id_kind(docs)).eqNullSafe(F.col(marks[0])) & (F.xxhash64("doc_id", "text") == F.col(marks[1]))
+    joined = docs.join(hits, same, "left").select(*names, marks[2], marks[4])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import as_bytes, durable, map_arrow
+from inkstone.llm.common import as_bytes, durable, id_kind, ids_and, map_arrow, unused
 from inkstone.llm.components import components
 
 BITS = 64
@@ -60,12 +60,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint of every whole text; null and empty texts have 0."""
+
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, shingle, seed) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], schema=schema)
 
-    return map_arrow(docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} text"), run, "doc_id bigint, fp bigint")
+    return map_arrow(ids_and(docs, id_col, text_col), run, f"doc_id {id_kind(docs, id_col)}, fp bigint")
 
 
 def tables(n: int, budget: int = BUDGET) -> list[list[tuple[int, int]]]:
@@ -251,7 +252,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BU
 
     component_id is the least doc_id reachable over links; equal fingerprints link, so texts without
     words form one component. A row without doc_id takes part through its fingerprint; if no row of
-    its component has an id, component_id is null.
+    its component has an id, component_id is null. Ids that are no whole numbers are strings, the least
+    in their order.
     """
     prints = durable(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col))
     # the node of a fingerprint is the fingerprint itself: unique, also where ids are null or repeat
@@ -272,5 +274,6 @@ def deduplicate(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET
     Among rows of one doc_id all stay or all go.
     """
     found = near_duplicates(docs, shingle=shingle, budget=budget, seed=seed)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    (gone_id,) = unused(docs, "gone_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id").cast(id_kind(docs)) == F.col(gone_id), "left_anti")

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm import bpe
-from inkstone.llm.common import as_text, map_arrow
+from inkstone.llm.common import as_text, id_kind, map_arrow
 
 RULES = ("start", "end", "most")
-COUNTS = "doc_id bigint, n_chars bigint, n_tokens bigint, n_sections bigint, n_crossing bigint, section_starts array<int>, section_tokens array<int>, field_tokens array<int>"
+COUNTS = "doc_id {id}, n_chars bigint, n_tokens bigint, n_sections bigint, n_crossing bigint, section_starts array<int>, section_tokens array<int>, field_tokens array<int>"
 
 
 def attribute(token_starts: np.ndarray, size: int, section_starts: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
@@ -81,5 +81,5 @@ def count(docs: DataFrame, rank_path: str, *, fields: tuple[str, ...] = ("text",
             columns = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[F.col(f).cast("string").alias(f"field_{i}") for i, f in enumerate(fields)])
-    return map_arrow(rows, run, COUNTS)
+    rows = docs.select(F.col(id_col).cast(id_kind(docs, id_col)).alias("doc_id"), *[F.col(f).cast("string").alias(f"field_{i}") for i, f in enumerate(fields)])
+    return map_arrow(rows, run, COUNTS.format(id=id_kind(docs, id_col)))
