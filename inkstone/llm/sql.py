@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from inkstone.llm.licenses import TEMPLATES
+
 _WORDS = r"string_split(trim(regexp_replace(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
 
 OP1 = f"""
@@ -29,36 +31,45 @@ select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(len(g)
 from d left join gone using (doc_id)
 """
 
-# The templates and phrases of the license scan.
-_TEMPLATES = """
-values ('apache-2.0', 'licensed under the apache license version 2 0'),
-       ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met'),
-       ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
-       ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
-       ('gpl-3.0', 'this work is licensed under the gnu general public license version 3'),
-       ('mit', 'released under the mit license'),
-       ('mit-grant', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
-       ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license'),
-       ('public-domain', 'this work has been released into the public domain')
-"""
+
+def _list(words: list[bytes]) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+def _templates() -> str:
+    """The templates as rows: number, label, words, least overlap, width of a block, naming phrases."""
+    rows = []
+    for k, t in enumerate(TEMPLATES):
+        size = len(set(t.words))
+        need, width = -(-size * 4 // 5), -(-len(t.words) * 5 // 4)  # threshold 0.8
+        rows.append(f"({k}, '{t.label}', {_list(t.words)}, {need}, {width}, [{', '.join(map(_list, t.phrases))}])")
+    return "values " + ",\n       ".join(rows)
+
 
 OP4 = f"""
-with t(name, said) as ({_TEMPLATES}),
-tw as (select name, unnest(list_distinct(string_split(said, ' '))) w, len(list_distinct(string_split(said, ' '))) size from t),
+with t(k, name, said, need, width, naming) as ({_templates()}),
+tw as (select k, unnest(list_distinct(said)) word from t),
+tp as (select k, j, naming[j] phrase from t, unnest(range(1, len(naming) + 1)) x(j)),
 d as (select doc_id, list_filter({_WORDS.format("text")}, lambda x: x <> '') w from documents),
 p(label, phrase) as (values ('cc-by', ['cc', 'by']), ('gpl', ['general', 'public', 'license']), ('reserved', ['all', 'rights', 'reserved'])),
 base as (select doc_id, label, i - 1 place from d, p, unnest(range(1, len(w) - len(phrase) + 2)) x(i) where w[i] = phrase[1] and w[i : i + len(phrase) - 1] = phrase),
-lines as (select doc_id, j, list_filter({_WORDS.format("line")}, lambda x: x <> '') w
-          from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) j from documents where text is not null)),
-blocks as (select doc_id, j, i, case when len(w) <= 64 then w else w[i : i + 63] end w
-           from lines, unnest(case when len(w) <= 64 then [1] else range(1, len(w) - 31, 32) end) x(i) where len(w) > 0),
-hits as (select doc_id, j, i, name, count(*) / any_value(size) c
-         from (select distinct doc_id, j, i, b from (select doc_id, j, i, unnest(w) b from blocks)) bw join tw on bw.b = tw.w
-         group by doc_id, j, i, name having count(*) >= 0.8 * any_value(size) - 1e-9),
+dw as (select doc_id, len(w) n, unnest(w) word, generate_subscripts(w, 1) - 1 pos from d),
+occ as (select doc_id, n, k, word, pos from dw join tw using (word)),
+may as (select doc_id, k from occ join t using (k) group by doc_id, k having count(distinct word) >= any_value(need)),
+near as (select occ.*, need, width, name, len(naming) phrases from occ join may using (doc_id, k) join t using (k)),
+starts as (select distinct doc_id, k, least(pos, greatest(n - width, 0)) s from near),
+named as (select doc_id, k, j, i - 1 pos, len(phrase) size from may join d using (doc_id) join tp using (k), unnest(range(1, len(w) - len(phrase) + 2)) x(i)
+          where w[i] = phrase[1] and w[i : i + len(phrase) - 1] = phrase),
+full_ as (select doc_id, k, s, any_value(name) as name, any_value(width) width, any_value(phrases) phrases, count(distinct word) shared
+          from starts join near using (doc_id, k) where pos between s and s + width - 1 group by doc_id, k, s having count(distinct word) >= any_value(need)),
+hits as (select f.doc_id, f.k, f.s, any_value(f.name) as name, any_value(shared) shared
+         from full_ f left join named m on f.doc_id = m.doc_id and f.k = m.k and m.pos >= f.s and m.pos + m.size <= f.s + f.width
+         group by f.doc_id, f.k, f.s having count(distinct j) = any_value(phrases)),
+sizes as (select k, count(*) size from tw group by k),
 b as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word from base group by doc_id),
 labelled as (select distinct doc_id, label, true is_base from base union all select distinct doc_id, name, false from hits),
 l as (select doc_id, string_agg(distinct label, ',' order by label) labels, string_agg(distinct label, ',' order by label) filter (where is_base) base_labels from labelled group by doc_id),
-s as (select doc_id, max(c) score from hits group by doc_id)
+s as (select doc_id, max(shared / size) score from hits join sizes using (k) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base, cast(first_word as bigint) first_word, cast(last_word as bigint) last_word,
        coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0) score
 from d left join b using (doc_id) left join l using (doc_id) left join s using (doc_id)

@@ -7,8 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from inkstone.llm import bpe, chat, licenses, lmscore, pii, tokencount
-from inkstone.llm.common import plain_words
+from inkstone.llm import bpe, chat, lmscore, pii, tokencount
 from tests.llm.helpers import EDGE, LONG, docs
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -49,31 +48,6 @@ def test_token_counts_of_fields(spark):
         tokencount.count(df, PATH, rule="other")
 
 
-# licenses
-def test_license_join_against_brute_force(spark):
-    r = random.Random(1)
-    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["x", "y", "z"]
-    rows = [(i, "\n".join(" ".join(r.sample(vocabulary, r.randrange(1, 30))) for _ in range(4))) for i in range(80)]
-    rows += [(100 + i, f"foo {t} bar") for i, t in enumerate(licenses.TEMPLATES.values())] + [(200, "all rights reserved. Cc by cc by"), (201, "word " * 90 + licenses.TEMPLATES["mit"]), (300, None), (301, ""), (302, " \n\n")]
-    got = {x.doc_id: {(m.template, m.first, m.containment) for m in x.matches} for x in licenses.find(docs(spark, rows)).collect()}
-    for doc, text in rows:
-        want, at = set(), 0
-        for line in (text or "").split("\n"):
-            words = plain_words(line.encode())
-            for i, block in licenses.blocks(words):
-                for name, t in licenses.TEMPLATES.items():
-                    q = set(t.encode().split())
-                    share = len(q & set(block)) / len(q)
-                    if share >= licenses.THRESHOLD:
-                        want.add((name, at + i, share))
-            at += len(words)
-        assert got[doc] == want
-    report = {x.doc_id: x for x in licenses.report(licenses.find(docs(spark, rows))).collect()}
-    assert (report[200].n_base, report[200].first_word, report[200].last_word, report[200].base_labels) == (3, 0, 5, "cc-by,reserved")
-    assert [(report[i].n_words, report[i].n_base, report[i].first_word, report[i].labels, report[i].score) for i in (300, 301, 302)] == [(0, 0, None, "", 0.0)] * 3
-    assert licenses.find(docs(spark, [])).count() == 0
-
-
 # language models
 def test_scores_against_brute_force(spark):
     r = random.Random(2)
