@@ -1,209 +1,344 @@
 """Cross-entropy difference of matched target and background bigram models.
 
-The background is every document; the target is the documents labelled good (quality 1, toxic 0).
-Both models share one vocabulary: the words with at least ``WORD_SHARE`` of all words of the corpus,
-so at most ``1 / WORD_SHARE`` words at any size, and ``<unk>``. Both keep the same bigrams: those with at
-least ``PAIR_SHARE`` of either corpus's bigrams, so at most ``2 / PAIR_SHARE``. With c the counts, k the
-kept bigrams, V the vocabulary with ``<unk>`` and N the corpus's words::
+The target is the documents labelled good (quality 1, toxic 0). The background is as many of the other
+documents, give or take a few, chosen by a hash of the id, so neither corpus holds the other's documents.
+Both are dealt to two folds by another hash. A document is scored by the models of the fold that it is
+not in, so no document is scored by a model that has seen it. Within a fold both models share one
+vocabulary, the words that stand at least ``LEAST`` times in the two corpora together, and ``<unk>`` for all
+others; and the same bigrams, those that stand at least ``LEAST`` times. With c the counts in a model's
+corpus, k those of kept bigrams, V the vocabulary with ``<unk>`` and N the corpus's words::
 
     P1(w) = (c(w) + BETA) / (N + BETA * V)
     P(w | v) = (k(v, w) + ALPHA * P1(w)) / (sum of k(v, .) + ALPHA)
 
 A document's score is the mean over its words of the loss under the target minus that under the
-background, in nats: lower is more like the target. All counts are over all documents, gathered by
-aggregations that combine before they shuffle; what is broadcast has the bounds above.
+background, in nats: lower is more like the target.
 
-Null and empty texts have no words: no cross-entropies and no score. Labels that repeat with
-another value, or are null, mark no target. Repeated rows count as often as they stand.
+A loss is a sum of weights of the document's words and bigrams, so models are tables of weights by
+a 64-bit hash of the gram, which grow with the corpora and are never collected or broadcast. Texts
+are turned, a chunk at a time, into the sorted hashes of their grams and the rows that hold them; the
+hash's first bits deal hashes and weights to the same task, each of which holds its share of the
+weights; what the grams add to each row's losses comes back chunk by chunk.
+
+Null and empty texts have no words: no cross-entropies and no score. Labels that repeat with another
+value, or are null, mark no target. Repeated rows count as often as they stand. Rows without id are
+in neither corpus and are scored by the models of the first fold. Ids may be whole numbers or strings.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import as_bytes, durable, map_arrow, plain_words
+from inkstone.llm.common import as_bytes, durable, id_kind, ids_and, map_arrow, plain_words
 
-WORD_SHARE = 2.0**-13
-PAIR_SHARE = 2.0**-18
+LEAST = 2
 ALPHA = 32.0
 BETA = 0.1
-_HELD_WORDS = 300_000
-_HELD_PAIRS = 2_000_000
-
-
-def vocabulary(docs: DataFrame, share: float = WORD_SHARE) -> list[bytes]:
-    """The words of at least ``share`` of all words, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        n: Counter[bytes] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], schema=schema)
-
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                n.update(plain_words(text))
-                if len(n) > _HELD_WORDS:
-                    yield rows()
-                    n.clear()
-        yield rows()
-
-    counts = durable(map_arrow(docs.select("text"), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(bytes(r.word) for r in counts.where(F.col("n") >= F.lit(share * total)).select("word").collect())
+#: Words and rows of a chunk: what a worker holds of the corpus at a time, give or take one text.
+CHUNK_WORDS = 1_000_000
+CHUNK_ROWS = 1 << 14
+#: Weights that a task holds, some 40 bytes each.
+TASK_GRAMS = 2_000_000
+_START, _END, _WORD = 1, 2, 0  # what stands before the first word, after the last, and "before" a single word
 
 
-def targets(labels: DataFrame) -> DataFrame:
+def targets(labels: DataFrame, kind: str = "bigint") -> DataFrame:
     """``target_id`` of the documents that are labelled good."""
-    known = labels.selectExpr("cast(doc_id as bigint) target_id", "quality", "toxic").where("target_id is not null")
+    known = labels.select(F.col("doc_id").cast(kind).alias("target_id"), "quality", "toxic").where("target_id is not null")
     good = known.groupBy("target_id").agg(F.every((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), F.count("*").alias("n"), F.count("quality").alias("q"), F.count("toxic").alias("t"))
     return good.where("good and q = n and t = n").select("target_id")
 
 
-def _ids(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
-    """Word ids from 2; 1 is ``<unk>``, 0 stands before the first word."""
-    words = plain_words(text)
-    return np.fromiter([ids.get(w, 1) for w in words], np.int64, len(words))
-
-
-def _codes(x: np.ndarray, width: int) -> np.ndarray:
-    before = np.empty_like(x)
-    before[:1], before[1:] = 0, x[:-1]
-    return before * width + x
-
+def fold(doc_id: str) -> Column:
+    """The fold of a document: 0 or 1; without id: 1, so that the first fold's models score it."""
+    return F.when(F.col(doc_id).isNull(), F.lit(1)).otherwise(F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(2)).cast("int"))
+
+
+def roles(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``train_id, cell`` of the documents of both corpora: twice the fold, plus 1 in the background."""
+    kind = id_kind(docs)
+    ids = docs.select(F.col("doc_id").cast(kind).alias("train_id")).where("train_id is not null").distinct()
+    marked = durable(ids.join(targets(labels, kind), F.col("train_id") == F.col("target_id"), "left").select("train_id", F.col("target_id").isNotNull().alias("good")))
+    n, good = marked.agg(F.count("*"), F.coalesce(F.sum(F.col("good").cast("bigint")), F.lit(0))).first()
+    share = min(1.0, good / max(1, n - good))
+    low = F.xxhash64("train_id", F.lit("side")).cast("double") < F.lit(share * 2.0**64 - 2.0**63)
+    return marked.where(F.col("good") | low).select("train_id", (fold("train_id") * 2 + F.when(F.col("good"), 0).otherwise(1)).alias("cell"))
+
+
+def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of word hashes."""
+    x = (before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Hashes of words; ``known`` keeps those of a chunk's words."""
+    digest = xxhash.xxh64_intdigest
+    get = known.get
+    for w in set(words):
+        if w not in known:
+            known[w] = digest(w, 0) | 4  # apart from _START, _END and _WORD
+    return np.fromiter(map(get, words), np.uint64, len(words))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(rows' other values, rows' word hashes) of batches whose first column is texts."""
+    extra: list[tuple] = []
+    held: list[np.ndarray] = []
+    known: dict[bytes, int] = {}
+    size = 0
+    for batch in batches:
+        for text, *other in zip(as_bytes(batch.column(0)), *(c.to_pylist() for c in batch.columns[1:])):
+            held.append(word_hashes(plain_words(text), known))
+            extra.append(tuple(other))
+            size += len(held[-1])
+            if size >= CHUNK_WORDS or len(held) >= CHUNK_ROWS:
+                yield extra, held
+                extra, held, size, known = [], [], 0, {}
+    if held:
+        yield extra, held
+
+
+def counts(train: DataFrame) -> DataFrame:
+    """``v, w, n0 .. n3``: how often each bigram stands in each cell of ``text, cell``, and each word, with v = 0."""
 
-def encoded(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """``id, ids``: the word ids of each document as bytes, four for each word or two where they fit."""
-    shipped = docs.sparkSession.sparkContext.broadcast(words)
-    kind = _kind(words)
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for cells, rows in _chunks(batches):
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            w = np.concatenate(rows)
+            cell = np.repeat(np.array([c for (c,) in cells], dtype=np.int64), sizes)
+            v = np.empty_like(w)
+            v[1:] = w[:-1]
+            v[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
+            for before in (v, np.full(len(w), _WORD, dtype=np.uint64)):
+                _, first, of = np.unique(mixed(before, w), return_index=True, return_inverse=True)
+                n = np.bincount(of * 4 + cell, minlength=4 * len(first)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (before, w)] + [pa.array(n[:, k]) for k in range(4)], schema=schema)
+
+    rows = map_arrow(train.select("text", "cell"), run, "v bigint, w bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
+    summed = rows.groupBy("v", "w").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    # what no model keeps goes here: bigrams and words under LEAST in both folds; the rest of the words is <unk>
+    return summed.where(f"n0 + n1 >= {LEAST} or n2 + n3 >= {LEAST}")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Weights by gram, and what all documents share.
+
+    The table is ``v, w, a0 .. a3``: what the gram adds to the loss under each cell's model; v is 0 for a word
+    and w is 2 after a last word. The array has, for each cell, the loss of ``<unk>`` and what a text's start adds.
+    """
+    kind = id_kind(docs)
+    chosen = roles(docs, labels)
+    rows = ids_and(docs, name="id").join(chosen.hint("merge"), F.col("id") == F.col("train_id")).select("text", "cell")
+    # the words of each cell: with the counts of the words kept they give those of <unk>
+    kept = durable(counts(rows.where("text is not null")))
+    totals = durable(_sizes(rows))
+    words = np.zeros(4)
+    for r in totals.collect():  # four rows
+        words[r.cell] = r.n
+    keeps = [f"n{2 * g} + n{2 * g + 1} >= {LEAST}" for g in (0, 1)]
+    single = kept.where("v = 0")
+    seen = single.agg(*[F.coalesce(F.sum(F.when(F.expr(keeps[k // 2]), F.col(f"n{k}"))), F.lit(0)).alias(f"c{k}") for k in range(4)], *[F.count(F.when(F.expr(x), 1)).alias(f"v{g}") for g, x in enumerate(keeps)]).first()
+    size = [seen[f"v{k // 2}"] + 1 for k in range(4)]
+    unknown = np.array([-np.log((words[k] - seen[f"c{k}"] + BETA) / (words[k] + BETA * size[k])) for k in range(4)])
+
+    def loss(k: int, word: str) -> Column:
+        """Of a word by its own share, or of <unk>."""
+        own = -F.log((F.col(word.format(k)) + BETA) / F.lit(float(words[k] + BETA * size[k])))
+        known = F.expr(f"{word.format(k // 2 * 2)} + {word.format(k // 2 * 2 + 1)} >= {LEAST}")
+        return F.when(known, own).otherwise(F.lit(float(unknown[k])))
+
+    def back(k: int, name: str) -> Column:
+        """What a context adds to the loss of a word that follows it in no kept bigram."""
+        return F.log((F.coalesce(F.col(name.format(k)), F.lit(0)) + ALPHA) / ALPHA)
+
+    pairs = kept.where("v <> 0")
+    follows = durable(pairs.groupBy("v").agg(*[F.sum(F.when(F.expr(keeps[k // 2]), F.col(f"n{k}")).otherwise(0)).alias(f"x{k}") for k in range(4)]).withColumnRenamed("v", "context"))
+    first = follows.where(f"context = {_START}").first()
+    start = np.array([np.log(((first[f"x{k}"] if first else 0) + ALPHA) / ALPHA) for k in range(4)])
+    by_word = single.join(follows, F.col("w") == F.col("context"), "left").select("v", "w", *[(loss(k, "n{}") + back(k, "x{}")).alias(f"a{k}") for k in range(4)])
+    by_end = follows.select(F.col("context").alias("v"), F.lit(_END).cast("bigint").alias("w"), *[(-back(k, "x{}")).alias(f"a{k}") for k in range(4)])
+    alone = single.select(F.col("w").alias("word"), *[F.col(f"n{k}").alias(f"c{k}") for k in range(4)])
+
+    def correction(k: int) -> Column:
+        p1 = F.exp(-loss(k, "c{}"))
+        seen_loss = -F.log((F.col(f"n{k}") + ALPHA * p1) / (F.col(f"x{k}") + ALPHA))
+        return F.when(F.expr(keeps[k // 2]), seen_loss - loss(k, "c{}") - back(k, "x{}")).otherwise(F.lit(0.0))
+
+    by_pair = pairs.join(alone, F.col("w") == F.col("word")).join(follows, F.col("v") == F.col("context")).select("v", "w", *[correction(k).alias(f"a{k}") for k in range(4)])
+    return by_word.unionByName(by_end).unionByName(by_pair), np.stack([unknown, start])
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """``cell, n``: the words of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        ids = {w: i + 2 for i, w in enumerate(shipped.value)}
+        n = np.zeros(4, dtype=np.int64)
         for batch in batches:
-            packed = [_ids(t, ids).astype(kind).tobytes() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], schema=schema)
+            for text, cell in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
+                n[cell] += len(plain_words(text))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4), pa.int32()), pa.array(n)], schema=schema)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), run, "id bigint, ids binary")
+    return map_arrow(rows, run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _kind(words: list[bytes]) -> str:
-    return "<u2" if len(words) + 2 <= 1 << 16 else "<u4"
+#: What a task gets: weights (kind 0), then the grams of chunks (kind 1) and the rows of chunks (kind 2).
+_DEALT = "p int, kind int, code bigint, a0 double, a1 double, a2 double, a3 double, chunk bigint, codes binary, times binary, owners binary, ids array<{id}>, folds binary, sizes array<bigint>"
+_BACK = "chunk bigint, kind int, owners binary, losses binary, ids array<{id}>, folds binary, sizes array<bigint>"
+SCORES = "doc_id {id}, n_words bigint, target_loss double, background_loss double, score double"
 
 
-def pair_counts(docs: DataFrame, labels: DataFrame, words: list[bytes]) -> DataFrame:
-    """``code, background, target``: how often each pair of neighbouring ids stands in either corpus.
+def _parts(code: np.ndarray, n: int) -> np.ndarray:
+    """Of n tasks the one of each hash, by its first bits."""
+    return ((code >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
-    What meets the labels is word ids, not texts; the join sorts both sides at every size.
-    """
-    width, kind = len(words) + 2, _kind(words)
 
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+def _grams(docs: DataFrame, parts: int, kind: str) -> DataFrame:
+    """The grams of every chunk of texts, dealt to tasks."""
 
-        def rows() -> pa.RecordBatch:
-            # the lowest bit tells whether the document is a target
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            code, first = np.unique(found >> 1, return_index=True)
-            both = np.add.reduceat(n, first)
-            good = np.add.reduceat(n * (found & 1), first)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (code, both, good)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        def row(**values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
+        number = TaskContext.get().partitionId() << 32
+        for extra, rows in _chunks(batches):
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            w = np.concatenate(rows)
+            owner = np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
+            full = np.flatnonzero(sizes)
+            v = np.empty_like(w)
+            v[1:] = w[:-1]
+            v[(np.cumsum(sizes) - sizes)[full]] = _START
+            last = w[(np.cumsum(sizes) - 1)[full]]
+            code = np.concatenate([mixed(np.full_like(w, _WORD), w), mixed(v, w), mixed(last, np.full_like(last, _END))])
+            # a single word's gram is told by its lowest bit, for what the weights lack is <unk>
+            code = np.concatenate([code[: len(w)] | np.uint64(1), code[len(w) :] & ~np.uint64(1)])
+            owner = np.concatenate([owner, owner, full.astype(np.uint32)])
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.r_[first, len(code)]).astype(np.uint32)
+            distinct = code[first]
+            cuts = np.searchsorted(_parts(distinct, parts), np.arange(parts + 1))
+            for p in range(parts):
+                a, b = int(cuts[p]), int(cuts[p + 1])
+                if a < b:
+                    x, y = int(first[a]), int(first[b]) if b < len(first) else len(code)
+                    yield row(p=p, kind=1, chunk=number, codes=distinct[a:b].tobytes(), times=times[a:b].tobytes(), owners=owner[x:y].tobytes())
+            folds = np.array([f for _, f in extra], dtype=np.uint8)
+            yield row(p=number % parts, kind=2, chunk=number, ids=[i for i, _ in extra], folds=folds.tobytes(), sizes=sizes.tolist())
+            number += 1
+
+    texts = ids_and(docs, name="id").select("text", "id", fold("id").alias("fold"))
+    return map_arrow(texts, run, _DEALT.format(id=kind))
+
+
+def _coded(weights: DataFrame, parts: int, kind: str) -> DataFrame:
+    """The weights by hash, dealt to tasks."""
 
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(packed, dtype=kind).astype(np.int64)
-                if len(x):
-                    held.append(_codes(x, width) << 1 | int(good))
-                    size += len(x)
-                if size >= _HELD_PAIRS:
-                    yield rows()
-                    held, size = [], 0
-        if held:
-            yield rows()
-
-    known = targets(labels).hint("merge")
-    marked = encoded(docs, words).join(known, F.col("id") == F.col("target_id"), "left").select("ids", F.col("target_id").isNotNull().alias("good"))
-    counted = map_arrow(marked, run, "code bigint, background bigint, target bigint")
-    return counted.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-@dataclass
-class Models:
-    """Both models over one vocabulary, ready to score."""
-
-    words: list[bytes]
-    codes: np.ndarray  # kept pairs, sorted
-    pair_loss: np.ndarray  # of a kept pair, by model
-    word_loss: np.ndarray  # of a word by its own share, by model
-    back_loss: np.ndarray  # of leaving the kept pairs of a word, by model
-
-    @classmethod
-    def of_counts(cls, words: list[bytes], unigrams: np.ndarray, codes: np.ndarray, kept: np.ndarray, alpha: float = ALPHA, beta: float = BETA) -> Models:
-        """``unigrams`` and ``kept`` have a row for each model; ids without words are not counted in V."""
-        width = len(words) + 2
-        n = unigrams.sum(axis=1, keepdims=True)
-        share = (unigrams + beta) / (n + beta * (width - 1))
-        context = np.stack([np.bincount(codes // width, weights=k, minlength=width) for k in kept]) if len(codes) else np.zeros((2, width))
-        pair = -np.log((kept + alpha * share[:, codes % width]) / (context[:, codes // width] + alpha)) if len(codes) else np.zeros((2, 0))
-        return cls(words, codes, pair, -np.log(share), -np.log(alpha / (context + alpha)))
-
-    def score(self, x: np.ndarray) -> tuple[float, float] | None:
-        """Mean loss of ids under target and background; None without ids."""
-        if not len(x):
-            return None
-        width = len(self.words) + 2
-        code = _codes(x, width)
-        loss = self.word_loss[:, x] + self.back_loss[:, code // width]
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = np.flatnonzero(self.codes[at] == code)
-            loss[:, hit] = self.pair_loss[:, at[hit]]
-        return tuple(loss.mean(axis=1).tolist())
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """The models of the whole corpus. Row 0 of each array is the target, row 1 the background."""
-    words = vocabulary(docs, word_share)
-    width = len(words) + 2
-    pairs = durable(pair_counts(docs, labels, words))
-    by_word = pairs.groupBy(F.expr(f"code % {width}").alias("w")).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).collect()
-    unigrams = np.zeros((2, width))
-    for r in by_word:
-        unigrams[:, r.w] = r.t, r.b
-    least = [max(1.0, pair_share * n) for n in unigrams.sum(axis=1)]
-    kept = pairs.where((F.col("target") >= F.lit(least[0])) | (F.col("background") >= F.lit(least[1]))).toPandas().sort_values("code")
-    return Models.of_counts(words, unigrams, kept["code"].to_numpy(np.int64), kept[["target", "background"]].to_numpy(float).T)
-
-
-SCORES = "doc_id bigint, n_words bigint, target_loss double, background_loss double, score double"
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, score`` of every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(models)
+            v, w = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            code = mixed(v, w)
+            code = np.where(v == _WORD, code | np.uint64(1), code & ~np.uint64(1))
+            known = {"p": pa.array(_parts(code, parts).astype(np.int32)), "kind": pa.array(np.zeros(len(v), np.int32)), "code": pa.array(code.view(np.int64))}
+            known |= {f"a{k}": batch.column(2 + k) for k in range(4)}
+            yield pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(v), f.type)) for f in schema], schema=schema)
+
+    return map_arrow(weights, run, _DEALT.format(id=kind))
+
+
+def _weighed(dealt: DataFrame, unknown: np.ndarray, kind: str) -> DataFrame:
+    """What each task's grams add to the losses of each chunk's rows under all four models."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        ids = {w: i + 2 for i, w in enumerate(m.words)}
+        part, parts_of = None, []
+        codes, weights = np.zeros(0, dtype=np.uint64), np.zeros((0, 4))
         for batch in batches:
-            rows = []
-            for text in as_bytes(batch.column(1)):
-                x = _ids(text, ids)
-                s = m.score(x)
-                rows.append((len(x), *s, s[0] - s[1]) if s else (0, None, None, None))
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+            column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            p, kinds = (column[c].to_numpy(zero_copy_only=False) for c in ("p", "kind"))
+            for a, b in zip(edges := np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (kinds[1:] != kinds[:-1])]), np.r_[edges[1:], len(p)]):
+                if p[a] != part:
+                    part, parts_of = p[a], []
+                    codes, weights = np.zeros(0, dtype=np.uint64), np.zeros((0, 4))
+                if kinds[a] == 0:
+                    one = slice(a, b)
+                    parts_of.append((column["code"].fill_null(0).to_numpy(zero_copy_only=False)[one].view(np.uint64), np.stack([column[f"a{k}"].to_numpy(zero_copy_only=False)[one] for k in range(4)], axis=1)))
+                    continue
+                if parts_of:
+                    codes, weights = (np.concatenate(x) for x in zip(*parts_of))
+                    order = np.argsort(codes, kind="stable")
+                    codes, weights, parts_of = codes[order], weights[order], []
+                for i in range(a, b):
+                    value = lambda c: column[c][i].as_py()  # noqa: E731, B023
+                    if kinds[a] == 2:
+                        values = {"chunk": value("chunk"), "kind": 0, "ids": value("ids"), "folds": value("folds"), "sizes": value("sizes")}
+                    else:
+                        asked = np.frombuffer(value("codes"), dtype=np.uint64)
+                        gains = np.where((asked & np.uint64(1) == 1)[:, None], unknown, 0.0)
+                        if len(codes):
+                            at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+                            hit = codes[at] == asked
+                            gains[hit] = weights[at[hit]]
+                        times = np.frombuffer(value("times"), dtype=np.uint32)
+                        owners, of = np.unique(np.frombuffer(value("owners"), dtype=np.uint32), return_inverse=True)
+                        gain = np.repeat(gains, times, axis=0)
+                        losses = np.stack([np.bincount(of, weights=gain[:, k], minlength=len(owners)) for k in range(4)], axis=1)
+                        values = {"chunk": value("chunk"), "kind": 1, "owners": owners.tobytes(), "losses": losses.tobytes()}
+                    yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
+    return map_arrow(dealt, run, _BACK.format(id=kind))
+
+
+def _summed(back: DataFrame, start: np.ndarray, kind: str) -> DataFrame:
+    """The losses of every row of every chunk."""
 
-    return map_arrow(docs.selectExpr(f"cast({id_col} as bigint) doc_id", f"{text_col} text"), run, SCORES)
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        head, total = None, None
 
+        def done() -> pa.RecordBatch:
+            _, ids, folds, sizes = head
+            some = sizes > 0
+            rows = np.arange(len(sizes))
+            models = 2 * (1 - np.frombuffer(folds, dtype=np.uint8).astype(np.int64))  # of the other fold
+            mean = [(total[rows, models + m] + start[models + m]) / np.maximum(sizes, 1) for m in (0, 1)]
+            columns = [pa.array(ids, schema.field(0).type), pa.array(sizes)] + [pa.array(x, mask=~some) for x in (*mean, mean[0] - mean[1])]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, **shares: float) -> DataFrame:
-    """Fit on the whole corpus, then score every document."""
-    return score(docs, fit(docs, labels, **shares))
+        for batch in batches:
+            for chunk, kinds, owners, losses, ids, folds, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if kinds == 0:
+                    if head is not None:
+                        yield done()
+                    head, total = (chunk, ids, folds, np.array(sizes, dtype=np.int64)), np.zeros((len(sizes), 4))
+                else:
+                    total[np.frombuffer(owners, dtype=np.uint32)] += np.frombuffer(losses).reshape(-1, 4)
+        if head is not None:
+            yield done()
+
+    return map_arrow(back, run, SCORES.format(id=kind))
+
+
+def score(docs: DataFrame, weights: DataFrame, shared: np.ndarray) -> DataFrame:
+    """``doc_id, n_words, target_loss, background_loss, score`` of every row, by what ``fit`` returns."""
+    kind = id_kind(docs)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weights = durable(weights)
+    parts = max(n, -(-weights.count() // TASK_GRAMS))
+    dealt = _coded(weights, parts, kind).unionByName(_grams(docs, parts, kind))
+    dealt = dealt.repartitionById(parts, F.col("p")).sortWithinPartitions("p", "kind")
+    back = _weighed(dealt, shared[0], kind)
+    return _summed(back.repartition(n, "chunk").sortWithinPartitions("chunk", "kind"), shared[1], kind)
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Fit on both corpora, then score every document."""
+    return score(docs, *fit(docs, labels))

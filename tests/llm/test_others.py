@@ -1,13 +1,11 @@
 import hashlib
-import math
 import random
-from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from inkstone.llm import bpe, chat, lmscore, pii, tokencount
+from inkstone.llm import bpe, chat, pii, tokencount
 from tests.llm.helpers import EDGE, LONG, docs
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -48,53 +46,6 @@ def test_token_counts_of_fields(spark):
         tokencount.count(df, PATH, rule="other")
 
 
-# language models
-def test_scores_against_brute_force(spark):
-    r = random.Random(2)
-    rows = [(i, " ".join(r.choice("a a a b b c d e f".split()) for _ in range(r.randrange(30)))) for i in range(40)] + [(None, "a b"), (50, None), (51, "")]
-    marks = [(i, int(i % 2 == 0), 0) for i in range(30)] + [(2, 0, 0), (4, 1, None), (None, 1, 0)]
-    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
-    shares = {"word_share": 0.06, "pair_share": 0.03}
-    got = {x.doc_id: x for x in lmscore.cross_entropy_difference(docs(spark, rows), labels, **shares).collect()}
-    good = {i for i in range(0, 30, 2)} - {2, 4}
-    words = [w for _, t in rows for w in (t or "").split()]
-    n = Counter(words)
-    vocabulary = {w for w in n if n[w] >= 0.06 * len(words)}
-    seq = lambda t: [w if w in vocabulary else "<unk>" for w in (t or "").split()]
-    uni, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in rows:
-        s = seq(t)
-        for m in (0, 1):
-            if m == 1 or i in good:
-                uni[m].update(s)
-                pairs[m].update(zip(["<s>", *s], s))
-    least = [max(1, 0.03 * sum(u.values())) for u in uni]
-    kept = {p for m in (0, 1) for p in pairs[m] if pairs[m][p] >= least[m]}
-    size = len(vocabulary) + 1
-    for i, t in rows:
-        s = seq(t)
-        losses = []
-        for m in (0, 1):
-            total = sum(uni[m].values())
-            one = lambda w: (uni[m][w] + lmscore.BETA) / (total + lmscore.BETA * size)  # noqa: E731, B023
-            loss = 0.0
-            for v, w in zip(["<s>", *s], s):
-                context = sum(pairs[m][p] for p in kept if p[0] == v)
-                loss -= math.log(((pairs[m][v, w] if (v, w) in kept else 0) + lmscore.ALPHA * one(w)) / (context + lmscore.ALPHA))
-            losses.append(loss / len(s) if s else None)
-        assert got[i].n_words == len(s)
-        if s:
-            assert got[i].score == pytest.approx(losses[0] - losses[1], abs=1e-9)
-        else:
-            assert got[i].score is None
-
-
-def test_lm_without_documents(spark):
-    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    assert lmscore.cross_entropy_difference(docs(spark, []), labels).count() == 0
-    assert lmscore.cross_entropy_difference(docs(spark, EDGE), labels).count() == len(EDGE)
-
-
 # personal data
 def luhn(s):
     d = [int(c) for c in s][::-1]
