@@ -79,12 +79,23 @@ PARTICLES = [("이", "가"), ("을", "를"), ("은", "는"), ("과", "와")]
 
 
 def particle(name: Column, follows: Column) -> Column:
-    """The particle that fits a name, in place of the one that follows it."""
+    """The particle that fits a name, in place of the one that follows it; what is no particle stays, a lone 라 too."""
     out = follows
     closed = has_final_consonant(name)
     for a, b in PARTICLES:
         out = F.when(follows.isin(a, b), F.when(closed, F.lit(a)).otherwise(F.lit(b))).otherwise(out)
-    return F.when(follows.isin("이라", "라"), F.when(closed, F.lit("이라")).otherwise(F.lit("라"))).otherwise(out)
+    return F.when(follows == "이라", F.when(closed, F.lit("이라")).otherwise(F.lit("라"))).otherwise(out)
+
+
+def characters(text: Column) -> Column:
+    """The code points of a text, one string each; an empty text has none."""
+    return F.when(text != "", F.split(text, "")).otherwise(F.array().cast("array<string>"))
+
+
+def grams(chars: Column, n: int) -> Column:
+    """All runs of n neighbours in an array of code points."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+    return F.when(F.size(chars) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
 def syllable(code: Column) -> Column:
@@ -114,6 +125,21 @@ def snippet(text: Column, needle: Column, before: int = 15, after: int = 80, mos
     return F.when(at > 0, F.when(F.length(cut) > most, F.concat(F.substring(cut, 1, most), F.lit("…"))).otherwise(cut))
 
 
+#: What each class of errors asks for: (retry, dead letter at once).
+ERROR_ACTIONS: dict[str, tuple[bool, bool]] = {
+    "PARSE": (True, False),
+    "NER_UNAVAILABLE": (True, False),
+    "SPEND_CAP": (False, True),
+    "QUOTA_DAILY": (False, False),
+    "RATE_LIMIT": (True, False),
+    "AUTH": (False, True),
+    "MODEL_NOT_FOUND": (False, True),
+    "UNAVAILABLE": (True, False),
+    "TIMEOUT": (True, False),
+    "SAFETY": (False, True),
+    "UNKNOWN": (True, False),
+}
+
 #: Ordered rules of the error classifier: class, and a pattern that the lower-cased message must have.
 ERROR_RULES: list[tuple[str, str]] = [
     ("PARSE", r"parse|json|deserial"),

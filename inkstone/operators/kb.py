@@ -102,10 +102,10 @@ def reinjected(template: Column, slots: Column) -> Column:
     def fill(acc: Column, s: Column) -> Column:
         mark = F.concat(F.lit("⟪PER"), acc["i"].cast("string"), F.lit("⟫"))
         closed = T.has_final_consonant(s["name"])
-        text = acc["text"]
+        # what follows a marker is a particle of two characters, or one at the end of a word
+        text = F.replace(acc["text"], F.concat(mark, F.lit("이라")), F.concat(s["name"], F.when(closed, F.lit("이라")).otherwise(F.lit("라"))))
         for a, b in T.PARTICLES:
             fit = F.when(closed, F.lit(a)).otherwise(F.lit(b))
-            # a particle counts only at the end of a word
             text = F.regexp_replace(text, F.concat(mark, F.lit(f"[{a}{b}](?![가-힣])")), F.concat(mark, fit))
         text = F.replace(text, mark, s["name"])
         return F.struct(text.alias("text"), (acc["ok"] & acc["text"].contains(mark)).alias("ok"), (acc["i"] + 1).alias("i"))

@@ -10,28 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions import text as T
 from inkstone.operators.relational import numbered
 
 CHRF_ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All overlapping character n-grams, by an empty look-ahead match at each place."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-
 def ngram_stats(pairs: DataFrame, hyp: str, ref: str, orders: int, *, key: str = "seq", spaces: bool = False) -> DataFrame:
     """``key, n, hyp, ref, match``: counts of character n-grams and clipped matches of each sentence."""
 
     def side(column: str) -> DataFrame:
         text = F.coalesce(F.col(column), F.lit("")) if spaces else F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"\s+", "")
-        rows = pairs.select(key, text.alias("_t"))
-        out = None
-        for n in range(1, orders + 1):
-            part = rows.select(key, F.lit(n).alias("n"), F.explode(_grams(F.col("_t"), n)).alias("gram"))
-            out = part if out is None else out.unionAll(part)
-        return out
+        rows = pairs.select(key, T.characters(text).alias("_c"))
+        of_order = lambda n: F.transform(T.grams(F.col("_c"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+        every = F.flatten(F.array(*map(of_order, range(1, orders + 1))))
+        return rows.select(key, F.explode(every).alias("g")).select(key, "g.n", "g.gram")
 
     both = side(hyp).withColumn("h", F.lit(1)).withColumn("r", F.lit(0)).unionAll(side(ref).withColumn("h", F.lit(0)).withColumn("r", F.lit(1)))
     counts = both.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkstone.functions import text as T
 from inkstone.session import ship_code
 
 # What a prompt says before its linked entities, an office and undecided candidates.
@@ -41,28 +44,72 @@ def rule_ner(df: DataFrame, text: str, rules: list[str]) -> DataFrame:
     return df.withColumn("spans", F.pandas_udf(find, SPANS)(F.col(text)))
 
 
-def longest_disjoint(hits: Column) -> Column:
-    """Of dictionary hits (start, end, key) the longest first that overlap none taken, by start."""
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct((h["start"] - h["end"]).alias("k"), h["start"].alias("start"), h["end"].alias("end"), h["key"].alias("key"))))
-    taken = F.aggregate(
-        ordered,
-        F.filter(ordered, lambda h: F.lit(False)),
-        lambda acc, h: F.when(F.exists(acc, lambda t: (h["start"] < t["end"]) & (t["start"] < h["end"])), acc).otherwise(F.concat(acc, F.array(h))),
-    )
-    return F.array_sort(F.transform(taken, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["key"].alias("key"))))
+#: Keys of a dictionary that is sent to every executor: at most this many characters in all.
+MOST_KEY_CHARACTERS = 20_000_000
 
 
-def dictionary_scan(df: DataFrame, keys: DataFrame, lengths: tuple[int, ...], text: str = "original", row: str = "seq") -> DataFrame:
-    """``row, spans``: longest non-overlapping keys of each text; ``keys`` has key, of the given lengths.
+def longest_disjoint(hits: list[tuple[int, int, str]], size: int) -> list[tuple[int, int, str]]:
+    """Of dictionary hits (start, end, key) the longest first that overlap none taken, by start; ``size`` is the text's length."""
+    used = bytearray(size)
+    taken = []
+    for a, b, key in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+        if not any(used[a:b]):
+            used[a:b] = b"\1" * (b - a)
+            taken.append((a, b, key))
+    return sorted(taken)
 
-    Texts give their k-grams in one pass each and meet the keys by equality.
+
+def dictionary_hits(df: DataFrame, keys: DataFrame, text: str = "original", row: str = "seq", disjoint: bool = False) -> DataFrame:
+    """``row, start, end, key`` of every place, in code points from 0, where a key of the dictionary stands in a text.
+
+    One pass over each text finds all keys, by an automaton that each worker builds from the dictionary, so only
+    hits leave a row. With ``disjoint`` only the longest hits that do not overlap. A dictionary of over
+    ``MOST_KEY_CHARACTERS`` is cut into parts by a hash of the key, each of which passes the texts once;
+    ``disjoint`` then needs one part. Empty keys and null texts have no hits.
     """
-    grams = None
-    for k in lengths:
-        part = df.select(row, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("start", "key")).withColumn("end", F.col("start") + k)
-        grams = part if grams is None else grams.unionAll(part)
-    hits = grams.join(keys, "key").groupBy(row).agg(F.collect_list(F.struct("start", "end", "key")).alias("hits"))
-    return hits.select(row, longest_disjoint(F.col("hits")).alias("spans"))
+    spark = df.sparkSession
+    ship_code(spark)
+    known = keys.select(F.col(keys.columns[0]).alias("key")).where("key <> ''").distinct()
+    parts = -(-(known.agg(F.sum(F.length("key"))).first()[0] or 0) // MOST_KEY_CHARACTERS) or 1
+    if disjoint and parts > 1:
+        raise ValueError("the longest disjoint hits need a dictionary of one part")
+    kind = df.schema[row].dataType.simpleString()
+    out = None
+    for p in range(parts):
+        part = known if parts == 1 else known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == p)
+        shipped = spark.sparkContext.broadcast([r.key for r in part.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for key in shipped.value:
+                automaton.add_word(key, key)
+            if shipped.value:
+                automaton.make_automaton()
+            for batch in batches:
+                rows, starts, ends, found = [], [], [], []
+                for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if not t or not shipped.value:
+                        continue
+                    hits = [(end + 1 - len(key), end + 1, key) for end, key in automaton.iter(t)]
+                    for a, b, key in longest_disjoint(hits, len(t)) if disjoint else hits:
+                        rows.append(r)
+                        starts.append(a)
+                        ends.append(b)
+                        found.append(key)
+                columns = [pa.array(rows, batch.schema.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[row, "start", "end", "key"])
+
+        hits = df.select(row, text).mapInArrow(run, f"`{row}` {kind}, start int, end int, key string")
+        out = hits if out is None else out.unionAll(hits)
+    return out
+
+
+def dictionary_scan(df: DataFrame, keys: DataFrame, text: str = "original", row: str = "seq") -> DataFrame:
+    """``row, spans``: longest non-overlapping keys of each text that has any, by start."""
+    hits = dictionary_hits(df, keys, text, row, disjoint=True)
+    return hits.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", "key"))).alias("spans"))
 
 
 def unescape_entities(text: Column) -> Column:
@@ -78,10 +125,39 @@ def unescape_entities(text: Column) -> Column:
     return F.pandas_udf(decode, StringType())(text)
 
 
-def readings(name: Column, variants: list[Column]) -> Column:
-    """Candidate readings in order, once each, of the name's length; none if the first has another length."""
-    c = F.array_distinct(F.filter(F.array(*variants), lambda x: x.isNotNull() & (F.length(x) == F.length(name))))
-    return F.when(F.length(variants[0]) == F.length(name), c).otherwise(F.array().cast("array<string>"))
+def readings(names: DataFrame, table: DataFrame, surnames: DataFrame) -> DataFrame:
+    """``name, readings``: candidate readings of each distinct name, in order, once each.
+
+    ``table`` has char, reading (one character) and gives the library's reading; ``surnames`` has char, fixed: how
+    a name of two or more characters that opens with it is read. Then follow both with the initial-sound law. No
+    character in the table: no reading. Characters that the table lacks stay.
+    """
+    chars = names.select("name").distinct().where("name <> ''").select("name", F.posexplode(T.characters(F.col("name"))).alias("i", "char"))
+    read = chars.join(table, "char", "left").join(surnames.select(F.col("char"), "fixed"), "char", "left")
+    base = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("reading", "char").alias("c")))), lambda x: x["c"]), "")
+    rows = read.groupBy("name").agg(base.alias("base"), F.max(F.when(F.col("i") == 0, F.col("fixed"))).alias("fixed"))
+    own = F.when((F.length("name") >= 2) & F.col("fixed").isNotNull(), F.concat("fixed", F.substring("base", 2, 1 << 30)))
+    found = F.array_compact(F.array("base", own))
+    found = F.array_distinct(F.concat(found, F.transform(found, T.initial_sound)))
+    readable = (F.col("base") != F.col("name")) & (F.length("base") == F.length("name"))
+    return rows.select("name", F.when(readable, found).otherwise(F.array().cast("array<string>")).alias("readings"))
+
+
+def name_tokens(rows: DataFrame, lengths: tuple[int, ...], known: DataFrame, *, run: str, particles: tuple[str, ...], text: str = "translation", row: str = "seq") -> DataFrame:
+    """``row, n, token``: what in each text can be a name of n characters, once a row.
+
+    A name opens a word (``run``) and nothing or a particle follows it; a token that with the next character is
+    one of the ``known`` (name) longer names is a part of that name. Names have two characters or more.
+    """
+    words = rows.select(row, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(run), F.lit(0)))).alias("word"))
+    wide = [n for n in lengths if n >= 2]
+    cut = words.select(row, "word", F.explode(F.array(*[F.lit(n) for n in wide]) if wide else F.array().cast("array<int>")).alias("n")).where(F.length("word") >= F.col("n"))
+    rest = F.expr("substring(word, n + 1)")
+    follows = F.lit(False)
+    for p in particles:
+        follows = follows | rest.startswith(p)
+    cut = cut.where((rest == "") | follows).select(row, "n", F.expr("substring(word, 1, n)").alias("token"), F.expr("case when length(word) > n then substring(word, 1, n + 1) end").alias("longer"))
+    return cut.join(known.select(F.col("name").alias("longer")).distinct(), "longer", "left_anti").select(row, "n", "token").distinct()
 
 
 def resolve_gold(candidates: DataFrame, key: str = "id") -> DataFrame:
@@ -89,15 +165,44 @@ def resolve_gold(candidates: DataFrame, key: str = "id") -> DataFrame:
     return candidates.groupBy(key).agg(F.min_by("reading", F.struct("rank", "ord")).alias("gold"), F.min_by("status", F.struct("rank", "ord")).alias("status"))
 
 
-def repair(text: Column, surname: Column, gold: Column, library: Column) -> Column:
-    """Replace a wrong reading of a name: a word of the name's length that opens with the surname.
+def repaired(text: Column, gold: Column, library: Column, letters: str = "가-힣") -> Column:
+    """A struct of the ``text`` with a wrong reading of a name replaced, and ``state``: already, fixed or unfixable.
+
+    A wrong reading is a run of ``letters`` of the name's length that opens with its surname and is not the name. A
+    single one is replaced; of several the first that is the library's reading. Names have two characters or more.
+    """
+    n = F.length(gold)
+    places = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)) == F.substring(gold, 1, 1))
+    chunks = F.transform(places, lambda i: F.struct(i.alias("i"), F.substring(text, i, n).alias("c")))
+    wrong = F.filter(chunks, lambda x: (F.length(x["c"]) == n) & (x["c"] != gold) & x["c"].rlike(f"^[{letters}]+$"))
+    first = F.get(F.filter(wrong, lambda x: x["c"] == library), 0)
+    chosen = F.when(F.size(wrong) == 1, F.get(wrong, 0)).otherwise(first)
+    has = text.contains(gold)
+    fix = ~has & (n >= 2) & (F.length(text) > 0) & chosen.isNotNull()
+    new = F.concat(F.substring(text, F.lit(1), chosen["i"] - 1), gold, F.substring(text, chosen["i"] + n, F.length(text)))
+    state = F.when(has, "already").when(F.coalesce(fix, F.lit(False)), "fixed").otherwise("unfixable")
+    return F.struct(F.when(state == "fixed", new).otherwise(text).alias("text"), state.alias("state"))
+
+
+def repair_all(text: Column, entities: Column, letters: str = "가-힣") -> Column:
+    """A struct of ``text`` and ``states`` (an array) after repairs for all entities (gold, library), each in what the one before left."""
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("states"))
+
+    def step(acc: Column, e: Column) -> Column:
+        done = F.transform(F.array(repaired(acc["text"], e["gold"], e["library"], letters)), lambda r: F.struct(r["text"].alias("text"), F.concat(acc["states"], F.array(r["state"])).alias("states")))
+        return F.element_at(done, 1)
+
+    return F.aggregate(entities, start, step)
+
+
+def rendered(original: Column, entities: Column, drop_first: Column) -> Column:
+    """A stand-in translation: the surface of each linked entity replaced by its name, in order.
 
-    A single such word is replaced; of several only the one that the library reading gives.
+    Entities have surface and name; a blank name is passed over, and with ``drop_first`` so is the first other one.
     """
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}]+"), F.lit(0)))
-    wrong = F.filter(words, lambda w: w.startswith(surname) & (F.length(w) == F.length(gold)) & (w != gold))
-    one = F.when(F.size(wrong) == 1, F.element_at(wrong, 1)).when(F.array_contains(wrong, library), library)
-    return F.when(one.isNull() | text.contains(gold), text).otherwise(F.replace(text, one, gold))
+    named = F.filter(entities, lambda e: F.coalesce(F.trim(e["name"]) != "", F.lit(False)))
+    left = F.when(drop_first, F.slice(named, 2, 1 << 30)).otherwise(named)
+    return F.aggregate(left, original, lambda acc, e: F.replace(acc, e["surface"], F.trim(e["name"])))
 
 
 def prompt(block: Column, entities: Column, original: Column) -> Column:

@@ -19,6 +19,7 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **extra: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | extra
@@ -41,12 +42,22 @@ def ship_code(spark: SparkSession) -> None:
     sc._inkstone_shipped = True
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one stands in for it only where all run on one machine.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a local folder is used.
+    Raises RuntimeError on a cluster whose session names no ``spark.checkpoint.dir``.
     """
+    conf = spark.sparkContext.getConf()
+    if named := conf.get("spark.checkpoint.dir", ""):
+        return named
+    if not conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "/tmp/checkpoints"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder; Spark removes it with the last reference."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

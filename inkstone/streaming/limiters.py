@@ -12,8 +12,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from inkstone.session import ship_code
 
@@ -44,7 +47,11 @@ class Limits:
 
 @dataclass
 class Bucket:
-    """State of one tenant's model."""
+    """State of one tenant's model, moved on by one event at a time.
+
+    The rate is kept within the limits at every event. A refusal multiplies it and empties the bucket until the
+    provider's hint, or without a positive hint one interval, has passed; ``successes`` in a row raise it by a step.
+    """
 
     limits: Limits = field(default_factory=Limits)
     rpm: float | None = None
@@ -53,37 +60,32 @@ class Bucket:
     blocked_until: int = 0
     streak: int = 0
 
-    def acquire(self, now: int) -> tuple[bool, int]:
-        """Take a token: (granted, milliseconds to wait)."""
+    def after(self, op: str, now: int, hint_ms: int | None = None) -> tuple[bool, int]:
+        """Move on by one event: (whether a token was granted, milliseconds to wait)."""
         rule = self.limits
-        self.rpm = min(rule.max_rpm, max(rule.min_rpm, rule.initial_rpm if self.rpm is None else self.rpm))
-        room = max(1.0, self.rpm * rule.burst_seconds / 60)
-        self.tokens = room if self.tokens is None else self.tokens
-        self.at_ms = now if self.at_ms is None else self.at_ms
-        if now > self.at_ms:
-            self.tokens = min(room, self.tokens + (now - self.at_ms) * self.rpm / 60000)
-            self.at_ms = now
+        rate = min(rule.max_rpm, max(rule.min_rpm, rule.initial_rpm if self.rpm is None else self.rpm))
+        interval = lambda r: math.ceil(60_000 / r)
+        if op == "throttle":
+            self.rpm = max(rule.min_rpm, math.floor(rate * rule.decrease))
+            self.blocked_until = self.at_ms = now + (hint_ms if hint_ms is not None and hint_ms > 0 else interval(self.rpm))
+            self.tokens, self.streak = 0.0, 0
+            return False, 0
+        if op == "success":
+            full = self.streak + 1 >= rule.successes
+            self.rpm, self.streak = (min(rule.max_rpm, rate + rule.step), 0) if full else (rate, self.streak + 1)
+            return False, 0
+        self.rpm = rate
+        room = max(1.0, rate * rule.burst_seconds / 60)
+        since = now if self.at_ms is None else self.at_ms
+        gained = max(0, now - since) * rate / 60_000
+        self.tokens = room if self.tokens is None else min(room, self.tokens + gained) if gained else self.tokens
+        self.at_ms = max(since, now)
         if now < self.blocked_until:
             return False, self.blocked_until - now
-        if self.tokens >= 1:
-            self.tokens -= 1
-            return True, 0
-        return False, math.ceil((1 - self.tokens) * 60000 / self.rpm)
-
-    def throttled(self, now: int, hint_ms: int | None = None) -> None:
-        """A refusal by the provider halves the rate and blocks until its hint or one interval passes."""
-        rule = self.limits
-        self.rpm = max(rule.min_rpm, math.floor((rule.initial_rpm if self.rpm is None else self.rpm) * rule.decrease))
-        self.streak, self.tokens = 0, 0.0
-        self.blocked_until = self.at_ms = now + (hint_ms or math.ceil(60000 / self.rpm))
-
-    def succeeded(self) -> None:
-        """Every few successes in a row raise the rate by a step."""
-        rule = self.limits
-        self.streak += 1
-        if self.streak >= rule.successes:
-            self.rpm = min(rule.max_rpm, (rule.initial_rpm if self.rpm is None else self.rpm) + rule.step)
-            self.streak = 0
+        if self.tokens < 1:
+            return False, math.ceil((1 - self.tokens) * 60_000 / rate)
+        self.tokens -= 1
+        return True, 0
 
 
 class SlidingLog:
@@ -108,38 +110,34 @@ class SlidingLog:
         return "ok"
 
 
-def fold(events: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict], schema: str) -> DataFrame:
-    """Run a state machine over each key's events in order.
+def fold(events: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[..., tuple], columns: list[str], schema: str) -> DataFrame:
+    """Run a state machine over each key's events in order; ``step(state, *columns)`` gives a row of the schema.
 
     Events are sorted within partitions by Spark, which spills; Python holds one state and one batch.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                if state is None or row[key] != now:
-                    now, state = row[key], start()
-                out.append(step(state, row))
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or k != now:
+                    now, state = k, start()
+                out.append(step(state, *values))
             if out:
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     ship_code(events.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    dealt = events.select(key, *dict.fromkeys([*columns, *order])).repartition(n, key).sortWithinPartitions(key, *order)
+    return dealt.select(key, *columns).mapInArrow(run, schema)
 
 
-def bucket_step(b: Bucket, e: dict) -> dict:
-    """One event of columns event_id, op, ts_ms, hint_ms."""
-    granted, wait = False, 0
-    if e["op"] == "acquire":
-        granted, wait = b.acquire(int(e["ts_ms"]))
-    elif e["op"] == "throttle":
-        b.throttled(int(e["ts_ms"]), None if pd.isna(e["hint_ms"]) else int(e["hint_ms"]))
-    else:
-        b.succeeded()
-    return {"event_id": e["event_id"], "granted": granted, "wait_ms": wait, "rpm": float(b.rpm or b.limits.initial_rpm), "streak": b.streak}
+def bucket_step(b: Bucket, event_id: int, op: str, ts_ms: int, hint_ms: int | None) -> tuple:
+    """One event: event_id, granted, wait_ms, rpm, streak."""
+    granted, wait = b.after(op, ts_ms, hint_ms)
+    return event_id, granted, wait, float(b.rpm), b.streak
 
 
 WEEK_MS = 7 * 86_400_000
@@ -149,13 +147,13 @@ BUCKET = "event_id bigint, granted boolean, wait_ms bigint, rpm double, streak i
 def token_bucket(events: DataFrame, key: str = "bucket", limits: Limits | None = None) -> DataFrame:
     """Batch twin of the limiter."""
     rule = limits or Limits()
-    return fold(events, key, ["ts_ms", "event_id"], lambda: Bucket(rule), bucket_step, BUCKET)
+    return fold(events, key, ["ts_ms", "event_id"], lambda: Bucket(rule), bucket_step, ["event_id", "op", "ts_ms", "hint_ms"], BUCKET)
 
 
 def sliding_log(events: DataFrame, key: str, rpm: int, per_day: int) -> DataFrame:
     """Batch twin of the sliding log."""
-    step = lambda s, e: {"event_id": e["event_id"], "verdict": s.admit(int(e["ts_ms"]))}
-    return fold(events, key, ["ts_ms", "event_id"], lambda: SlidingLog(rpm, per_day), step, "event_id bigint, verdict string")
+    step = lambda s, event_id, ts_ms: (event_id, s.admit(ts_ms))
+    return fold(events, key, ["ts_ms", "event_id"], lambda: SlidingLog(rpm, per_day), step, ["event_id", "ts_ms"], "event_id bigint, verdict string")
 
 
 def token_bucket_stream(events: DataFrame, key: str = "bucket", limits: Limits | None = None) -> DataFrame:
@@ -171,10 +169,12 @@ def token_bucket_stream(events: DataFrame, key: str = "bucket", limits: Limits |
         if state.exists:
             b.rpm, b.tokens, b.at_ms, b.blocked_until, b.streak = state.get
         for batch in batches:
-            events_ = batch.sort_values(["ts_ms", "event_id"]).to_dict("records")
-            if events_ and b.at_ms is not None and events_[0]["ts_ms"] - b.at_ms > WEEK_MS:
+            ordered = batch.sort_values(["ts_ms", "event_id"])
+            if len(ordered) and b.at_ms is not None and ordered["ts_ms"].iloc[0] - b.at_ms > WEEK_MS:
                 b = Bucket(rule)
-            yield pd.DataFrame([bucket_step(b, e) for e in events_], columns=["event_id", "granted", "wait_ms", "rpm", "streak"])
+            hints = [None if pd.isna(h) else int(h) for h in ordered["hint_ms"]]
+            rows = [bucket_step(b, *e) for e in zip(ordered["event_id"].tolist(), ordered["op"], ordered["ts_ms"].tolist(), hints)]
+            yield pd.DataFrame(rows, columns=["event_id", "granted", "wait_ms", "rpm", "streak"])
         state.update((b.rpm, b.tokens, b.at_ms, b.blocked_until, b.streak))
 
     ship_code(events.sparkSession)

@@ -26,6 +26,79 @@ def test_normalized_hash_ignores_ascii_space_only(spark):
 def test_particles(spark):
     assert one(spark, T.particle(F.lit("이순신"), F.lit("가"))) == "이"
     assert one(spark, T.particle(F.lit("나주"), F.lit("을"))) == "를"
+    assert one(spark, T.particle(F.lit("철수"), F.lit("이라"))) == "라"
+    assert one(spark, T.particle(F.lit("이순신"), F.lit("라"))) == "라"
+
+
+@pytest.mark.parametrize(
+    ("template", "name", "want"),
+    [
+        ("⟪PER1⟫이 아뢰기를", "이서", "이서가 아뢰기를"),
+        ("⟪PER1⟫를 파직하였다", "김상헌", "김상헌을 파직하였다"),
+        ("⟪PER1⟫이라 하였다", "이서", "이서라 하였다"),
+        ("⟪PER1⟫이라 하였다", "김상헌", "김상헌이라 하였다"),
+        ("⟪PER1⟫라 하였다", "김상헌", "김상헌라 하였다"),
+        ("⟪PER1⟫이 오니 ⟪PER1⟫을 맞았다", "이서", "이서가 오니 이서를 맞았다"),
+        ("⟪PER1⟫ 이번에 올라왔다", "이서", "이서 이번에 올라왔다"),
+        ("⟪PER1⟫가문의 일", "이서", "이서가문의 일"),
+        ("⟪PER1⟫와 ⟪PER2⟫은", "이서", None),
+        ("아무도 없다", "이서", None),
+        ("⟪PER1⟫이라", "a$1b", "a$1b라"),
+    ],
+)
+def test_reinjection_fits_particles(spark, template, name, want):
+    slots = F.array(F.struct(F.lit(1).alias("at"), F.lit("x").alias("surface"), F.lit(name).alias("name")))
+    assert one(spark, kb.reinjected(F.lit(template), slots)) == want
+
+
+def test_grams_are_of_code_points(spark):
+    g = lambda s, n: one(spark, T.grams(T.characters(F.lit(s)), n))
+    assert g("𠀀abcd", 3) == ["𠀀ab", "abc", "bcd"]
+    assert g("😀", 1) == ["😀"] and g("😀", 2) == [] and g("", 1) == []
+    keys = spark.createDataFrame([("abc",), ("𠀀",), ("",)], "key string")
+    rows = spark.createDataFrame([(1, "𠀀abcd"), (2, "😀 😀 abc"), (3, None), (4, "")], "seq bigint, original string")
+    assert sorted(tuple(r) for r in names.dictionary_hits(rows, keys).collect()) == [(1, 0, 1, "𠀀"), (1, 1, 4, "abc"), (2, 4, 7, "abc")]
+    df = spark.createDataFrame([(1, "😀", "😀")], "seq bigint, h string, r string")
+    assert [(r.n, r.hyp, r.match) for r in M.ngram_stats(df, "h", "r", 6).collect()] == [(1, 1, 1)]
+
+
+def test_large_dictionaries_pass_in_parts(spark, monkeypatch):
+    keys = spark.createDataFrame([(w,) for w in ("abc", "bc", "c", "zz")], "key string")
+    rows = spark.createDataFrame([(1, "abcabc")], "seq bigint, original string")
+    whole = sorted(map(tuple, names.dictionary_hits(rows, keys).collect()))
+    monkeypatch.setattr(names, "MOST_KEY_CHARACTERS", 3)
+    assert sorted(map(tuple, names.dictionary_hits(rows, keys).collect())) == whole and len(whole) == 6
+
+
+@pytest.mark.parametrize(
+    ("text", "gold", "library", "want"),
+    [
+        ("김상언이 왔다", "김상헌", "김상언", ("김상헌이 왔다", "fixed")),
+        ("김상언과 김상원이", "김상헌", "김상원", ("김상언과 김상헌이", "fixed")),
+        ("김상언과 김상원이", "김상헌", "다른", ("김상언과 김상원이", "unfixable")),
+        ("김상헌과 김상원이", "김상헌", "김상원", ("김상헌과 김상원이", "already")),
+        ("김 상", "김상헌", "김상언", ("김 상", "unfixable")),
+        ("", "김상헌", "김상언", ("", "unfixable")),
+        ("김상언", "김", "김", ("김상언", "already")),
+    ],
+)
+def test_wrong_readings_are_repaired(spark, text, gold, library, want):
+    assert tuple(one(spark, names.repaired(F.lit(text), F.lit(gold), F.lit(library)))) == want
+
+
+def test_readings(spark):
+    rows = spark.createDataFrame([("李進",), ("申",), ("沈悅",), ("xx",)], "name string")
+    table = spark.createDataFrame([("李", "리"), ("進", "진"), ("申", "신"), ("沈", "침"), ("悅", "열")], "char string, reading string")
+    fixed = spark.createDataFrame([("沈", "심"), ("申", "쉰")], "char string, fixed string")
+    got = {r.name: r.readings for r in names.readings(rows, table, fixed).collect()}
+    assert got == {"李進": ["리진", "이진"], "申": ["신"], "沈悅": ["침열", "심열"], "xx": []}
+
+
+def test_name_tokens(spark):
+    rows = spark.createDataFrame([(1, "진심을 이봉진이 조위한이 신훈과 신경이 조위")], "seq bigint, translation string")
+    known = spark.createDataFrame([("조위한",)], "name string")
+    got = {(r.n, r.token) for r in names.name_tokens(rows, (1, 2, 3), known, run="[가-힣]+", particles=("이", "을", "과")).collect()}
+    assert got == {(2, "진심"), (2, "신훈"), (2, "신경"), (2, "조위"), (3, "이봉진"), (3, "조위한"), (3, "진심을"), (3, "신훈과"), (3, "신경이")}
 
 
 def test_initial_sound(spark):
@@ -100,16 +173,32 @@ def test_replay_equals_a_sequential_cache(spark):
 
 def test_bucket_trace():
     b = L.Bucket(L.Limits(initial_rpm=60, max_rpm=60, burst_seconds=1))
-    assert b.acquire(0) == (True, 0)
-    assert b.acquire(0) == (False, 1000)
-    assert b.acquire(1000) == (True, 0)
-    b.throttled(1000, 5000)
-    assert (b.rpm, b.acquire(2000)) == (30, (False, 4000))
+    assert b.after("acquire", 0) == (True, 0)
+    assert b.after("acquire", 0) == (False, 1000)
+    assert b.after("acquire", 1000) == (True, 0)
+    b.after("throttle", 1000, 5000)
+    assert (b.rpm, b.after("acquire", 2000)) == (30, (False, 4000))
     for _ in range(5):
-        b.succeeded()
+        b.after("success", 2000)
     assert b.rpm == 31
 
 
+@pytest.mark.parametrize("hint", [None, 0, -90_000])
+def test_a_refusal_without_a_positive_hint_blocks_for_one_interval(hint):
+    b = L.Bucket(L.Limits(initial_rpm=60))
+    b.after("throttle", 1000, hint)
+    assert (b.rpm, b.blocked_until) == (30, 3000)
+
+
+def test_rates_outside_the_limits_are_brought_inside_first():
+    b = L.Bucket(L.Limits(max_rpm=60), rpm=500)
+    b.after("throttle", 0)
+    assert b.rpm == 30
+    b = L.Bucket(L.Limits(max_rpm=60, successes=2), rpm=1)
+    b.after("success", 0)
+    assert b.rpm == 2
+
+
 def test_limits_are_checked():
     with pytest.raises(ValueError):
         L.Limits(min_rpm=0)
@@ -125,8 +214,7 @@ def test_batch_bucket_equals_single_machine(spark):
     machines = {"a": L.Bucket(), "b": L.Bucket()}
     want = {}
     for i, k, op, ts, hint in events:
-        s = L.bucket_step(machines[k], {"event_id": i, "op": op, "ts_ms": ts, "hint_ms": hint})
-        want[i] = (s["granted"], s["wait_ms"], s["rpm"])
+        want[i] = L.bucket_step(machines[k], i, op, ts, hint)[1:4]
     assert got == want
 
 
@@ -159,7 +247,7 @@ def test_dictionary_scan_equals_greedy(spark):
                 taken.append((p, p - n, k))
         want[i] = sorted(taken)
     df = spark.createDataFrame(texts, "seq bigint, original string")
-    found = names.dictionary_scan(df, spark.createDataFrame([(k,) for k in keys], "key string"), (2, 3, 4))
+    found = names.dictionary_scan(df, spark.createDataFrame([(k,) for k in keys], "key string"))
     assert {r.seq: [tuple(s) for s in r.spans] for r in found.collect()} == {i: w for i, w in want.items() if w}
 
 
