@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 
 MOST_CANDIDATES = 3
-MARKER = "⟪{0}{1}⟫"
+_CANDIDATES = "array<struct<pos:int,kb_id:string,since:int,offices:array<string>>>"
 
 
 def build_index(people: DataFrame, names: tuple[str, ...] = ("hanja", "hangul")) -> DataFrame:
@@ -23,21 +23,29 @@ def build_index(people: DataFrame, names: tuple[str, ...] = ("hanja", "hangul"))
     return rows.select(F.col("name").alias("surface"), "kb_id", F.lit(0).alias("ord")).unionAll(short)
 
 
-def link(mentions: DataFrame, index: DataFrame, people: DataFrame, sentences: DataFrame) -> DataFrame:
+def candidates(index: DataFrame, people: DataFrame) -> DataFrame:
+    """``surface, c``: the entries of each surface in order, with the persons' start and offices; one row a surface."""
+    person = people.select(F.col("kb_id").alias("id"), F.coalesce("active_from", F.lit(0)).alias("since"), "offices")
+    rows = index.where("kb_id is not null").join(person, F.col("kb_id") == F.col("id"), "left")
+    return rows.groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("pos", "kb_id", "since", "offices"))).alias("c"))
+
+
+def link(mentions: DataFrame, index: DataFrame, people: DataFrame, sentences: DataFrame, ready: DataFrame | None = None) -> DataFrame:
     """Link mentions: SINGLE, TIME, OFFICE, AMBIGUOUS or MISS, with candidate ids.
 
     One index entry is SINGLE whatever its time. Else candidates active by the sentence's year
     remain (a missing start is 0, the end is ignored); one is TIME. Else candidates with an office
     whose name or first bracketed part stands in the sentence; one is OFFICE. Else AMBIGUOUS, with the
     office matches or the first three candidates in time. ``sentences`` has seq, original, year.
+
+    A mention meets one row of ``candidates`` (``ready``, if the caller has them), so nothing is grouped by mention;
+    mentions that carry their sentence's ``year`` meet sentences only where its text must decide.
     """
-    found = mentions.join(index, "surface", "left")
-    person = people.select("kb_id", F.lit(True).alias("known"), F.coalesce("active_from", F.lit(0)).alias("since"), "offices")
-    found = found.join(person, "kb_id", "left").join(sentences.select("seq", "year"), "seq")
-    in_time = F.col("known") & (F.col("since") <= F.coalesce("year", F.lit(2147483647)))
-    candidate = F.when(F.col("kb_id").isNotNull(), F.struct("pos", "kb_id", F.coalesce(in_time, F.lit(False)).alias("timed"), "offices"))
-    grouped = found.groupBy("seq", "ord", "surface", "type").agg(F.array_sort(F.collect_list(candidate)).alias("c"))
-    timed = grouped.withColumn("t", F.filter("c", lambda x: x["timed"]))
+    rows = mentions if "year" in mentions.columns else mentions.join(sentences.select("seq", "year"), "seq")
+    found = rows.join(candidates(index, people) if ready is None else ready, "surface", "left")
+    found = found.withColumn("c", F.coalesce("c", F.array().cast(_CANDIDATES)))
+    year = F.coalesce("year", F.lit(2147483647))
+    timed = found.withColumn("t", F.filter("c", lambda x: F.coalesce(x["since"] <= year, F.lit(False)))).select("seq", "ord", "surface", "type", "c", "t")
     # texts are needed only where two or more candidates remain
     unsure = timed.where((F.size("c") > 1) & (F.size("t") > 1)).join(sentences.select("seq", "original"), "seq")
 

@@ -7,11 +7,12 @@ six character orders and beta 2; BLEU with four orders and exponential smoothing
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators.relational import numbered
 
 CHRF_ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
@@ -59,36 +60,49 @@ def bleu(stats: DataFrame, lengths: DataFrame, by: list[str], *, effective_order
     return parts.select(*by, F.when(whole, 100 * penalty * F.exp(mean)).otherwise(F.lit(0.0)).alias("bleu"))
 
 
-def draws(spark, n: int, iters: int, seed: int = 0) -> DataFrame:
-    """``iter, place``: n places from 0 to n - 1 with replacement for each iteration, by a hash both engines share."""
-    r = spark.range(iters * n)
-    i, j = F.expr(f"id div {n}"), F.expr(f"id % {n}")
-    mixed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), i.cast("string"), F.lit("-"), j.cast("string"))), 1, 8), 16, 10).cast("bigint")
-    return r.select(i.alias("iter"), (mixed % n).alias("place"))
+#: Poisson with mean 1: the chance of at most 0, 1, 2, ... draws.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def drawn(rows: DataFrame, key: str, iters: int, seed: int = 0) -> DataFrame:
+    """The rows of each bootstrap iteration: ``iter`` and ``w``, how often the iteration draws the row, above 0.
+
+    Each row is drawn a Poisson number of times with mean 1, by a hash of iteration and key that both engines
+    share, so iterations need no row numbers and no join, and sums over them combine before they shuffle.
+    """
+    every = rows.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
+    mixed = F.md5(F.concat(F.lit(f"{seed}-"), F.col("iter").cast("string"), F.lit("-"), F.col(key).cast("string")))
+    u = F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
+    weight = sum(((u >= F.lit(c)).cast("bigint") for c in POISSON), F.lit(0).cast("bigint"))
+    return every.withColumn("w", weight).where("w > 0")
 
 
 def bootstrap_ratio(rows: DataFrame, hits: str, total: str, order: str, iters: int = 2000, seed: int = 0) -> DataFrame:
     """The ratio of sums and its interval: ``ratio, low, high``.
 
-    Each iteration draws as many rows as there are; the ends are positions int(.025 n) and int(.975 n) - 1
-    of the sorted iterations. ``rows`` has one row for each unit that is drawn.
+    The ends are positions int(.025 n) and int(.975 n) - 1 of the sorted iterations. ``rows`` has one row for
+    each unit that is drawn, and ``order`` tells them apart.
     """
-    placed = numbered(rows.select(order, hits, total), order, "place")
-    n = placed.count()
-    drawn = draws(rows.sparkSession, n, iters, seed).join(placed, "place")
-    per = drawn.groupBy("iter").agg(F.try_divide(F.sum(hits), F.sum(total)).alias("ratio"))
-    ends = F.array_sort(F.collect_list("ratio"))
-    spread = per.agg(F.element_at(ends, int(0.025 * iters) + 1).alias("low"), F.element_at(ends, int(0.975 * iters)).alias("high"))
-    return placed.agg(F.try_divide(F.sum(hits), F.sum(total)).alias("ratio")).crossJoin(spread)
+    per = drawn(rows.select(order, hits, total), order, iters, seed).groupBy("iter").agg(F.try_divide(F.sum(F.col(hits) * F.col("w")), F.sum(F.col(total) * F.col("w"))).alias("ratio"))
+    ends = F.array_sort(F.collect_list("ratio"))  # one number for each iteration
+    spread = per.agg(F.get(ends, F.lit(int(0.025 * iters))).alias("low"), F.get(ends, F.lit(int(0.975 * iters) - 1)).alias("high"))
+    return rows.agg(F.try_divide(F.sum(hits), F.sum(total)).alias("ratio")).crossJoin(spread)
 
 
 def bootstrap_chrf(stats: DataFrame, key: str, iters: int = 1000, seed: int = 0) -> DataFrame:
     """``iter, chrf`` from weighted sums of per-sentence statistics; texts are not read again."""
-    placed = numbered(stats.select(key).distinct(), key, "place")
-    n = placed.count()
-    weights = draws(stats.sparkSession, n, iters, seed).groupBy("iter", "place").agg(F.count("*").alias("w"))
-    weighted = weights.join(placed, "place").join(stats, key).select("iter", "n", *[(F.col(c) * F.col("w")).alias(c) for c in ("hyp", "ref", "match")])
-    return chrf(weighted, ["iter"])
+    by_row = stats.groupBy(key).agg(F.collect_list(F.struct("n", "hyp", "ref", "match")).alias("s"))  # six orders at most
+    weighted = drawn(by_row, key, iters, seed).select("iter", "w", F.explode("s").alias("s"))
+    return chrf(weighted.select("iter", "s.n", *[(F.col(f"s.{c}") * F.col("w")).alias(c) for c in ("hyp", "ref", "match")]), ["iter"])
+
+
+def name_scores(rows: DataFrame, reflected) -> DataFrame:
+    """``strict, lenient, macro``: the share of names (``seq, translation, slots``) that a text has, whole or by their
+    given part, and the mean of the sentences' strict shares. With the reference as the text it is the ceiling."""
+    e = rows.select("seq", "translation", F.explode("slots").alias("s"))
+    strict, lenient = F.col("translation").contains(F.col("s.name")).cast("int"), reflected(F.col("translation"), F.col("s.name")).cast("int")
+    per = e.groupBy("seq").agg(F.sum(strict).alias("h"), F.sum(lenient).alias("l"), F.count("*").alias("t"))
+    return per.agg(F.try_divide(F.sum("h"), F.sum("t")).alias("strict"), F.try_divide(F.sum("l"), F.sum("t")).alias("lenient"), F.avg(F.col("h") / F.col("t")).alias("macro"))
 
 
 def not_inferior(base: Column, new: Column, tolerance: float) -> Column:

@@ -74,10 +74,78 @@ def vote(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     )
 
 
-def positional_quantile(values: Column, p: float) -> Column:
-    """``sorted[int(n * p)]`` of a group, not interpolated."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.least((F.size(ordered) * p).cast("int") + 1, F.size(ordered)))
+def chunked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The rows dealt by range of (group, order), with ``_chunk``: chunks follow the order, so a large group fills many."""
+    dealt = df.repartitionByRange(*group, *order).withColumn("_chunk", F.spark_partition_id())
+    return durable(dealt)  # partitions are numbered once
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of a whole number over a group's rows up to each, in an order without ties.
+
+    Sums within chunks of the order plus what earlier chunks hold; no task sees a whole group.
+    """
+    rows = chunked(df, group, order)
+    keys = [f"_g{i}" for i in range(len(group))]
+    sums = rows.groupBy(F.col("_chunk").alias("_c"), *[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(F.sum(amount).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+    same = F.col("_chunk") == F.col("_c")
+    for g, k in zip(group, keys):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    within = Window.partitionBy("_chunk", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sums, same).withColumn(name, F.sum(amount).over(within) + F.col("_before")).drop("_chunk", "_c", "_before", *keys)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds ``name``: the place from 0 of each row in its group, in an order without ties."""
+    out = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one", name)
+    return out.withColumn(name, F.col(name) - 1).drop("_one")
+
+
+def order_statistics(df: DataFrame, group: list[str], value: str, places: dict[str, tuple[str, str]]) -> DataFrame:
+    """``group`` with, for each name, the mean of the values at two places from 0, given as SQL over ``n``, the
+    group's number of values; equal places give the value itself. Nulls are no values.
+
+    Rows are ranked by ranges of the value, equal values in any order, and only those at the places leave.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v")).withColumn("_tie", F.monotonically_increasing_id())
+    rows = ranked(rows, group, ["_v", "_tie"], "_r")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    met = rows.join(F.broadcast(sizes)) if not group else rows.join(sizes, group)  # without groups one row
+    wanted = F.array(*[F.expr(f"cast({p} as bigint)") for pair in places.values() for p in dict.fromkeys(pair)])
+    met = met.where(F.array_contains(wanted, F.col("_r")))
+    at = lambda p: F.max(F.when(F.col("_r") == F.expr(f"cast({p} as bigint)"), F.col("_v")))
+    return met.groupBy(*group).agg(*[(at(low) if low == high else (at(low) + at(high)) / 2).alias(name) for name, (low, high) in places.items()])
+
+
+def interpolated(df: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """``group`` with quantiles that are interpolated between neighbours, as ``percentile`` gives them."""
+    ends = {}
+    for name, p in points.items():
+        ends |= {f"{name}_low": (f"floor((n - 1) * {p}D)",) * 2, f"{name}_high": (f"ceil((n - 1) * {p}D)",) * 2, f"{name}_n": ("0", "0")}
+    rows = df.where(F.col(value).isNotNull())
+    stats = order_statistics(rows, group, value, {k: v for k, v in ends.items() if not k.endswith("_n")})
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_size"))
+    met = stats.join(F.broadcast(sizes)) if not group else stats.join(sizes, group)  # without groups one row each
+    part = lambda p: (F.col("_size") - 1) * F.lit(p) - F.floor((F.col("_size") - 1) * F.lit(p))
+    return met.select(*group, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * part(p)).alias(n) for n, p in points.items()])
+
+
+MEDIAN = ("(n - 1) div 2", "n div 2")
+
+
+def within_last(df: DataFrame, group: list[str], micros: str, width: int, name: str) -> DataFrame:
+    """Adds ``name``: a group's rows whose time, in microseconds, is at most ``width`` before a row's own, and not after it.
+
+    Time is cut into slices of the width; a row is counted in its own slice and seen from the next, so a
+    group's window holds two slices, not the whole group.
+    """
+    slice_ = F.floor(F.col(micros) / F.lit(width))
+    seen = df.withColumn("_s", F.explode(F.array(F.struct(slice_.alias("at"), F.lit(True).alias("own")), F.struct((slice_ + 1).alias("at"), F.lit(False).alias("own")))))
+    seen = seen.withColumn("_at", F.col("_s.at")).withColumn("_own", F.col("_s.own")).drop("_s")
+    w = Window.partitionBy(*group, "_at").orderBy(micros).rangeBetween(-width, 0)
+    return seen.withColumn(name, F.count("*").over(w)).where("_own").drop("_at", "_own")
 
 
 def repeat_flags(df: DataFrame, key: str, order: str) -> DataFrame:

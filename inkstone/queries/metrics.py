@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstone.operators import metrics as M
 from inkstone.operators import names as N
+from inkstone.operators import relational as R
 from inkstone.queries.bindings import bind
 from inkstone.queries.registry import query
 from inkstone.session import durable
@@ -93,13 +94,14 @@ def l26(spark, sf):
     return gold(spark, sf).groupBy("status", (F.col("seq") % 4 == 0).cast("int").alias("segment")).agg(F.count("*").alias("n"), (F.count(F.when(F.col("injected") != F.col("gold"), 1)) / F.count("*")).alias("disagree"))
 
 
-_DRAW = "('0x' || substring(md5('0-' || cast(it as varchar) || '-' || cast(j as varchar)), 1, 8))::bigint"
+_U = "('0x' || substring(md5('0-' || cast(it as varchar) || '-' || cast({0} as varchar)), 1, 8))::bigint / 4294967296.0::double"
+_W = "(" + " + ".join(f"cast(u >= {c!r}::double as int)" for c in M.POISSON) + ")"
 
 
 @query(
     "k9_bootstrap_interval",
-    f"""with p as materialized (select l_suppkey, sum(l_quantity) h, sum(l_quantity + l_linenumber) t, row_number() over (order by l_suppkey) - 1 place from lineitem group by l_suppkey), c as (select count(*) n from p),
-    d as (select it, {_DRAW} % n as place from c, range(0, 2000) a(it), unnest(range(0, n)) b(j)), r as (select it, sum(h) / sum(t) ratio from d join p using (place) group by it), o as (select ratio, row_number() over (order by ratio) k from r)
+    f"""with p as materialized (select l_suppkey, sum(l_quantity) h, sum(l_quantity + l_linenumber) t from lineitem group by l_suppkey),
+    d as (select it, h, t, {_W} w from (select *, {_U.format("l_suppkey")} u from p, range(0, 2000) a(it))), r as (select it, sum(h * w) / sum(t * w) ratio from d where w > 0 group by it), o as (select ratio, row_number() over (order by ratio) k from r)
     select (select sum(h) / sum(t) from p) as ratio, max(ratio) filter (where k = 51) as low, max(ratio) filter (where k = 1950) as high from o""",
 )
 def k9(spark, sf):
@@ -110,16 +112,15 @@ def k9(spark, sf):
 
 @query(
     "k10_bootstrap_chrf",
-    f"""with {_stats(6)}, u as materialized (select seq, row_number() over (order by seq) - 1 place from (select distinct seq from st)), c as (select count(*) n from u),
-    w as (select it, place, count(*) w from (select it, {_DRAW} % n as place from c, range(0, 1000) a(it), unnest(range(0, n)) b(j)) group by it, place),
-    s as (select it, st.n, sum(w * hyp) hyp, sum(w * ref) ref, sum(w * m) m from w join u using (place) join st using (seq) group by it, st.n),
+    f"""with {_stats(6)}, u as materialized (select distinct seq from st), w as (select it, seq, {_W} w from (select *, {_U.format("seq")} u from u, range(0, 1000) a(it))),
+    s as (select it, st.n, sum(w * hyp) hyp, sum(w * ref) ref, sum(w * m) m from w join st using (seq) where w > 0 group by it, st.n),
     a as (select it, avg(m / hyp) p, avg(m / ref) r from s where hyp > 0 and ref > 0 group by it), f as (select {_F} as x from a)
     select round(median(x), 6) as median, round(min(x), 6) as low, round(max(x), 6) as high from f""",
     "pairs",
 )
 def k10(spark, sf):
     st = M.ngram_stats(bind(spark, sf, "pairs"), "translation", "original", 6)
-    return M.bootstrap_chrf(st, "seq").agg(*[F.round(f("chrf"), 6).alias(name) for f, name in ((F.median, "median"), (F.min, "low"), (F.max, "high"))])
+    return M.bootstrap_chrf(st, "seq").agg(*[F.round(f("chrf"), 6).alias(name) for f, name in ((F.median, "median"), (F.min, "low"), (F.max, "high"))])  # of 1,000 iterations
 
 
 @query("k11_non_inferiority", "with m as (select variant, avg(value) v, avg(hit / total) r, count(*) n from score group by variant) select b.variant, case when b.n < 10 then 2 when a.v - b.v <= 2.0 and a.r - b.r <= 0 then 0 else 1 end as exit_code from m a, m b where a.variant = 'p0' and b.variant <> 'p0'", "score")
@@ -132,7 +133,9 @@ def k11(spark, sf):
 
 @query("k12_ablation_verdict", "with m as (select variant, median(value) v, median(hit) h, avg(total) t from score group by variant), b as (select * from m where variant = 'p0') select arg_min(m.variant, (m.t, m.variant)) as chosen, count(*) as passing from m, b where b.v - m.v <= 400 and b.h - m.h <= 0", "score")
 def k12(spark, sf):
-    m = bind(spark, sf, "score").groupBy("variant").agg(F.median("value").alias("v"), F.median("hit").alias("h"), F.avg("total").alias("t"))
+    s = bind(spark, sf, "score").select("variant", "value", "hit", "total")
+    v, h = (R.order_statistics(s, ["variant"], c, {n: R.MEDIAN}) for c, n in (("value", "v"), ("hit", "h")))
+    m = s.groupBy("variant").agg(F.avg("total").alias("t")).join(v, "variant").join(h, "variant")
     base = m.where("variant = 'p0'").select(F.col("v").alias("bv"), F.col("h").alias("bh"))  # one row
     ok = M.not_inferior(F.col("bv"), F.col("v"), 400) & M.not_inferior(F.col("bh"), F.col("h"), 0)
     return m.crossJoin(base).where(ok).agg(F.min_by("variant", F.struct("t", "variant")).alias("chosen"), F.count("*").alias("passing"))
@@ -234,7 +237,8 @@ def h33(spark, sf):
 @query("h35_tokens_per_char", "select avg(r) as mean, median(r) as median from (select len(regexp_extract_all(original, '[^ \\t\\n\\x0B\\f\\r]+')) / length(original) r from corpus where length(original) > 0)", "corpus")
 def h35(spark, sf):
     r = F.regexp_count("original", F.lit(r"\S+")) / F.length("original")
-    return bind(spark, sf, "corpus").where(F.length("original") > 0).select(r.alias("r")).agg(F.avg("r").alias("mean"), F.median("r").alias("median"))
+    rates = durable(bind(spark, sf, "corpus").where(F.length("original") > 0).select(r.alias("r")))  # read twice
+    return rates.agg(F.avg("r").alias("mean")).crossJoin(R.order_statistics(rates, [], "r", {"median": R.MEDIAN}))  # one row each
 
 
 @query(

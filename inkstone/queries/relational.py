@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators import names as N
 from inkstone.operators import relational as R
 from inkstone.queries.bindings import bind
 from inkstone.queries.registry import query
@@ -59,12 +60,8 @@ _KEYS = "select distinct substring(n_name, 1, 4) as key from nation union select
 def c9(spark, sf):
     nation = bind(spark, sf, "nation")
     keys = nation.select(F.substring("n_name", 1, 4).alias("key")).union(nation.select(F.lower(F.substring("n_name", 2, 3)))).distinct()
-    c = bind(spark, sf, "corpus")
-    grams = None
-    for k in (3, 4):  # the lengths that keys have; an empty look-ahead match at each place gives every k-gram in one pass
-        part = c.select("seq", F.posexplode(F.regexp_extract_all("original", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("place", "key"))
-        grams = part if grams is None else grams.unionByName(part)
-    return grams.join(keys, "key").select("seq", "key", (F.col("place") + 1).cast("bigint").alias("place"))
+    found = N.dictionary_hits(bind(spark, sf, "corpus"), keys)
+    return found.select("seq", "key", (F.col("start") + 1).cast("bigint").alias("place"))
 
 
 @query("c11_containment", "select seq, count(*) as names, count(*) filter (where contains(original, r_name) or contains(lower(original), lower(substring(r_name, 1, 2)))) as held from corpus, region group by seq", "corpus")
@@ -191,20 +188,13 @@ def d13(spark, sf):
 
 @query("d14_positional_quantile", "with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 r, count(*) over (partition by event_type) n from events) select event_type, max(value) filter (where r = n // 4) as q1, max(value) filter (where r = n // 2) as q2, max(value) filter (where r = 3 * n // 4) as q3 from s group by event_type")
 def d14(spark, sf):
-    # ranks come from a sort that spills, so no group is gathered
-    ranked = bind(spark, sf, "events").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1)
-    sizes = ranked.groupBy("event_type").agg(F.count("*").alias("n"))
-    ranked = ranked.join(sizes, "event_type")
     at = {"q1": "n div 4", "q2": "n div 2", "q3": "3 * n div 4"}
-    return ranked.groupBy("event_type").agg(*[F.max(F.when(F.col("r") == F.expr(e), F.col("value"))).alias(q) for q, e in at.items()])
+    return R.order_statistics(bind(spark, sf, "events"), ["event_type"], "value", {q: (e, e) for q, e in at.items()})
 
 
 @query("d15_nearest_rank", "with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 r, count(*) over (partition by event_type) n from events) select event_type, max(value) filter (where r = least(cast(floor(n * 0.95::double) as bigint), n - 1)) as p95 from s group by event_type")
 def d15(spark, sf):
-    e = bind(spark, sf, "events")
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
-    rank = F.least(F.floor(F.col("n") * F.lit(0.95)), F.col("n") - 1)
-    return ranked.groupBy("event_type").agg(F.max(F.when(F.col("r") == rank, F.col("value"))).alias("p95"))
+    return R.order_statistics(bind(spark, sf, "events"), ["event_type"], "value", {"p95": ("least(floor(n * 0.95D), n - 1)",) * 2})
 
 
 @query("d16_median_of_rounds", "select variant, median(v) as median from (select variant, round, avg(hit) v from score group by all) group by variant", "score")
@@ -224,7 +214,11 @@ def d18(spark, sf):
 
 @query("d19_stage_share", "select sum(hit) / sum(total) as share_of_sums, quantile_disc(hit, 0.5) / quantile_disc(total, 0.5) as share_of_medians from score", "score")
 def d19(spark, sf):
-    return bind(spark, sf, "score").agg((F.sum("hit") / F.sum("total")).alias("share_of_sums"), F.expr("percentile_disc(0.5) within group (order by hit) / percentile_disc(0.5) within group (order by total)").alias("share_of_medians"))
+    s = bind(spark, sf, "score").select("hit", "total")
+    half = {"half": ("ceil(n * 0.5D) - 1",) * 2}
+    hit, total = (R.order_statistics(s, [], c, half).select(F.col("half").alias(c)) for c in ("hit", "total"))  # one row each
+    sums = s.agg((F.sum("hit") / F.sum("total")).alias("share_of_sums"))
+    return sums.crossJoin(hit).crossJoin(total).select("share_of_sums", (F.col("hit") / F.col("total")).alias("share_of_medians"))
 
 
 @query("d21_vote_agreement", f"with c as (select substring(word, 1, 3) as key, lower(substring(word, 4, 2)) as value, count(*) n, min(seq) first from ({_WORDS}) group by 1, 2), r as (select *, row_number() over (partition by key order by n desc, first, value) k, sum(n) over (partition by key) total from c) select key, value as top, n as votes, n / total as agreement from r where k = 1", "corpus")
@@ -296,10 +290,15 @@ def d31(spark, sf):
     return n.where("a > 0").crossJoin(total).agg(F.sum(p * F.log(p / q)).alias("kl"))
 
 
-@query("d33_json_rows", "select tenant_id, count(*) as n from job where status = 'DEAD' group by tenant_id", "job")
+_ROW = "'{\"id\":\"' || id || '\",\"tokens_in\":' || cast(tokens_in as varchar) || '}'"
+
+
+@query("d33_json_rows", f"select tenant_id, page, '[' || string_agg({_ROW}, ',' order by seq) || ']' as rows from (select *, (row_number() over (partition by tenant_id order by seq) - 1) // 100 as page from job where status = 'DEAD') group by tenant_id, page", "job")
 def d33(spark, sf):
-    rows = bind(spark, sf, "job").where("status = 'DEAD'").groupBy("tenant_id").agg(F.to_json(F.collect_list(F.struct("id", "tokens_in"))).alias("rows"))
-    return rows.select("tenant_id", F.size(F.from_json("rows", "array<struct<id string, tokens_in bigint>>")).cast("bigint").alias("n"))
+    """Pages of 100 rows, so that no cell grows with the table."""
+    dead = R.ranked(bind(spark, sf, "job").where("status = 'DEAD'").select("tenant_id", "seq", "id", "tokens_in"), ["tenant_id"], ["seq"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", "tokens_in"))), lambda r: F.struct(r["id"].alias("id"), r["tokens_in"].alias("tokens_in")))
+    return dead.groupBy("tenant_id", F.expr("rank div 100").alias("page")).agg(F.to_json(ordered).alias("rows"))
 
 
 @query("d34_grouped_breakdown", "select pattern, arm, count(*) as n, avg(length(hypothesis)) as mean_length from arm group by grouping sets ((), (pattern), (arm), (pattern, arm))", "arm")
@@ -317,14 +316,16 @@ def d35(spark, sf):
 @query("d37_outlier_thresholds", "with q as (select quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3, avg(value) m, stddev_samp(value) s from events) select count(*) filter (where value < q1 - 1.5 * (q3 - q1)) as iqr, count(*) filter (where value < m - 2 * s) as sd2, count(*) filter (where value < m - s) as sd1, count(*) filter (where value < 20) as fixed from events, q")
 def d37(spark, sf):
     e = bind(spark, sf, "events").select("value")
-    q = e.agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))  # one row
+    q = e.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).crossJoin(R.interpolated(e, [], "value", {"q1": 0.25, "q3": 0.75}))  # one row
     rules = {"iqr": "value < q1 - 1.5 * (q3 - q1)", "sd2": "value < m - 2 * s", "sd1": "value < m - s", "fixed": "value < 20"}
     return e.crossJoin(F.broadcast(q)).agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in rules.items()])
 
 
 @query("d38_numeric_profile", "select count(value) as n, avg(value) as mean, stddev_samp(value) as sd, min(value) as low, quantile_cont(value, 0.5) as mid, max(value) as high from events")
 def d38(spark, sf):
-    return bind(spark, sf, "events").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.percentile("value", 0.5).alias("mid"), F.max("value").alias("high"))
+    e = bind(spark, sf, "events").select("value")
+    known = e.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return known.crossJoin(R.interpolated(e, [], "value", {"mid": 0.5}))  # one row each
 
 
 @query("e1_latest_row", "select id, normalized_hash from (select *, row_number() over (partition by normalized_hash order by t desc nulls first, id) r from (select *, case when seq % 13 = 0 then null else completed_at end t from job)) where r = 1", "job")
@@ -390,8 +391,8 @@ def e14(spark, sf):
 
 @query("e16_sliding_count", "select event_id, count(*) over (partition by model order by ts range between interval 60 seconds preceding and current row) as in_window from rate_event", "rate_event")
 def e16(spark, sf):
-    w = Window.partitionBy("model").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    return bind(spark, sf, "rate_event").select("event_id", F.count("*").over(w).alias("in_window"))
+    e = bind(spark, sf, "rate_event").select("event_id", "model", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return R.within_last(e, ["model"], "us", 60_000_000, "in_window").select("event_id", "in_window")
 
 
 @query("f1_top_k", "select o_custkey, count(*) as n from orders group by o_custkey order by n desc, o_custkey limit 20")
