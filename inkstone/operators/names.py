@@ -143,21 +143,26 @@ def readings(names: DataFrame, table: DataFrame, surnames: DataFrame) -> DataFra
     return rows.select("name", F.when(readable, found).otherwise(F.array().cast("array<string>")).alias("readings"))
 
 
-def name_tokens(rows: DataFrame, lengths: tuple[int, ...], known: DataFrame, *, run: str, particles: tuple[str, ...], text: str = "translation", row: str = "seq") -> DataFrame:
-    """``row, n, token``: what in each text can be a name of n characters, once a row.
+def tokens_of(words: DataFrame, lengths: DataFrame, known: DataFrame, *, particles: tuple[str, ...]) -> DataFrame:
+    """``seq, n, token``: what in a row's words (seq, word) can be a name of one of the row's lengths (seq, n), once a row.
 
-    A name opens a word (``run``) and nothing or a particle follows it; a token that with the next character is
-    one of the ``known`` (name) longer names is a part of that name. Names have two characters or more.
+    A name opens a word and nothing or a particle follows it; a token that with the next character is one of the
+    ``known`` (name) longer names is a part of that name. Names have two characters or more.
     """
-    words = rows.select(row, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(run), F.lit(0)))).alias("word"))
-    wide = [n for n in lengths if n >= 2]
-    cut = words.select(row, "word", F.explode(F.array(*[F.lit(n) for n in wide]) if wide else F.array().cast("array<int>")).alias("n")).where(F.length("word") >= F.col("n"))
+    cut = words.join(lengths.where("n >= 2"), "seq").where(F.length("word") >= F.col("n"))
     rest = F.expr("substring(word, n + 1)")
     follows = F.lit(False)
     for p in particles:
         follows = follows | rest.startswith(p)
-    cut = cut.where((rest == "") | follows).select(row, "n", F.expr("substring(word, 1, n)").alias("token"), F.expr("case when length(word) > n then substring(word, 1, n + 1) end").alias("longer"))
-    return cut.join(known.select(F.col("name").alias("longer")).distinct(), "longer", "left_anti").select(row, "n", "token").distinct()
+    cut = cut.where((rest == "") | follows).select("seq", "n", F.expr("substring(word, 1, n)").alias("token"), F.expr("case when length(word) > n then substring(word, 1, n + 1) end").alias("longer"))
+    return cut.join(known.select(F.col("name").alias("longer")).distinct(), "longer", "left_anti").select("seq", "n", "token").distinct()
+
+
+def name_tokens(rows: DataFrame, lengths: tuple[int, ...], known: DataFrame, *, run: str, particles: tuple[str, ...], text: str = "translation") -> DataFrame:
+    """``tokens_of`` texts (seq and the text), whose words are what matches ``run``, for the same lengths in every row."""
+    words = rows.select("seq", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(run), F.lit(0)))).alias("word"))
+    wanted = rows.select("seq", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).distinct()
+    return tokens_of(words, wanted, known, particles=particles)
 
 
 def resolve_gold(candidates: DataFrame, key: str = "id") -> DataFrame:

@@ -121,11 +121,9 @@ def order_statistics(df: DataFrame, group: list[str], value: str, places: dict[s
 
 def interpolated(df: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """``group`` with quantiles that are interpolated between neighbours, as ``percentile`` gives them."""
-    ends = {}
-    for name, p in points.items():
-        ends |= {f"{name}_low": (f"floor((n - 1) * {p}D)",) * 2, f"{name}_high": (f"ceil((n - 1) * {p}D)",) * 2, f"{name}_n": ("0", "0")}
+    ends = {f"{name}_{end}": (f"{f}((n - 1) * {p}D)",) * 2 for name, p in points.items() for end, f in (("low", "floor"), ("high", "ceil"))}
     rows = df.where(F.col(value).isNotNull())
-    stats = order_statistics(rows, group, value, {k: v for k, v in ends.items() if not k.endswith("_n")})
+    stats = order_statistics(rows, group, value, ends)
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_size"))
     met = stats.join(F.broadcast(sizes)) if not group else stats.join(sizes, group)  # without groups one row each
     part = lambda p: (F.col("_size") - 1) * F.lit(p) - F.floor((F.col("_size") - 1) * F.lit(p))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.operators import kb, replay
+from inkstone.operators import metrics as M
+from inkstone.operators import mining as mining_ops
+from inkstone.operators import names as N
 from inkstone.operators import relational as R
 from inkstone.queries.bindings import bind, with_tables
 from inkstone.queries.registry import query
@@ -43,12 +45,29 @@ CTES = {
     "near": """select distinct s.seq from slot s join answer a on s.seq = a.seq join answer b on b.seq between s.seq - 2 and s.seq + 2 and b.seq <> s.seq
         where not (contains(a.translation, name) or contains(a.translation, substring(name, 2)))
         group by s.seq, b.seq having bool_and(contains(b.translation, name) or contains(b.translation, substring(name, 2)))""",
+    "made": """select seq, list_reduce(list_concat([any_value(translation)], list(name || '|⟪PER' || cast(i as varchar) || '⟫' order by length(name) desc, i)),
+        lambda acc, x: case when contains(acc, split_part(x, '|', 1)) then replace(acc, split_part(x, '|', 1), split_part(x, '|', 2)) end) as made from slot join answer using (seq) group by seq""",
+    "aligned": """select g.seq, case when grade = 'REJECTED' and g.seq in (select seq from near) then case when n_miss > 0 then 'DEGRADED' else 'VERIFIED' end else grade end as grade, n_miss from graded g""",
     "signal": """select s.seq, regexp_matches(original, '(?i)licen[sc]e|reserved') as formulaic, count(l.seq) as n_entities, count(*) filter (where type = 'PER') as n_per,
         count(*) filter (where type = 'PER' and stage in ('SINGLE', 'TIME', 'OFFICE')) as n_confirmed, count(*) filter (where type = 'PER' and stage = 'MISS') as n_miss,
         count(*) filter (where type = 'PER' and stage = 'AMBIGUOUS') as n_ambiguous from sentence s left join linked l on s.seq = l.seq group by s.seq, original""",
 }
 
 
+#: Templates over two kinds of entities.
+EXTENDED = r""", firsts as materialized (select seq, surface, arg_min(type, ord) as type, min(ord) as o from mention where type in ('PER', 'LOC') group by seq, surface),
+numbered as materialized (select *, row_number() over (partition by seq order by o) as i from firsts),
+filled as (select seq, list_reduce(list_concat([any_value(original)], list(surface || '|⟪' || type || cast(i as varchar) || '⟫' order by length(surface) desc, i)),
+    lambda acc, x: replace(acc, split_part(x, '|', 1), split_part(x, '|', 2))) as template from numbered join sentence using (seq) group by seq)"""
+
+
+def extended(spark, sf):
+    """``seq, template`` over persons and places."""
+    m = mentions(spark, sf).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", "surface", "type"))).alias("entities"))
+    rows = bind(spark, sf, "corpus").select("seq", "original").join(m, "seq")
+    return rows.select("seq", N.extended_slots(F.col("entities"), F.col("original"), ("PER", "LOC")).alias("template")).where("template is not null")
+
+
 def sql(upto: str, body: str, more: str = "") -> str:
     """A statement with the chain of common tables up to one."""
     names = list(CTES)
@@ -63,9 +82,9 @@ def sentences(spark, sf):
 
 def mentions(spark, sf):
     found = F.posexplode(F.regexp_extract_all("original", F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("ord", "surface")
-    m = bind(spark, sf, "corpus").select("seq", found)
+    m = bind(spark, sf, "corpus").select("seq", T.catalogue_year(F.col("id")).alias("year"), found)
     kind = F.when(F.length("surface") % 5 == 0, "LOC").when(F.length("surface") % 5 == 1, "DAT").otherwise("PER")
-    return m.select("seq", (F.col("ord") + 1).cast("bigint").alias("ord"), "surface", kind.alias("type"))
+    return m.select("seq", (F.col("ord") + 1).cast("bigint").alias("ord"), "surface", kind.alias("type"), "year")
 
 
 def _hash(c):
@@ -76,8 +95,13 @@ _LOADED = {}
 
 
 def loaded(spark, sf, name, make):
-    """A knowledge-base table, made once for each application and folder: it is loaded once and does not change."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """A knowledge-base table, made once for each application and state of the source's files; new files are loaded anew."""
+    files = []
+    for f in sorted(bind(spark, sf, "documents").inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files.append((f, state.getModificationTime(), state.getLen()))
+    key = (spark.sparkContext.applicationId, name, tuple(files))
     if key not in _LOADED:
         _LOADED[key] = durable(make())
     return _LOADED[key]
@@ -105,7 +129,8 @@ def _people(spark, sf):
 
 
 def linked(spark, sf):
-    return kb.link(mentions(spark, sf), index(spark, sf), people(spark, sf), sentences(spark, sf))
+    ready = loaded(spark, sf, "candidates", lambda: kb.candidates(index(spark, sf), people(spark, sf)))
+    return kb.link(mentions(spark, sf), index(spark, sf), people(spark, sf), sentences(spark, sf), ready)
 
 
 def slotted(spark, sf):
@@ -181,14 +206,10 @@ def l6(spark, sf):
     return slotted(spark, sf).where("template is not null").select("seq", "template", "template_hash")
 
 
-@query("l8_translation_templating", sql("slot", "select a.seq, count(*) filter (where not contains(upper(original), name)) = 0 as ok from slot a join sentence using (seq) group by a.seq"))
+@query("l8_translation_templating", sql("made", "select m.seq, replace(made, 'ẞ', 'SS') as template from made m where made is not null"))
 def l8(spark, sf):
-    rows = kb.entities_of(linked(spark, sf), people(spark, sf), sentences(spark, sf)).where(F.size("slots") > 0)
-    names = F.forall("slots", lambda s: F.upper("original").contains(s["name"]))
-    done = kb.templated(F.upper("original"), F.col("slots"))
-    # a name inside a longer one may be gone at its turn; where that does not happen the two agree
-    inner = F.exists("slots", lambda a: F.exists("slots", lambda b: (a["name"] != b["name"]) & b["name"].contains(a["name"])))
-    return rows.select("seq", F.when(inner, names).otherwise(done.isNotNull()).alias("ok"))
+    rows = kb.entities_of(linked(spark, sf), people(spark, sf), sentences(spark, sf)).where(F.size("slots") > 0).withColumn("translation", answer())
+    return rows.select("seq", kb.templated(F.col("translation"), F.col("slots")).alias("template")).where("template is not null")
 
 
 @query("l9_misalignment", sql("near", "select s.seq, s.seq in (select seq from near) as misaligned from sentence s"))
@@ -197,10 +218,26 @@ def l9(spark, sf):
     return kb.misaligned(rows)
 
 
-@query("l10_reinjection")
+# A translation's tail in which the first name is followed by particles and by other words.
+_TAIL = " ⟪PER1⟫이라 하고 ⟪PER1⟫을 ⟪PER1⟫이조 ⟪PER1⟫와. ⟪PER1⟫는"
+_CLOSED = "(unicode(right(n, 1)) between 44032 and 55203 and (unicode(right(n, 1)) - 44032) % 28 <> 0)"
+_FIT = "replace({0}, m || '이라', n || case when c then '이라' else '라' end)"
+for _a, _b in T.PARTICLES:
+    _FIT = f"regexp_replace({_FIT}, m || '[{_a}{_b}]([^가-힣]|$)', m || case when c then '{_a}' else '{_b}' end || '\\1', 'g')"
+_NAMED = f"""named2 as materialized (select seq, i, m, n, {_CLOSED} as c from (select seq, i, '⟪PER' || cast(i as varchar) || '⟫' as m, name || case seq % 3 when 0 then '철' when 1 then '수' else '' end as n from slot)),
+filled as (select seq, list_reduce(list_concat([struct_pack(t := template || case when seq % 7 = 0 then ' ⟪PER99⟫' else '{_TAIL}' end, m := '', n := '', c := false)], list(struct_pack(t := '', m := m, n := n, c := c) order by i)),
+    lambda acc, x: struct_pack(t := case when contains(acc.t, x.m) then replace({_FIT.format("acc.t").replace("m ||", "x.m ||").replace("n ||", "x.n ||").replace("when c ", "when x.c ")}, x.m, x.n) end, m := '', n := '', c := false)).t as text
+    from named2 join templ using (seq) group by seq, template)"""
+
+
+@query("l10_reinjection", sql("templ", "select seq, text from filled where text is not null and not contains(text, '⟪')", ", " + _NAMED))
 def l10(spark, sf):
+    """Templates get a tail with particles, or a marker that no name fills; names end in a consonant, a vowel or no Hangul."""
     rows = slotted(spark, sf).where("template is not null")
-    return rows.select("seq", kb.reinjected(F.col("template"), F.col("slots")).isNotNull().alias("ok"))
+    ending = F.when(F.col("seq") % 3 == 0, "철").when(F.col("seq") % 3 == 1, "수").otherwise("")
+    slots = F.transform("slots", lambda s: F.struct(s["at"].alias("at"), s["surface"].alias("surface"), F.concat(s["name"], ending).alias("name")))
+    template = F.concat("template", F.when(F.col("seq") % 7 == 0, " ⟪PER99⟫").otherwise(_TAIL))
+    return rows.select("seq", kb.reinjected(template, slots).alias("text")).where("text is not null")
 
 
 @query("l11_quality_gate", sql("graded", "select seq, grade from graded"))
@@ -227,13 +264,21 @@ def k5(spark, sf):
     return e.agg(F.try_divide(F.count(F.when(F.col("translation").contains(F.col("s.name")), 1)), F.count("*")).alias("recall"))
 
 
-@query("k6_ets", sql("answer", "select count(*) filter (where strict) / count(*) as strict, count(*) filter (where lenient) / count(*) as lenient, (select avg(r) from (select avg(cast(strict2 as int)) r from (select s.seq, contains(translation, name) strict2 from slot s join answer using (seq)) group by seq)) as macro from (select contains(translation, name) strict, contains(translation, name) or (length(name) >= 3 and contains(translation, substring(name, 2))) lenient from slot join answer using (seq))"))
+_ETS = "select count(*) filter (where strict) / count(*) as strict, count(*) filter (where lenient) / count(*) as lenient, (select avg(r) from (select avg(cast(strict2 as int)) r from (select s.seq, contains({0}, name) strict2 from slot s join {1} using (seq)) group by seq)) as macro from (select contains({0}, name) strict, contains({0}, name) or (length(name) >= 3 and contains({0}, substring(name, 2))) lenient from slot join {1} using (seq))"
+
+
+@query("k6_ets", sql("answer", _ETS.format("translation", "answer")))
 def k6(spark, sf):
     rows = kb.entities_of(linked(spark, sf), people(spark, sf), sentences(spark, sf)).withColumn("translation", answer())
-    e = rows.select("seq", "translation", F.explode("slots").alias("s"))
-    strict, lenient = F.col("translation").contains(F.col("s.name")).cast("int"), kb.reflected(F.col("translation"), F.col("s.name")).cast("int")
-    per = e.groupBy("seq").agg(F.sum(strict).alias("h"), F.sum(lenient).alias("l"), F.count("*").alias("t"))
-    return per.agg((F.sum("h") / F.sum("t")).alias("strict"), (F.sum("l") / F.sum("t")).alias("lenient"), F.avg(F.col("h") / F.col("t")).alias("macro"))
+    return M.name_scores(rows, kb.reflected)
+
+
+@query("k17_reference_ceiling", sql("answer", _ETS.format("reference", "ref"), ", ref as (select seq, case when seq % 4 = 0 then replace(upper(original), 'TH', 'TT') else upper(original) end as reference from sentence)"))
+def k17(spark, sf):
+    """The reference itself as the text that is scored: what no translation can exceed."""
+    reference = F.when(F.col("seq") % 4 == 0, F.replace(F.upper("original"), F.lit("TH"), F.lit("TT"))).otherwise(F.upper("original"))
+    rows = kb.entities_of(linked(spark, sf), people(spark, sf), sentences(spark, sf)).withColumn("translation", reference)
+    return M.name_scores(rows, kb.reflected)
 
 
 @query("k15_gate_false_positives", sql("graded", "select avg(cast(grade = 'REJECTED' as int)) as rate from graded where seq in (select seq from slot)"))
@@ -267,60 +312,107 @@ def h41(spark, sf):
     return s.select("tier", (F.col("n") / 500.0).alias("days"), (F.col("n") / 500.0 > 1).alias("over"))
 
 
-_REPLAY = r""", rows as materialized (select g.seq, sha256(regexp_replace(s.original, '[ \t\n\x0B\f\r]+', '', 'g')) as k, t.template, g.grade, g.seq % 3 <> 0 as templatable
-    from graded g join sentence s using (seq) left join templ t on t.seq = g.seq)"""
+_REPLAY = r""", rows as materialized (select g.seq, sha256(regexp_replace(s.original, '[ \t\n\x0B\f\r]+', '', 'g')) as k, sha256(regexp_replace(t.template, '[ \t\n\x0B\f\r]+', '', 'g')) as t, g.grade, m.made is not null as templatable, m.made
+    from aligned g join sentence s using (seq) left join templ t on t.seq = g.seq left join made m on m.seq = g.seq)"""
 _REPLAY_SQL = {
     "e8": "select seq, case when coalesce(bool_or(grade <> 'REJECTED') over (partition by k order by seq rows between unbounded preceding and 1 preceding), false) then 'L1' else 'LLM' end as outcome from rows",
 }
 
 
 def replay_rows(spark, sf):
-    g = graded(spark, sf)
-    t = kb.slot(g)
-    return t.select("seq", T.normalized_hash(F.col("original")).alias("l1_key"), "template", "template_hash", "grade", (F.col("seq") % 3 != 0).alias("templatable"))
+    """Rows for the replay: grades are corrected for misaligned pairs, templates are those of the linked sentences."""
+    g = durable(graded(spark, sf))  # read by the correction and by the slots
+    t = kb.slot(g).join(kb.misaligned(g), "seq")
+    grade = kb.corrected(F.col("grade"), F.col("misaligned"), F.col("n_miss")).alias("grade")
+    made = kb.templated(F.col("translation"), F.col("slots")).alias("made")
+    return t.select("seq", "original", "slots", "misaligned", F.col("grade").alias("raw_grade"), T.normalized_hash(F.col("original")).alias("l1_key"), "template", "template_hash", grade, made, "n_miss").withColumn("templatable", F.col("made").isNotNull())
 
 
-@query("e8_l1_replay", sql("graded", _REPLAY_SQL["e8"], _REPLAY))
+@query("e8_l1_replay", sql("aligned", _REPLAY_SQL["e8"], _REPLAY))
 def e8(spark, sf):
     return replay.l1_only(replay_rows(spark, sf))
 
 
-def functional_rows(spark, sf):
-    """Rows in which each key has one template, and templates have many keys: the first character of the key's first."""
-    r = replay_rows(spark, sf)
-    r = durable(r)  # the replay reads it several times
-    first = r.groupBy("l1_key").agg(F.substring(F.min_by("template", "seq"), 1, 1).alias("t"))
-    return r.join(first, "l1_key").drop("template_hash").withColumnRenamed("t", "template_hash")
+# the sequential cache itself: one step a row, with what it holds as lists
+_COUPLED = """, nth as materialized (select *, row_number() over (order by seq) as k2 from rows),
+o as (with recursive s as (select 0::bigint as k2, []::varchar[] as l1, []::varchar[] as tl, []::bigint[] as pl, null::bigint as seq, null::varchar as outcome, null::bigint as v
+    union all select k2, case when outcome = 'LLM' and grade <> 'REJECTED' then list_append(l1, k) else l1 end, case when store then list_append(tl, t) else tl end, case when store then list_append(pl, seq) else pl end, seq, outcome, v
+    from (select *, outcome = 'LLM' and grade = 'VERIFIED' and templatable and t is not null as store from
+        (select r.k2, r.k, r.t, r.grade, r.templatable, r.seq, s.l1, s.tl, s.pl, case when list_contains(s.l1, r.k) then 'L1' when list_contains(s.tl, r.t) then 'L2' else 'LLM' end as outcome,
+            case when not list_contains(s.l1, r.k) and list_contains(s.tl, r.t) then s.pl[list_position(s.tl, r.t)] end as v from s join nth r on r.k2 = s.k2 + 1)))
+    select seq, outcome, v from s where k2 > 0)"""
 
 
-_COUPLED = """, f as materialized (select r.seq, r.k, r.grade, r.templatable, substring(first_value(r.template) over (partition by r.k order by r.seq), 1, 1) as t from rows r),
-p as materialized (select *, coalesce(bool_or(grade <> 'REJECTED') over (partition by k order by seq rows between unbounded preceding and 1 preceding), false) as p1 from f),
-v as materialized (select t, min(seq) as v from p where grade = 'VERIFIED' and templatable and t is not null and not p1 group by t),
-o as materialized (select p.seq, v.v, case when v.v is null or p.seq <= v.v then case when p1 then 'L1' else 'LLM' end
-    when exists (select 1 from f where f.k = p.k and f.seq <= v.v and f.grade <> 'REJECTED') then 'L1' else 'L2' end as outcome from p left join v using (t))"""
+def replayed(spark, sf):
+    rows = durable(replay_rows(spark, sf))  # the replay reads it several times
+    return rows, replay.coupled(rows)
 
 
-@query("e9_coupled_replay", sql("graded", "select seq, outcome, case when outcome = 'L2' then v end as producer from o", _REPLAY + _COUPLED))
+@query("e9_coupled_replay", sql("aligned", "select seq, outcome, v as producer from o", _REPLAY + _COUPLED))
 def e9(spark, sf):
-    return replay.coupled(functional_rows(spark, sf))
+    return replayed(spark, sf)[1]
 
 
-@query("d36_replay_tally", sql("graded", "select outcome, count(*) as n from o group by outcome", _REPLAY + _COUPLED))
+@query("d36_replay_tally", sql("aligned", "select outcome, count(*) as n from o group by outcome", _REPLAY + _COUPLED))
 def d36(spark, sf):
-    return replay.coupled(functional_rows(spark, sf)).groupBy("outcome").agg(F.count("*").alias("n"))
+    return replayed(spark, sf)[1].groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_KRW = "* (820 * 0.30::double + 266 * 2.50::double) / 1e6 * 1400"
+
 
+def _krw(calls):
+    return calls * (820 * F.lit(0.30) + 266 * F.lit(2.50)) / 1e6 * 1400
 
-@query("h34_replay_cost", sql("graded", "select count(*) filter (where outcome = 'LLM') * (820 * 0.30::double + 266 * 2.50::double) / 1e6 * 1400 as krw from o", _REPLAY + _COUPLED))
+
+@query("h34_replay_cost", sql("aligned", f"select count(*) filter (where outcome = 'LLM') {_KRW} as krw from o", _REPLAY + _COUPLED))
 def h34(spark, sf):
-    calls = replay.coupled(functional_rows(spark, sf)).agg(F.count(F.when(F.col("outcome") == "LLM", 1)).alias("calls"))
-    return calls.select((F.col("calls") * (820 * F.lit(0.30) + 266 * F.lit(2.50)) / 1e6 * 1400).alias("krw"))
+    calls = replayed(spark, sf)[1].agg(F.count(F.when(F.col("outcome") == "LLM", 1)).alias("calls"))
+    return calls.select(_krw(F.col("calls")).alias("krw"))
 
 
-@query("a20_cache_pair_dump", sql("graded", "select o.seq, v as producer, sha256(a.original) as hit_text, sha256(b.original) as producer_text from o join sentence a on a.seq = o.seq join sentence b on b.seq = v where outcome = 'L2'", _REPLAY + _COUPLED))
+@query("a20_cache_pair_dump", sql("aligned", "select o.seq, v as producer, sha256(a.original) as hit_text, sha256(b.original) as producer_text from o join sentence a on a.seq = o.seq join sentence b on b.seq = v where outcome = 'L2' and o.seq not in (select seq from near) and v not in (select seq from near)", _REPLAY + _COUPLED))
 def a20(spark, sf):
-    hits = replay.coupled(functional_rows(spark, sf)).where("outcome = 'L2'")
-    texts = sentences(spark, sf).select(F.col("seq").alias("s"), F.sha2("original", 256).alias("h"))
-    return hits.join(texts, F.col("seq") == F.col("s")).select("seq", "producer", F.col("h").alias("hit_text")).join(texts.withColumnRenamed("h", "producer_text"), F.col("producer") == F.col("s")).drop("s")
+    """Pairs of which neither sentence is misaligned."""
+    rows, out = replayed(spark, sf)
+    good = rows.where("not misaligned").select(F.col("seq").alias("s"), F.sha2("original", 256).alias("h"))
+    hits = out.where("outcome = 'L2'").join(good, F.col("seq") == F.col("s")).select("seq", "producer", F.col("h").alias("hit_text"))
+    return hits.join(good.withColumnRenamed("h", "producer_text"), F.col("producer") == F.col("s")).drop("s")
+
+
+# one stored entry in five is damaged, one in three has a marker too many; one sentence in six is not to be looked up
+_LOOKUP = """, store as materialized (select p.seq as v, r.t, case when p.seq % 5 = 0 then null when p.seq % 3 = 0 then r.made || '⟪PER98⟫' else r.made end as body
+    from (select t, min(seq) as seq from (select o.seq, r.t from o join rows r using (seq) where outcome = 'LLM' and grade = 'VERIFIED' and templatable and t is not null) group by t) p join rows r on r.seq = p.seq),
+served as (select r.seq, r.t, st.v, st.body, list_reduce(list_concat([any_value(st.body)], list('⟪PER' || cast(i as varchar) || '⟫|' || name order by i)), lambda acc, x: case when contains(acc, split_part(x, '|', 1)) then replace(acc, split_part(x, '|', 1), split_part(x, '|', 2)) end) as text
+    from rows r join slot using (seq) left join store st on st.t = r.t and st.v < r.seq group by r.seq, r.t, st.v, st.body),
+looked as (select r.seq, r.t as template_hash, case when r.t is null then 'not_eligible' when r.seq % 6 = 0 then 'disabled' when s.v is null then 'miss' when s.body is null then 'abort_deserialize' when s.text is null or contains(s.text, '⟪') then 'abort_structure'
+    when exists (select 1 from slot x where x.seq = r.seq and not (contains(s.text, x.name) or (length(x.name) >= 3 and contains(s.text, substring(x.name, 2))))) then 'abort_gate' else 'hit' end as state from rows r left join served s using (seq))"""
+
+
+def looked_up(spark, sf):
+    rows, out = replayed(spark, sf)
+    calls = out.where("outcome = 'LLM'").select(F.col("seq").alias("called"))
+    stored = rows.join(calls, F.col("seq") == F.col("called")).where("grade = 'VERIFIED' and templatable and template_hash is not null")
+    first = stored.groupBy("template_hash").agg(F.min_by(F.struct("seq", "made"), "seq").alias("p"))
+    body = F.to_json(F.struct(F.concat("p.made", F.when((F.col("p.seq") % 3 == 0) & (F.col("p.seq") % 5 != 0), "⟪PER98⟫").otherwise("")).alias("template")))
+    store = first.select(F.col("template_hash").alias("t"), F.col("p.seq").alias("v"), F.when(F.col("p.seq") % 5 == 0, F.expr("substring({0}, 1, 9)".format("to_json(struct(p.made as template))"))).otherwise(body).alias("body"))
+    met = rows.join(store, (F.col("template_hash") == F.col("t")) & (F.col("v") < F.col("seq")), "left")
+    met = met.withColumn("cached", F.from_json("body", "template string")["template"])
+    met = met.withColumn("served", kb.reinjected(F.col("cached"), F.col("slots")))
+    met = met.withColumn("verdict", kb.grade(F.col("served"), F.col("slots"), F.col("n_miss")))
+    state = replay.lookup_state(F.col("slots"), F.col("seq") % 6 != 0, F.col("body"), F.col("cached"), F.col("served"), F.col("verdict"))
+    return met.select("seq", "template_hash", state.alias("state"))
+
+
+@query("l19_lookup_states", sql("aligned", "select * from looked", _REPLAY + _COUPLED + _LOOKUP))
+def l19(spark, sf):
+    """Every sentence's template lookup; a lookup that is switched off still gives the hash."""
+    return looked_up(spark, sf)
+
+
+@query("l19b_lookup_rates", sql("aligned", "select count(*) filter (where looked_up) as lookups, count(*) filter (where state = 'hit') as hits, count(*) filter (where looked_up and state <> 'hit') as misses, count(*) filter (where state = 'hit') / nullif(count(*) filter (where looked_up), 0) as hit_rate from (select *, state not in ('not_eligible', 'disabled') as looked_up from looked)", _REPLAY + _COUPLED + _LOOKUP))
+def l19b(spark, sf):
+    return replay.lookup_rates(looked_up(spark, sf))
 
 
 @query("l18_cache_policy", sql("graded", "select seq, grade <> 'REJECTED' and trim(translation) <> '' and seq % 6 <> 0 as store_l1, grade = 'VERIFIED' and seq in (select seq from slot) and seq % 6 <> 0 as store_l2 from graded join answer using (seq)"))
@@ -330,10 +422,55 @@ def l18(spark, sf):
     return g.select("seq", ((F.col("grade") != "REJECTED") & (F.trim("translation") != "") & real).alias("store_l1"), ((F.col("grade") == "VERIFIED") & (F.size("slots") > 0) & real).alias("store_l2"))
 
 
-@query("l20_cache_report", sql("graded", "select count(*) as sentences, count(template) as eligible, count(*) - count(distinct k) as l1_repeats, count(template) - count(distinct template) as l2_repeats from rows", _REPLAY))
+_SIZES = [100, 200, 500, 1000, 2000, 5000, 10000, 20000, 40000]
+_PREFIX = " union all ".join(
+    f"select 'l1_repeats_{n}', case when count(*) = {n} then count(*) - count(distinct k) end from nth where k2 <= {n} union all select 'l2_repeats_{n}', case when count(*) = {n} then count(t) - count(distinct t) end from nth where k2 <= {n}" for n in _SIZES
+)
+_REPORT = f""", ext as (select seq, sha256(regexp_replace(template, '[ \t\n\x0B\f\r]+', '', 'g')) as x from filled),
+l1only as (select seq, coalesce(bool_or(grade <> 'REJECTED') over (partition by k order by seq rows between unbounded preceding and 1 preceding), false) as hit from rows),
+report(metric, value) as (select 'sentences', count(*)::double from rows union all select 'eligible', count(t) from rows union all select 'templatable', count(*) filter (where t is not null and templatable) from rows
+    union all select 'stage_' || stage, count(*) from linked where type = 'PER' group by stage
+    union all select 'grade_' || grade, count(*) from graded group by grade union all select 'corrected_' || grade, count(*) from rows group by grade
+    union all select 'l1_repeats', count(*) - count(distinct k) from rows union all select 'l2_repeats', count(t) - count(distinct t) from rows
+    union all select 'extended_repeats', count(*) - count(distinct x) from ext union all select 'misaligned', count(*) from near
+    union all select 'off_calls', count(*) from rows union all select 'l1_calls', count(*) filter (where not hit) from l1only union all select 'l1_hits', count(*) filter (where hit) from l1only
+    union all select 'l2_calls', count(*) filter (where outcome = 'LLM') from o union all select 'l2_hits_1', count(*) filter (where outcome = 'L1') from o union all select 'l2_hits_2', count(*) filter (where outcome = 'L2') from o
+    union all select 'off_krw', count(*) {_KRW} from rows union all select 'l1_krw', count(*) filter (where not hit) {_KRW} from l1only union all select 'l2_krw', count(*) filter (where outcome = 'LLM') {_KRW} from o
+    union all {_PREFIX})"""
+
+
+@query("l20_cache_report", sql("aligned", "select * from report where value is not null", _REPLAY + _COUPLED + EXTENDED + _REPORT))
 def l20(spark, sf):
-    r = replay_rows(spark, sf)
-    return r.agg(F.count("*").alias("sentences"), F.count("template_hash").alias("eligible"), (F.count("l1_key") - F.countDistinct("l1_key")).alias("l1_repeats"), (F.count("template_hash") - F.countDistinct("template_hash")).alias("l2_repeats"))
+    """The whole simulation as ``metric, value``: links, eligibility, grades, repeats and their growth, three replays, cost."""
+    links = durable(linked(spark, sf))
+    rows, out = replayed(spark, sf)
+    rows = durable(R.numbered(rows.drop("original", "slots"), "seq", "place"))
+    hit = lambda c: F.count(F.when(c, 1)).cast("double")
+    one = lambda df, **values: df.agg(*[v.alias(n) for n, v in values.items()]).select(F.explode(F.create_map(*[x for n in values for x in (F.lit(n), F.col(n).cast("double"))])).alias("metric", "value"))
+    repeats = lambda c: F.count(c) - F.count_distinct(c)
+    counted = lambda df, column, prefix: df.groupBy(F.concat(F.lit(prefix), column).alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    eligible = F.col("template_hash").isNotNull()
+    parts = [
+        one(rows, sentences=F.count("*"), eligible=hit(eligible), templatable=hit(eligible & F.col("templatable")), l1_repeats=repeats("l1_key"), l2_repeats=repeats("template_hash"), misaligned=hit(F.col("misaligned")), off_calls=F.count("*"), off_krw=_krw(F.count("*"))),
+        counted(links.where("type = 'PER'"), "stage", "stage_"),
+        counted(rows, "raw_grade", "grade_"),
+        counted(rows, "grade", "corrected_"),
+        one(durable(extended(spark, sf)).select(T.normalized_hash(F.col("template")).alias("x")), extended_repeats=repeats("x")),
+    ]
+    llm = F.col("outcome") == "LLM"
+    parts += [
+        one(replay.l1_only(rows), l1_calls=hit(llm), l1_hits=hit(F.col("outcome") == "L1"), l1_krw=_krw(hit(llm))),
+        one(out, l2_calls=hit(llm), l2_hits_1=hit(F.col("outcome") == "L1"), l2_hits_2=hit(F.col("outcome") == "L2"), l2_krw=_krw(hit(llm))),
+    ]
+    n = rows.count()
+    for name, key in (("l1", "l1_key"), ("l2", "template_hash")):
+        flags = R.repeat_flags(rows, key, "place").withColumn("nth", F.col("place") + 1)
+        by_size = R.repeat_rate_by_prefix(flags, "nth", [s for s in _SIZES if s <= n] or [0])
+        parts.append(by_size.select(F.concat(F.lit(f"{name}_repeats_"), F.col("size").cast("string")).alias("metric"), F.col("repeats").cast("double").alias("value")))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionAll(p)
+    return whole
 
 
 @query("b14_year_overlap", sql("cand", "select seq, ord, bool_or(coalesce(active_from, 0) <= 1640 and coalesce(active_from, 9969) + 30 >= 1630) as overlaps from cand join kb_person using (kb_id) group by seq, ord"))
@@ -349,30 +486,123 @@ def h27(spark, sf):
     return o.where(F.length("paren") >= 2).distinct()
 
 
-@query("l27_kb_coverage", sql("cand", "select case when kb_id is null then 'absent' when timed then 'active' else 'other_era' end as state, count(*) as n from (select seq, ord, any_value(kb_id) kb_id, bool_or(timed) timed from cand where type = 'PER' group by seq, ord) group by 1"))
-def l27(spark, sf):
-    m = mentions(spark, sf).where("type = 'PER'").join(index(spark, sf), "surface", "left").join(people(spark, sf).select("kb_id", "active_from"), "kb_id", "left").join(sentences(spark, sf).select("seq", "year"), "seq")
-    per = m.groupBy("seq", "ord").agg(F.max("kb_id").alias("kb_id"), F.bool_or(F.coalesce("active_from", F.lit(0)) <= F.col("year")).alias("timed"))
-    return per.groupBy(F.when(F.col("kb_id").isNull(), "absent").when(F.col("timed"), "active").otherwise("other_era").alias("state")).agg(F.count("*").alias("n"))
-
-
-@query("l22_kb_mining_vote", with_tables("pairs", "with m as (select seq, unnest(list_distinct(regexp_extract_all(original, '[A-Z][a-z]{4,}'))) key from pairs), t as (select seq, unnest(list_distinct(regexp_extract_all(translation, '[A-Z][a-z]{4,}'))) tok from pairs) select key, tok, count(*) as votes from m join t on m.seq = t.seq and substring(key, 1, 2) = substring(tok, 1, 2) group by key, tok"))
+# Names are read letter by letter; a surname T is read D. In one sentence of four the translation reads u otherwise.
+_LETTERS, _READ = "aeiou", "eioua"
+_MINE = f""", ment as materialized (select m.seq, m.ord, m.surface as key, l.stage, case when l.stage in ('SINGLE', 'TIME', 'OFFICE') then translate(m.surface, '{_LETTERS}', '{_READ}') end as injected,
+    translate(m.surface, '{_LETTERS}', '{_READ}') as base, case when m.surface[1] = 'T' then 'D' || translate(m.surface[2:], '{_LETTERS}', '{_READ}') end as own from mention m join linked l on m.seq = l.seq and m.ord = l.ord where m.type = 'PER' and length(m.surface) >= 2),
+tr as materialized (select seq, case when seq % 4 = 0 then translate(original, 'aeiou', 'eioae') else translate(original, '{_LETTERS}', '{_READ}') end as translation from sentence),
+word as materialized (select distinct seq, unnest(regexp_extract_all(translation, '[A-Z][a-z]+')) as word from tr),
+known as (select distinct word as name from word where length(word) = 9),
+tok as materialized (select distinct seq, n, substring(word, 1, n) as token from word join (select distinct seq, length(key) as n from ment) using (seq)
+    where length(word) >= n and (length(word) = n or regexp_matches(substring(word, n + 1), '^(s|ed|ing)')) and not (length(word) > n and substring(word, 1, n + 1) in (select name from known))),
+ex as materialized (select m.*, case when base <> key and exists (select 1 from tok t where t.seq = m.seq and t.token = base) then base when base <> key and own is not null and exists (select 1 from tok t where t.seq = m.seq and t.token = own) then own end as exact from ment m),
+al as (select e.seq, e.ord, count(*) as c, min(t.token) as token from ex e join tok t on t.seq = e.seq and t.n = length(e.key) where e.exact is null and substring(t.token, 1, 1) = case when e.key[1] = 'T' then 'D' when e.base <> e.key then e.base[1] end
+    and (e.base = e.key or len([p for p in range(2, length(e.key) + 1) if t.token[p] = e.base[p]]) > 0)
+    and not exists (select 1 from ex x where x.seq = e.seq and (x.exact = t.token or (x.injected = t.token and x.injected is distinct from e.injected))) group by e.seq, e.ord),
+voted as materialized (select e.seq, e.ord, e.key, case when stage = 'MISS' then 'miss' else 'pseudo' end as bucket, injected, coalesce(e.exact, case when c = 1 then a.token end) as reading, e.exact is not null as exact
+    from ex e left join al a on a.seq = e.seq and a.ord = e.ord where stage in ('MISS', 'SINGLE'))"""
+
+
+def mining(spark, sf):
+    """What mining reads: mentions with their links, readings, tokens of the translations, surnames, words."""
+    read = lambda c: F.translate(c, _LETTERS, _READ)
+    links = linked(spark, sf).where("type = 'PER'")
+    one = F.col("stage").isin("SINGLE", "TIME", "OFFICE")
+    m = durable(links.select("seq", "ord", F.col("surface").alias("key"), "stage", F.when(one, read("surface")).alias("injected")))
+    table = spark.createDataFrame(list(zip(_LETTERS, _READ)), "char string, reading string")
+    surnames = spark.createDataFrame([("T", "D")], "char string, fixed string")
+    readings = N.readings(m.select(F.col("key").alias("name")), table, surnames)
+    translation = F.when(F.col("seq") % 4 == 0, F.translate("original", "aeiou", "eioae")).otherwise(read("original"))
+    rows = sentences(spark, sf).select("seq", translation.alias("translation"))
+    words = durable(rows.select("seq", F.explode(F.array_distinct(F.regexp_extract_all("translation", F.lit("[A-Z][a-z]+"), F.lit(0)))).alias("word")))
+    known = words.where("length(word) = 9").select(F.col("word").alias("name"))
+    wanted = m.where("length(key) >= 2").select("seq", F.length("key").alias("n")).distinct()
+    tokens = N.tokens_of(words, wanted, known, particles=("s", "ed", "ing"))
+    return m, readings, tokens, surnames, words
+
+
+def voted(spark, sf):
+    m, readings, tokens, surnames, words = mining(spark, sf)
+    return durable(mining_ops.votes(m, readings, tokens, surnames)), words
+
+
+@query("l22_kb_mining_vote", sql("linked", "select * from voted", _MINE))
 def l22(spark, sf):
-    p = bind(spark, sf, "pairs")
-    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Z][a-z]{4,}"), F.lit(0)))
-    m = p.select(F.explode(names("original")).alias("key"), names("translation").alias("toks"))
-    hits = m.select("key", F.explode(F.filter("toks", lambda t: F.substring(t, 1, 2) == F.substring(F.col("key"), 1, 2))).alias("tok"))
-    return hits.groupBy("key", "tok").agg(F.count("*").alias("votes"))
+    return voted(spark, sf)[0]
 
 
-_TIERED = "with c as (select o_custkey % 300 as key, o_orderpriority as value, count(*) n, min(o_orderkey) f from orders group by 1, 2), r as (select *, row_number() over (partition by key order by n desc, f) k, sum(n) over (partition by key) t from c) select key, case when value = '5-LOW' then 'Low' when n >= 2 and n / t >= 0.3 then 'High' when n / t >= 0.25 then 'Medium' else 'Low' end as tier from r where k = 1"
+_SUMMED = """, br as (select bucket, key, reading, count(*) as n, count(*) filter (where exact) as e, min(seq * 100000 + ord) as f from voted{0} where reading is not null group by all),
+tops as (select bucket, key, arg_min(reading, (-n, f)) as reading, arg_min(n, (-n, f)) as n, arg_min(e, (-n, f)) as e, sum(n)::bigint as votes, sum(e)::bigint as exact from br group by bucket, key),
+dfs as (select reading, (select count(distinct seq) from word where starts_with(word, reading)) as df from (select distinct reading from tops)),
+gl as (select bucket, key, arg_min(injected, (-n, f)) as gold from (select bucket, key, injected, count(*) n, min(seq * 100000 + ord) f from voted{0} where injected is not null group by all) group by bucket, key),
+mined as (select r.bucket, r.key, case when t.votes is null or common then 'Low' when t.votes >= 2 and t.n / t.votes >= 0.8 and (t.e >= 1 or t.votes >= 3) then 'High' when t.n / t.votes >= 0.6 then 'Medium' else 'Low' end as tier,
+    t.reading, coalesce(round(t.n / t.votes, 3), 0) as agree, coalesce(t.votes, 0) as votes, coalesce(t.exact, 0) as exact, r.n_rows, common, gold
+    from (select *, coalesce(t_e = 0 and df > greatest(5 * n_rows, 20), false) as common from (select b.*, t.e as t_e, d.df from (select bucket, key, count(*) as n_rows from voted{0} group by bucket, key) b left join tops t using (bucket, key) left join dfs d using (reading))) r
+    left join tops t using (bucket, key) left join gl using (bucket, key))"""
 
 
-@query("l23_kb_tiering", _TIERED)
+@query("l23_kb_tiering", sql("linked", "select * from mined", _MINE + _SUMMED.format("")))
 def l23(spark, sf):
-    v = R.vote(bind(spark, sf, "orders").withColumn("key", F.col("o_custkey") % 300), "key", "o_orderpriority", "o_orderkey")
-    tier = F.when(F.col("top") == "5-LOW", "Low").when((F.col("votes") >= 2) & (F.col("agreement") >= 0.3), "High").when(F.col("agreement") >= 0.25, "Medium").otherwise("Low")
-    return v.select("key", tier.alias("tier"))
+    return mining_ops.summarised(*voted(spark, sf))
+
+
+_GOLD_ROWS = "select key, base as gold, case when seq % 3 = 0 then 'ref_token' else 'ref_reading' end as status from ment where stage = 'MISS' and seq % 5 = 0"
+
+
+@query(
+    "l24_mining_evaluation",
+    sql(
+        "linked",
+        f"""select 'A' as part, tier as name, count(*) as n, count(*) filter (where reading = gold) as "right", round(count(*) filter (where reading = gold) / count(*), 4) as share from mined where bucket = 'pseudo' and reading is not null group by tier
+        union all select 'B tier', tier, count(*), count(*) filter (where hit), case when tier <> 'absent' then round(count(*) filter (where hit) / count(*), 4) end from g group by tier
+        union all select 'B status', status, count(*), count(*) filter (where hit and tier = 'High'), round(count(*) filter (where tier = 'High') / count(*), 4) from g group by status
+        union all select 'C', 'High', coalesce(sum(n_rows), 0)::bigint, coalesce(sum(n_rows) filter (where tier = 'High'), 0)::bigint, round(coalesce(sum(n_rows) filter (where tier = 'High'), 0) / sum(n_rows), 4) from mined where bucket = 'miss'
+        union all select 'D', 'High', count(*), count(*) filter (where tier = 'High'), round(count(*) filter (where tier = 'High') / nullif(count(*), 0), 4) from d
+        union all select 'D', 'Medium', count(*), count(*) filter (where tier = 'Medium'), round(count(*) filter (where tier = 'Medium') / nullif(count(*), 0), 4) from d
+        union all select 'D', 'High borne out', count(*) filter (where tier = 'High' and v is not null), count(*) filter (where tier = 'High' and v = reading), round(count(*) filter (where tier = 'High' and v = reading) / nullif(count(*) filter (where tier = 'High' and v is not null), 0), 4) from d""",
+        _MINE + ", train as (select * from voted where seq % 3 <> 2)" + _SUMMED.format(" where seq % 3 <> 2 and true").replace("where seq % 3 <> 2 and true where", "where seq % 3 <> 2 and")
+        + f", g as (select o.*, coalesce(m.tier, 'absent') as tier, coalesce(m.reading = o.gold, false) as hit from ({_GOLD_ROWS}) o left join mined m on m.bucket = 'miss' and m.key = o.key), d as (select v.key, v.reading as v, m.tier, m.reading from voted v left join mined m on m.bucket = 'miss' and m.key = v.key where v.bucket = 'miss' and v.seq % 3 = 2)",
+    ),
+)
+def l24(spark, sf):
+    """Mined from two thirds of the rows: keys that the base knows, gold names, mentions covered, and the rows left."""
+    votes, words = voted(spark, sf)
+    mined = durable(mining_ops.summarised(votes.where("seq % 3 <> 2"), words))
+    m = linked(spark, sf).where("type = 'PER' and stage = 'MISS' and seq % 5 = 0")
+    gold = m.select(F.col("surface").alias("key"), F.translate("surface", _LETTERS, _READ).alias("gold"), F.when(F.col("seq") % 3 == 0, "ref_token").otherwise("ref_reading").alias("status"))
+    parts = mining_ops.pseudo_precision(mined).unionAll(mining_ops.gold_coverage(mined, gold)).unionAll(mining_ops.mention_coverage(mined))
+    return parts.unionAll(mining_ops.temporal(mined, votes.where("seq % 3 = 2")))
+
+
+@query(
+    "l27_kb_coverage",
+    sql(
+        "linked",
+        """select 'all' as part, 'names' as name, count(*) as n, 1.0::double as share from c union all select 'all', 'out_kb', count(*) filter (where not in_kb), round(count(*) filter (where not in_kb) / nullif(count(*), 0), 4) from c
+        union all select 'state', state, count(*), null from u group by state
+        union all select 'ceiling', 'in_master', count(*) filter (where state <> 'not_in_master'), round(count(*) filter (where state <> 'not_in_master') / nullif(count(*), 0), 4) from u
+        union all select 'length', cast(length(key) as varchar), count(*), null from u where state = 'not_in_master' group by 2
+        union all select 'example ' || state, key, ord, null from (select *, row_number() over (partition by state order by ord) k from u) where k <= 12""",
+        """, c as materialized (select seq * 100000 + ord as ord, surface as key, stage in ('SINGLE', 'TIME', 'OFFICE') as in_kb from linked where type = 'PER'),
+        p as (select hanja, bool_or(coalesce(active_from, 0) <= 1649 and coalesce(active_from, 9969) + 30 >= 1645) as active from kb_person group by hanja),
+        u as materialized (select c.*, case when p.hanja is null then 'not_in_master' when active then 'in_master_active' else 'in_master_other_era' end as state from c left join p on p.hanja = c.key where not in_kb)""",
+    ),
+)
+def l27(spark, sf):
+    """Against a master whose persons are active for thirty years."""
+    m = linked(spark, sf).where("type = 'PER'").select((F.col("seq") * 100000 + F.col("ord")).alias("ord"), F.col("surface").alias("key"), F.col("stage").isin("SINGLE", "TIME", "OFFICE").alias("in_kb"))
+    master = people(spark, sf).select("hanja", "active_from", (F.coalesce("active_from", F.lit(9969)) + 30).alias("active_to"))
+    return mining_ops.coverage(durable(m), master, 1645, 1649)
+
+
+@query("h22_fake_render", sql("linked", "select seq, coalesce(rendered, original) as rendered from sentence left join lines using (seq)", ", lines as (select seq, list_reduce(list_concat([any_value(original)], case when seq % 2 = 0 then list(surface || '|' || name order by ord)[2:] else list(surface || '|' || name order by ord) end), lambda acc, x: replace(acc, split_part(x, '|', 1), split_part(x, '|', 2))) as rendered from (select l.seq, ord, l.surface, hangul as name from linked l join kb_person on kb_id = ids[1] where type = 'PER') join sentence using (seq) group by seq)"))
+def h22(spark, sf):
+    """Linked entities in order, undecided ones by their first candidate; every second sentence drops its first."""
+    named = people(spark, sf).select(F.col("kb_id").alias("id"), F.col("hangul").alias("name"))
+    e = linked(spark, sf).where("type = 'PER'").withColumn("id", F.get("candidate_ids", F.lit(0))).join(named, "id")
+    of_row = e.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", "surface", "name"))).alias("e"))
+    rows = sentences(spark, sf).join(of_row, "seq", "left")
+    return rows.select("seq", F.when(F.col("e").isNull(), F.col("original")).otherwise(N.rendered(F.col("original"), F.col("e"), F.col("seq") % 2 == 0)).alias("rendered"))
 
 
 @query("a19_kb_promotion", sql("kb_index", "select surface, format('AUG_x_{:05d}', row_number() over (order by surface)) as kb_id from (select distinct surface from mention where surface not in (select surface from kb_index) and length(surface) > 10)"))

@@ -170,13 +170,6 @@ def l17(spark, sf):
     return first.unionAll(second).groupBy("id").agg(F.max_by("attempt", "n").alias("attempt"))
 
 
-@query("l19_lookup_states", "select status, count(*) as n from (select case when seq % 5 = 0 then 'not_eligible' when seq % 7 = 0 then 'disabled' when seq % 3 = 0 then 'hit' else 'miss' end as status from job) group by status", "job")
-def l19(spark, sf):
-    s = F.col("seq")
-    state = F.when(s % 5 == 0, "not_eligible").when(s % 7 == 0, "disabled").when(s % 3 == 0, "hit").otherwise("miss")
-    return bind(spark, sf, "job").groupBy(state.alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("l30_expression_index", "select source, count(*) filter (where regexp_matches(original, '(?i)licen[sc]e')) as rows_with, cast(sum(len(regexp_extract_all(original, '(?i)licen[sc]e'))) as bigint) as occurrences from corpus group by source", "corpus")
 def l30(spark, sf):
     t = F.col("original")

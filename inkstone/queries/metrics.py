@@ -162,12 +162,6 @@ def k16(spark, sf):
     return bind(spark, sf, "score").groupBy("variant", "round").agg((F.count(F.when(F.col("hit").isNull(), 1)) / F.count("*") <= 0.05).alias("complete"), (F.max("variant") == F.min("variant")).alias("single"))
 
 
-@query("k17_reference_ceiling", f"select sum(len(list_intersect(b, b))) / nullif(sum(len(b)), 0) as ceiling from ({_NAMES})", "pairs")
-def k17(spark, sf):
-    b = F.array_distinct(F.regexp_extract_all("translation", F.lit("[A-Z][a-z]{4,}"), F.lit(0)))
-    return bind(spark, sf, "pairs").agg(F.try_divide(F.sum(F.size(F.array_intersect(b, b))), F.sum(F.size(b))).alias("ceiling"))
-
-
 def distances(queries, vectors, block: int = 512):
     """Euclidean distances ``a, b, distance`` of a stated query set to all other vectors.
 

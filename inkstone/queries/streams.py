@@ -149,21 +149,9 @@ def l5(spark, sf):
     return N.rule_ner(bind(spark, sf, "corpus").select("seq", "original"), "original", _RULES).select("seq", F.explode("spans").alias("s")).select("seq", "s.*")
 
 
-def _entities(spark, sf):
-    m = K.mentions(spark, sf).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", "surface", "type"))).alias("entities"))
-    return bind(spark, sf, "corpus").select("seq", "original").join(m, "seq")
-
-
-_EXT = r""", firsts as materialized (select seq, surface, arg_min(type, ord) as type, min(ord) as o from mention where type in ('PER', 'LOC') group by seq, surface),
-numbered as materialized (select *, row_number() over (partition by seq order by o) as i from firsts),
-filled as (select seq, list_reduce(list_concat([any_value(original)], list(surface || '|⟪' || type || cast(i as varchar) || '⟫' order by length(surface) desc, i)),
-    lambda acc, x: replace(acc, split_part(x, '|', 1), split_part(x, '|', 2))) as template from numbered join sentence using (seq) group by seq)"""
-
-
-@query("l7_extended_slotting", K.sql("sentence", "select seq, template from filled", _EXT))
+@query("l7_extended_slotting", K.sql("sentence", "select seq, template from filled", K.EXTENDED))
 def l7(spark, sf):
-    out = _entities(spark, sf).select("seq", N.extended_slots(F.col("entities"), F.col("original"), ("PER", "LOC")).alias("template"))
-    return out.where("template is not null")
+    return K.extended(spark, sf)
 
 
 @query("h11_particle_correction", "select n_nationkey, case when n_nationkey % 2 = 0 then '이' else '가' end as particle from nation")
@@ -197,12 +185,6 @@ def h18(spark, sf):
     return bind(spark, sf, "customer").select("c_custkey", N.repair(text, F.lit("Kim"), F.lit("Kimzz"), F.lit("Kimcd")).alias("repaired"))
 
 
-@query("h22_fake_render", "select seq, replace(replace(original, 'Then', 'THEN'), 'And', 'AND') as rendered from corpus", "corpus")
-def h22(spark, sf):
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k.upper()).alias("value")) for k in ("Then", "And")])
-    return bind(spark, sf, "corpus").select("seq", T.replace_in_order(F.col("original"), pairs).alias("rendered"))
-
-
 @query("h23_prompt_assembly", "select seq, 'G' || chr(10) || '[등장 인물 한자→한글]' || chr(10) || '  · ' || lang || ' → ' || source || case when seq % 2 = 0 then '  (관직: x)' else '' end || chr(10) || '  · y → 동명이인 후보 중 문맥으로 판단: p / q' || chr(10) || original as prompt from corpus", "corpus")
 def h23(spark, sf):
     none = F.lit(None).cast("string")
@@ -217,16 +199,6 @@ def d20(spark, sf):
     return g.select("batch_id", F.when(F.col("d") == 0, "—").otherwise(F.format_string("%.2f", 100.0 * F.col("v") / F.col("n"))).alias("pct"))
 
 
-@query("l24_mining_evaluation", "with v as (select source, lang, count(*) n, min(seq) f from corpus where seq % 3 = 0 group by 1, 2), top as (select source, arg_min(lang, (-n, f)) as lang from v group by 1) select count(*) as held_out, count(*) filter (where t.lang = c.lang) as right, count(*) filter (where t.lang = c.lang) / count(*) as precision from corpus c join top t using (source) where seq % 3 = 1", "corpus")
-def l24(spark, sf):
-    from inkstone.operators import relational as R
-
-    c = bind(spark, sf, "corpus").select("seq", "source", "lang")
-    top = R.vote(c.where("seq % 3 = 0"), "source", "lang", "seq").select("source", "top")
-    hit = F.count(F.when(F.col("lang") == F.col("top"), 1))
-    return c.where("seq % 3 = 1").join(top, "source").agg(F.count("*").alias("held_out"), hit.alias("right"), F.try_divide(hit, F.count("*")).alias("precision"))
-
-
 @query("l25_gold_resolution", "select o_custkey as id, arg_min(o_orderpriority, (case when o_orderstatus = 'F' then 0 when o_orderstatus = 'O' then 1 else 2 end, o_orderkey)) as gold, arg_min(o_orderstatus, (case when o_orderstatus = 'F' then 0 when o_orderstatus = 'O' then 1 else 2 end, o_orderkey)) as status from orders group by 1")
 def l25(spark, sf):
     rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
