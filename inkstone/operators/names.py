@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from inkstone.functions import text as T
+from inkstone.operators.relational import top_per_group
 from inkstone.session import ship_code
 
 # What a prompt says before its linked entities, an office and undecided candidates.
@@ -165,6 +166,17 @@ def name_tokens(rows: DataFrame, lengths: tuple[int, ...], known: DataFrame, *,
     return tokens_of(words, wanted, known, particles=particles)
 
 
+def joined_back(verdicts: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """``key, cand_id, verdict, start, stop``: verdicts with the offsets of their candidates.
+
+    ``candidates`` has key, cand_id, start, stop, and for a text without any one row with a null cand_id, which stays as
+    its empty row; a verdict on a candidate that is not there goes.
+    """
+    met = verdicts.join(candidates, [key, "cand_id"]).select(key, "cand_id", "verdict", "start", "stop")
+    none = candidates.where("cand_id is null").select(key, "cand_id", F.lit(None).cast("boolean").alias("verdict"), "start", "stop")
+    return met.unionByName(none)
+
+
 def resolve_gold(candidates: DataFrame, key: str = "id") -> DataFrame:
     """The candidate of the first source that has one: ``key, gold, status``; candidates have source rank, reading, status."""
     return candidates.groupBy(key).agg(F.min_by("reading", F.struct("rank", "ord")).alias("gold"), F.min_by("status", F.struct("rank", "ord")).alias("status"))
@@ -228,19 +240,20 @@ def per_query_examples(queries: DataFrame, pool: DataFrame) -> DataFrame:
     or longer, and the first of each other pattern.
 
     ``queries`` is a stated query set; both have id, pattern, n, and a query that is in the pool is no example of
-    itself. Nearest rows come from windows over the pool's lengths, merged with the queries, so no pair is formed
-    that is not returned.
+    itself. The pool gives the last id and the first two of each pattern and length, so what is put in order is
+    a pattern's distinct lengths, as many as texts have at any size of the pool.
     """
-    place = Window.partitionBy("pattern").orderBy("n", "id")
-    beside = pool.select("pattern", "n", F.col("id").alias("ex"), F.lag("id").over(place).alias("less"), F.lead("id").over(place).alias("more"))
-    asked = queries.select(F.col("id").alias("q"), "pattern", "n")
-    both = asked.unionByName(beside.withColumn("x", F.struct("ex", "less", "more")), allowMissingColumns=True)
-    w = Window.partitionBy("pattern").orderBy("n", F.coalesce("ex", F.lit(-1)), "q")
-    before = F.last("x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("x", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    other = lambda x, next_one: F.when(F.col(x)["ex"] == F.col("q"), F.col(x)[next_one]).otherwise(F.col(x)["ex"])
-    near = both.withColumn("a", before).withColumn("b", after).where("q is not null")
-    near = near.select("q", F.explode(F.array_distinct(F.array(other("a", "less"), other("b", "more")))).alias("ex")).where("ex is not null")
+    few = top_per_group(pool.select("pattern", "n", "id"), ["pattern", "n"], [F.col("id")], 2)
+    firsts = few.groupBy("pattern", "n").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    firsts = firsts.withColumn("b", F.when(F.col("b") != F.col("a"), F.col("b")))
+    per = firsts.join(pool.groupBy("pattern", "n").agg(F.max("id").alias("z")), ["pattern", "n"])
+    lengths = queries.select("pattern", "n").distinct().join(per, ["pattern", "n"], "full")
+    w = Window.partitionBy("pattern").orderBy("n")  # distinct lengths
+    lengths = lengths.withColumn("less", F.last("z", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    lengths = lengths.withColumn("more", F.first("a", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    asked = queries.select(F.col("id").alias("q"), "pattern", "n").join(lengths, ["pattern", "n"])
+    same = F.when(F.col("a") != F.col("q"), F.col("a")).otherwise(F.col("b"))
+    near = asked.select("q", F.explode(F.array("less", F.coalesce(same, "more"))).alias("ex")).where("ex is not null")
     firsts = pool.groupBy("pattern").agg(F.min("id").alias("ex"))  # one row for each pattern
     others = queries.select(F.col("id").alias("q"), F.col("pattern").alias("own")).join(F.broadcast(firsts.agg(F.collect_list(F.struct("pattern", "ex")).alias("f"))))
     rest = others.select("q", "own", F.explode("f").alias("f")).where("f.pattern <> own").select("q", F.col("f.ex").alias("ex"))
@@ -275,6 +288,16 @@ def swarm_visits(features, iterations: int = 30, ants: int = 8, seed: int = 42):
     return visits
 
 
+def swarm_selection(pool: DataFrame, key: str, features: list[str], k: int, seed: int = 42) -> DataFrame:
+    """k keys of a pool that the caller has cut to a size for the driver, with chances by visits of a swarm plus one."""
+    rows = pool.select(key, *features).orderBy(key).toPandas()
+    if not len(rows):
+        return pool.select(key)
+    rows["visits"] = swarm_visits(rows[features].to_numpy(float), seed=seed) + 1
+    weighted = pool.sparkSession.createDataFrame(rows[[key, "visits"]])
+    return weighted_pick(weighted, "visits", key, k, seed)
+
+
 def extended_slots(entities: Column, text: Column, kinds: tuple[str, ...]) -> Column:
     """Template over several entity kinds: each surface keeps the kind of its first mention; null without any."""
     chosen = F.filter(entities, lambda e: e["type"].isin(*kinds) & text.contains(e["surface"]))

@@ -186,7 +186,7 @@ def multiset_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "left").select(key, (F.col("na") - F.coalesce("nb", F.lit(0))).alias("n")).where("n > 0")
 
 
-def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+def top_per_group(df: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 

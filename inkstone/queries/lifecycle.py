@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators import names as N
 from inkstone.operators import relational as R
 from inkstone.operators import replay
 from inkstone.queries.bindings import bind
 from inkstone.queries.registry import query
+from inkstone.session import shared_folder
+from inkstone.sources import readers
+from inkstone.streaming import jobs
 
 
 @query("a1_corpus_scan", "select seq, id, date, original from corpus", "corpus")
@@ -54,21 +59,36 @@ def a10(spark, sf):
     return c.select(F.concat(F.lit("batch:b1:"), F.col("seq").cast("string")).alias("idempotency_key"), T.catalogue_year(F.col("id")).alias("doc_year"), T.normalized_hash(F.col("original")).alias("normalized_hash"))
 
 
-@query("a11_insert_if_absent", "select id from job where batch_id = '1' union all select id from job where batch_id in ('1', '2') and id not in (select id from job where batch_id = '1')", "job")
+@query("a11_insert_if_absent", "select id, case when batch_id = '1' then 'old' else 'new' end as state from job where batch_id in ('1', '2')", "job")
 def a11(spark, sf):
+    """Rows that the sink has keep what it has; inserting again adds nothing."""
     j = bind(spark, sf, "job")
-    have, new = j.where("batch_id = '1'").select("id"), j.where("batch_id in ('1', '2')").select("id")
-    return have.unionAll(new.join(have, "id", "left_anti"))
+    home = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    readers.append(j.where("batch_id = '1'").select("id", F.lit("old").alias("state")), home)
+    for _ in range(2):
+        readers.insert_if_absent(spark.read.parquet(home), j.where("batch_id in ('1', '2')").select("id", F.lit("new").alias("state")), "id", home)
+    return spark.read.parquet(home)
 
 
-@query("a12_ledger_append", "select job_id, call_no, model, tokens_in + tokens_out as tokens from ledger", "ledger")
+@query("a12_ledger_append", "select job_id, call_no, model, tokens_in + tokens_out as tokens, call_no % 4 <> 0 as parsed from ledger", "ledger")
 def a12(spark, sf):
-    return bind(spark, sf, "ledger").select("job_id", "call_no", "model", (F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))
+    """One row for each call, also for those whose answer did not parse."""
+    calls = bind(spark, sf, "ledger").select("job_id", "call_no", "model", (F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), (F.col("call_no") % 4 != 0).alias("parsed"))
+    home = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    readers.append(calls.where("parsed"), home)
+    readers.append(calls.where("not parsed"), home)
+    return spark.read.parquet(home)
 
 
-@query("a14_dead_letters", "select id as job_id, substring(quality_grade || repeat('x', 500), 1, 400) as message from job where status = 'DEAD'", "job")
+@query("a14_dead_letters", "select id as job_id, 'E' || cast(seq % 3 as varchar) as error_class, substring(quality_grade || repeat('x', cast(seq % 900 as int)), 1, 400) as message from job where status = 'DEAD'", "job")
 def a14(spark, sf):
-    return bind(spark, sf, "job").where("status = 'DEAD'").select(F.col("id").alias("job_id"), F.substring(F.concat("quality_grade", F.repeat(F.lit("x"), F.lit(500))), 1, 400).alias("message"))
+    dead = bind(spark, sf, "job").where("status = 'DEAD'")
+    home = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    message = F.concat("quality_grade", F.expr("repeat('x', cast(seq % 900 as int))"))
+    dead.select(F.col("id").alias("job_id"), F.concat(F.lit("E"), (F.col("seq") % 3).cast("string")).alias("error_class"), message.alias("message"), F.col("completed_at").cast("timestamp").alias("failed_at")).write.parquet(f"{home}/in")
+    stream = jobs.job_stream(spark, f"{home}/in", "job_id string, error_class string, message string, failed_at timestamp", files_per_batch=4)
+    jobs.run_available(stream, f"{home}/cp", jobs.dead_letters(f"{home}/out"))
+    return spark.read.parquet(f"{home}/out").select("job_id", "error_class", "message")
 
 
 @query("a15_cache_lookup", "select e.event_id, c.k as hit from (select event_id, cast(json_extract_string(props, '$.k') as bigint) k, user_id from events) e left join (select distinct user_id as k from events where user_id % 3 = 0) c on e.user_id = c.k and e.event_id % 5 <> 0")
@@ -86,15 +106,27 @@ def a17(spark, sf):
     return bind(spark, sf, "pages").where(F.size(names) > 0).select("page_id", F.array_join(names, ",").alias("names"))
 
 
-@query("a18_tsv_report", r"select seq, substring(regexp_replace(original, '[\t\n\r]+', ' ', 'g'), 1, 80) as cell from corpus", "corpus")
+@query("a18_tsv_report", r"select cast(seq as varchar) as seq, lang, substring(regexp_replace(original, '[\t\n\r]+', ' ', 'g'), 1, 80) as cell from corpus", "corpus")
 def a18(spark, sf):
-    return bind(spark, sf, "corpus").select("seq", F.substring(F.regexp_replace("original", r"[\t\n\r]+", " "), 1, 80).alias("cell"))
+    """Written as a report and read back."""
+    home = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    readers.tsv_report(bind(spark, sf, "corpus").select("seq", "lang", F.col("original").alias("cell")), home)
+    # one cell ends in a space, another may be empty: nothing is trimmed, and an empty cell is not null
+    out = spark.read.option("quote", "").option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(home, sep="\t", header=True, schema="seq string, lang string, cell string")
+    return out.withColumn("cell", F.coalesce("cell", F.lit("")))
 
 
-@query("a7_csv_scan", "select c_custkey, c_name, case when c_custkey % 4 = 0 then null else c_nationkey end as year from customer")
+@query("a7_csv_scan", "select cast(c_custkey as varchar) as person, c_name as name, case when c_custkey % 4 = 0 then null else c_nationkey end as born, cast(c_nationkey as int) + 1600 as year, case when c_custkey % 3 = 0 then 'x, \"y\"' else c_mktsegment end as office from customer")
 def a7(spark, sf):
-    line = F.to_csv(F.struct("c_custkey", "c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("year")))
-    return bind(spark, sf, "customer").select(F.from_csv(line, F.lit("c_custkey bigint, c_name string, year int")).alias("r")).select("r.*")
+    """Written with a header, quoted cells and missing years, and read by the history's schema."""
+    home = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    c = bind(spark, sf, "customer")
+    none = F.lit(None).cast("string")
+    office = F.when(F.col("c_custkey") % 3 == 0, 'x, "y"').otherwise(F.col("c_mktsegment"))
+    rows = c.select(F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_name"), none, F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")), none, F.col("c_nationkey") + 1600, office, none, none)
+    rows.toDF("인물아이디", "한자_명", "한글_명", "본관_표준", "생년", "몰년", "년", "관직명_정규화", "자", "호").write.option("escape", '"').csv(home, header=True)
+    out = readers.office_history(spark, home)
+    return out.select(F.col("인물아이디").alias("person"), F.col("한글_명").alias("name"), F.col("생년").alias("born"), F.col("년").alias("year"), F.col("관직명_정규화").alias("office"))
 
 
 @query("i8_daily_quota", "select event_id, row_number() over (partition by model, cast(ts as date) order by ts, event_id) <= 20 as admitted from rate_event", "rate_event")
@@ -149,9 +181,25 @@ def i16(spark, sf):
     return bind(spark, sf, "conversations").groupBy("conv_id").agg(whole.alias("whole"))
 
 
-@query("l13_failure_flags", "select id, status in ('FAILED') as retry, status = 'DEAD' as dead from job", "job")
+# Messages of providers, one for each class.
+_MESSAGES = ["cannot PARSE the answer", "NER service down", "429 spending cap reached", "RESOURCE_EXHAUSTED: quota per day", "HTTP 429", "403 forbidden", "404 no such model", "500 oops", "request timed out", "blocked by SAFETY", "code 14290", "?"]
+_CLASSES = ["PARSE", "NER_UNAVAILABLE", "SPEND_CAP", "QUOTA_DAILY", "RATE_LIMIT", "AUTH", "MODEL_NOT_FOUND", "UNAVAILABLE", "TIMEOUT", "SAFETY", "UNKNOWN", "UNKNOWN"]
+
+
+@query(
+    "l13_failure_flags",
+    f"""with f as (select id, seq, {_CLASSES}[seq % 12 + 1] as error_class from job where status in ('FAILED', 'DEAD', 'RUNNING'))
+    select id, error_class, error_class in ('PARSE', 'NER_UNAVAILABLE', 'RATE_LIMIT', 'UNAVAILABLE', 'TIMEOUT', 'UNKNOWN') as retry, error_class in ('SPEND_CAP', 'AUTH', 'MODEL_NOT_FOUND', 'SAFETY') as dead,
+        case when error_class in ('SPEND_CAP', 'AUTH', 'MODEL_NOT_FOUND', 'SAFETY') then 'DEAD' when error_class = 'QUOTA_DAILY' then 'FAILED' else 'REDELIVER' end as next from f""",
+    "job",
+)
 def l13(spark, sf):
-    return bind(spark, sf, "job").select("id", F.col("status").isin("FAILED").alias("retry"), (F.col("status") == "DEAD").alias("dead"))
+    """A failed call's message is classified, and the class tells what becomes of the job."""
+    failed = bind(spark, sf, "job").where("status in ('FAILED', 'DEAD', 'RUNNING')")
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("seq") % 12 + 1).cast("int"))
+    actions = spark.createDataFrame([(k, *v) for k, v in T.ERROR_ACTIONS.items()], "error_class string, retry boolean, dead boolean")
+    out = failed.select("id", T.classify_error(message).alias("error_class")).join(F.broadcast(actions), "error_class")  # a row for each class
+    return out.withColumn("next", F.when(F.col("dead"), "DEAD").when(F.col("retry"), "REDELIVER").otherwise("FAILED"))
 
 
 @query("l16_allocation", "select event_id, case when user_id % 3 = 0 and r <= 20 then 'upper' else 'base' end as chosen, user_id % 3 = 0 and r > 20 as downgraded from (select *, row_number() over (partition by user_id % 3 = 0, model, cast(ts as date) order by ts, event_id) r from rate_event)", "rate_event")
@@ -162,12 +210,24 @@ def l16(spark, sf):
     return out.unionAll(e.where("user_id % 3 <> 0").select("event_id", F.lit("base"), F.lit(False)))
 
 
-@query("l17_promotion", "select id, case when quality_grade = 'REJECTED' and seq % 2 = 0 then 'second' else 'first' end as attempt from job", "job")
+_SECOND = "case when seq % 9 = 0 then null when seq % 2 = 0 then 'VERIFIED' else 'REJECTED' end"
+
+
+@query(
+    "l17_promotion",
+    f"""with p as (select *, row_number() over (partition by cast(completed_at as date) order by completed_at, seq) <= 2 as admitted from job where quality_grade = 'REJECTED' and seq % 10 <> 3), s as (select id, {_SECOND} as again from p where admitted)
+    select j.id, case when again is not null then 'second' else 'first' end as attempt, coalesce(again, quality_grade) as grade, cast(1 + (s.id is not null)::int as bigint) as calls from job j left join s on s.id = j.id""",
+    "job",
+)
 def l17(spark, sf):
-    j = bind(spark, sf, "job")
-    first = j.select("id", F.lit(1).alias("n"), F.lit("first").alias("attempt"))
-    second = j.where("quality_grade = 'REJECTED' and seq % 2 = 0").select("id", F.lit(2).alias("n"), F.lit("second").alias("attempt"))
-    return first.unionAll(second).groupBy("id").agg(F.max_by("attempt", "n").alias("attempt"))
+    """Rejected jobs where it is enabled get a second call while the day's quota of two lasts; it may fail, or be rejected again."""
+    j = bind(spark, sf, "job").select("id", "seq", "completed_at", F.col("quality_grade").alias("grade"))
+    asked = j.where((F.col("grade") == "REJECTED") & (F.col("seq") % 10 != 3)).withColumn("model", F.lit("upper"))
+    called = replay.reserve_daily(asked, "model", "completed_at", "seq", 2).where("admitted")
+    second = called.select("id", F.when(F.col("seq") % 9 == 0, F.lit(None)).when(F.col("seq") % 2 == 0, "VERIFIED").otherwise("REJECTED").alias("grade"))
+    calls = called.select(F.col("id").alias("called"), F.lit(1).cast("bigint").alias("more"))
+    out = replay.promoted(j.select("id", "grade"), second)
+    return out.join(calls, F.col("id") == F.col("called"), "left").select("id", "attempt", "grade", (1 + F.coalesce("more", F.lit(0))).alias("calls"))
 
 
 @query("l30_expression_index", "select source, count(*) filter (where regexp_matches(original, '(?i)licen[sc]e')) as rows_with, cast(sum(len(regexp_extract_all(original, '(?i)licen[sc]e'))) as bigint) as occurrences from corpus group by source", "corpus")
@@ -176,22 +236,54 @@ def l30(spark, sf):
     return bind(spark, sf, "corpus").groupBy("source").agg(F.count(F.when(t.rlike("(?i)licen[sc]e"), 1)).alias("rows_with"), F.sum(F.regexp_count(t, F.lit("(?i)licen[sc]e"))).alias("occurrences"))
 
 
-@query("l32_low_score_typology", "select label, count(*) as n from (select case when length(translation) < 0.5 * length(original) then 'short' when length(translation) > 3 * length(original) then 'long' else 'other' end as label from pairs) group by label", "pairs")
-def l32(spark, sf):
-    t, o = F.length("translation"), F.length("original")
-    return bind(spark, sf, "pairs").groupBy(F.when(t < 0.5 * o, "short").when(t > 3 * o, "long").otherwise("other").alias("label")).agg(F.count("*").alias("n"))
+# label, condition over o (original), r (reference), h (hypothesis); the same SQL for both engines
+_TYPES = [
+    ("short_original", "length(o) <= 200"),
+    ("script_left", "length(regexp_replace(r, '[^À-ÿ]', '')) / greatest(length(r), 1) > 0.05"),
+    ("mostly_names", "length(r) <= 400 and regexp_like(r, '[A-Z][a-z]{2,3} (the|of|and)')"),
+    ("length_differs", "length(h) / greatest(length(r), 1) < 0.5 or length(h) / greatest(length(r), 1) > 2.0"),
+    ("dropped", "length(h) < 5 or length(regexp_replace(h, '[^À-ÿ]', '')) / greatest(length(h), 1) > 0.2"),
+    ("offices", "regexp_like(r, 'tion|heer|ledble')"),
+]
 
 
-@query("l33_verdict_join_back", "select d.doc_id, l.quality as verdict from documents d left join labels l using (doc_id)")
-def l33(spark, sf):
-    return bind(spark, sf, "documents").select("doc_id").join(bind(spark, sf, "labels").select("doc_id", F.col("quality").alias("verdict")), "doc_id", "left")
+def _duck(condition: str) -> str:
+    return condition.replace("regexp_like", "regexp_matches").replace("[^À-ÿ]', '')", "[^À-ÿ]', '', 'g')")
 
 
-@query("l34_repair_accounting", "select count(*) filter (where contains(original, 'tion')) as already, count(*) filter (where not contains(original, 'tion') and contains(lower(original), 'tion')) as fixed, count(*) filter (where not contains(lower(original), 'tion')) as unfixable from corpus", "corpus")
-def l34(spark, sf):
-    t = F.col("original")
-    has, low = t.contains("tion"), F.lower(t).contains("tion")
-    return bind(spark, sf, "corpus").agg(F.count(F.when(has, 1)).alias("already"), F.count(F.when(~has & low, 1)).alias("fixed"), F.count(F.when(~low, 1)).alias("unfixable"))
+@query(
+    "l32_low_score_typology",
+    "with low as (select seq, original as o, translation as r, substring(translation, 1, cast(length(original) // 2 as int)) as h, abs(length(original) - length(translation)) as score from pairs where abs(length(original) - length(translation)) > 100), t as (select seq, score, unnest(case when len(l) > 0 then l else ['other'] end) as label from (select *, list_filter(["
+    + ", ".join(f"case when {_duck(c)} then '{n}' end" for n, c in _TYPES)
+    + "], lambda x: x is not null) as l from low)) select label, count(*) as n, string_agg(cast(seq as varchar), ',' order by score, seq) filter (where k <= 5) as examples from (select *, row_number() over (partition by label order by score, seq) k from t) group by label",
+    "pairs",
+)
+def l32(spark, sf):
+    """Rules that may all hold of one row; a row of none is other; the lowest five of each label are its examples."""
+    p = bind(spark, sf, "pairs").select("seq", F.col("original").alias("o"), F.col("translation").alias("r"), F.expr("substring(translation, 1, cast(length(original) div 2 as int))").alias("h"))
+    low = p.withColumn("score", F.abs(F.length("o") - F.length("r"))).where("score > 100")
+    labels = F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in _TYPES]))
+    typed = low.select("seq", "score", F.explode(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("other")))).alias("label"))
+    top = R.top_per_group(typed, "label", [F.col("score"), F.col("seq")], 5)
+    examples = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score", "seq"))), lambda x: x["seq"].cast("string")), ",")
+    return typed.groupBy("label").agg(F.count("*").alias("n")).join(top.groupBy("label").agg(examples.alias("examples")), "label")
+
+
+@query(
+    "l33_verdict_join_back",
+    """with d as (select doc_id, regexp_extract_all(substring(text, 1, 1000000), 'ti[a-z]*n') as m, regexp_split_to_array(text, 'ti[a-z]*n') as p from documents where lang = 'en'),
+    c as (select doc_id, i as cand_id, cast(list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) as int) as start, length(m[i]) as n from d, unnest(range(1, len(m) + 1)) t(i)),
+    v as (select doc_id, cand_id, (doc_id + cand_id) % 3 = 0 as verdict from c where cand_id % 4 <> 0 union all select doc_id, 100000, true from d)
+    select doc_id, cand_id, verdict, start, cast(start + n as int) as stop from v join c using (doc_id, cand_id) union all select doc_id, null, null, null, null from d where len(m) = 0""",
+)
+def l33(spark, sf):
+    """Verdicts get their candidates' offsets; a verdict on no candidate goes; a text without candidates is one empty row."""
+    d = bind(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id"), F.col("text"))
+    found = N.rule_ner(d, "text", ["(ti[a-z]*n)"]).select("doc_id", F.posexplode_outer("spans").alias("i", "s"))
+    candidates = found.select("doc_id", (F.col("i") + 1).cast("bigint").alias("cand_id"), F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    asked = candidates.where("cand_id % 4 <> 0").select("doc_id", "cand_id", ((F.col("doc_id") + F.col("cand_id")) % 3 == 0).alias("verdict"))
+    verdicts = asked.unionAll(d.select("doc_id", F.lit(100000).cast("bigint"), F.lit(True)))
+    return N.joined_back(verdicts, candidates, "doc_id")
 
 
 @query("l35_pool_cut", "select user_id, count(*) as visits from events group by user_id order by visits desc, user_id limit 50")

@@ -195,13 +195,18 @@ def h38(spark, sf):
 
 @query(
     "k18_selection_diversity",
-    f"""with s as materialized (select * from embeddings order by -ln((('0x' || substring(md5('42-' || cast(vec_id as varchar)), 1, 8))::bigint + 1) / (4294967297.0::double)), vec_id limit 20)
-    select round(avg({_DISTANCE}), 6) as mean_distance, count(*) as pairs from s a join s b on a.vec_id < b.vec_id""",
+    f"""with s as materialized (select *, vec_id % 90 + 10 as n_words from embeddings order by -ln((('0x' || substring(md5('42-' || cast(vec_id as varchar)), 1, 8))::bigint + 1) / (4294967297.0::double)), vec_id limit 20),
+    d as (select i, var_pop(x::double) v from (select unnest(embedding) x, generate_subscripts(embedding, 1) i from s) group by i)
+    select (select round(avg({_DISTANCE}), 6) from s a join s b on a.vec_id < b.vec_id) as mean_distance, (select count(distinct label) from s) as types, (select round(stddev_pop(n_words), 6) from s) as length_sd, (select round(avg(v), 6) from d) as variance""",
 )
 def k18(spark, sf):
     """Of a selection of 20: what is measured is the selection."""
-    chosen = durable(N.weighted_pick(bind(spark, sf, "embeddings").withColumn("w", F.lit(1)), "w", "vec_id", 20))
-    return distances(chosen, chosen).where("a < b").agg(F.round(F.avg("distance"), 6).alias("mean_distance"), F.count("*").alias("pairs"))
+    e = bind(spark, sf, "embeddings").withColumn("w", F.lit(1)).withColumn("n_words", F.col("vec_id") % 90 + 10)
+    chosen = durable(N.weighted_pick(e, "w", "vec_id", 20))
+    apart = distances(chosen, chosen).where("a < b").agg(F.round(F.avg("distance"), 6).alias("mean_distance"))
+    kinds = chosen.agg(F.count_distinct("label").alias("types"), F.round(F.stddev_pop("n_words"), 6).alias("length_sd"))
+    by_dimension = chosen.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_pop(F.col("x").cast("double")).alias("v"))
+    return apart.crossJoin(kinds).crossJoin(by_dimension.agg(F.round(F.avg("v"), 6).alias("variance")))  # one row each
 
 
 @query("h37_min_max_scaling", "select event_id, (value - low) / (high - low + 1e-8) as scaled from events, (select min(value) low, max(value) high from events)")

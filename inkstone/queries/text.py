@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators import names as N
 from inkstone.queries.bindings import bind
 from inkstone.queries.registry import query
 
@@ -227,10 +228,13 @@ def h14(spark, sf):
     return _corpus(spark, sf).select("seq", F.when(F.length(s).between(2, 4), s).otherwise(F.right(s, F.lit(3))).alias("span"))
 
 
-@query("h16_name_tokens", "select seq, array_to_string(list_distinct(list_transform(list_filter(regexp_extract_all(original, '[A-Za-z]+'), lambda w: regexp_matches(w, '^[A-Z].{3}(s|ed|ing)$')), lambda w: substring(w, 1, 4))), ',') is not null as has from corpus", "corpus")
+@query("h16_name_tokens", "with w as (select distinct seq, unnest(regexp_extract_all(original, '[A-Z][a-z]+')) as word from corpus) select distinct seq, n, substring(word, 1, n) as token from w, (select unnest([1, 4, 5]) as n) where n >= 2 and length(word) >= n and (length(word) = n or (regexp_matches(substring(word, n + 1), '^(s|ed|ing)') and substring(word, 1, n + 1) not in (select upper(substring(n_name, 1, 1)) || lower(substring(n_name, 2, 4)) from nation union all select distinct word from w where length(word) = 5)))", "corpus")
 def h16(spark, sf):
-    words = F.filter(F.regexp_extract_all("original", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: w.rlike("^[A-Z].{3}(s|ed|ing)$"))
-    return _corpus(spark, sf).select("seq", F.array_join(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 4))), ",").isNotNull().alias("has"))
+    """Tokens of four and five letters; a word of five letters is a longer known name, and names of one letter give none."""
+    rows = _corpus(spark, sf).select("seq", F.col("original").alias("translation"))
+    five = rows.select(F.explode(F.regexp_extract_all("translation", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("name")).where("length(name) = 5").distinct()
+    nations = bind(spark, sf, "nation").select(F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 2, 4))).alias("name"))
+    return N.name_tokens(rows, (1, 4, 5), five.unionAll(nations), run="[A-Z][a-z]+", particles=("s", "ed", "ing"))
 
 
 @query(

@@ -52,7 +52,7 @@ def xml_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def office_history(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header and nullable years."""
-    return spark.read.csv(path, header=True, schema="`인물아이디` string, `한자_명` string, `한글_명` string, `본관_표준` string, `생년` int, `몰년` int, `년` int, `관직명_정규화` string, `자` string, `호` string")
+    return spark.read.option("escape", '"').csv(path, header=True, schema="`인물아이디` string, `한자_명` string, `한글_명` string, `본관_표준` string, `생년` int, `몰년` int, `년` int, `관직명_정규화` string, `자` string, `호` string")
 
 
 def patterns(lines: list[str], columns: int = 2) -> list[tuple[str, ...]]:
@@ -70,6 +70,13 @@ def patterns(lines: list[str], columns: int = 2) -> list[tuple[str, ...]]:
     return out
 
 
+def pattern_list(spark: SparkSession, path: str, columns: int = 2) -> DataFrame:
+    """``place, pattern, label`` of a pattern file in file order; with one column the label is null. A list is a configuration file."""
+    lines = [line for r in spark.read.option("wholetext", True).text(path).collect() for line in r.value.split("\n")]
+    rows = [(i, *r, None)[:3] for i, r in enumerate(patterns(lines, columns))]
+    return spark.createDataFrame(rows, "place int, pattern string, label string")
+
+
 def resumable(todo: DataFrame, done: DataFrame | None, key: str, stage: Callable[[DataFrame], DataFrame], sink: str) -> DataFrame:
     """Run a costly stage on distinct keys that are not done, append to the sink, and return all of it."""
     rest = todo.dropDuplicates([key])
@@ -84,7 +91,13 @@ def insert_if_absent(have: DataFrame, new: DataFrame, key: str, sink: str) -> No
     new.join(have.select(key), key, "left_anti").write.mode("append").parquet(sink)
 
 
+def append(rows: DataFrame, sink: str) -> None:
+    """Append rows as they are: a ledger keeps every call, also one whose answer did not parse."""
+    rows.write.mode("append").parquet(sink)
+
+
 def tsv_report(df: DataFrame, path: str, cell: int = 80) -> None:
     """Write a report: tabs and line ends in cells become spaces, cells are cut."""
     clean = [F.substring(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " "), 1, cell).alias(c) for c in df.columns]
-    df.select(*clean).write.mode("overwrite").csv(path, sep="\t", header=True)
+    # what is left has no tab or line end, so nothing is quoted and a quotation mark is a character like any other
+    df.select(*clean).write.mode("overwrite").option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, sep="\t", header=True)

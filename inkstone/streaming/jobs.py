@@ -33,6 +33,16 @@ def idempotent_sink(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def dead_letters(path: str, most: int = 400) -> Callable[[DataFrame, int], None]:
+    """Append a micro-batch's dead jobs: ``job_id, error_class, message`` (cut) and ``failed_at``."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        cut = F.substring("message", 1, most).alias("message")
+        batch.select("job_id", "error_class", cut, "failed_at").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return handle
+
+
 def stale(pending: DataFrame, now_ms: int, idle_ms: int = 30_000, most: int = 50) -> DataFrame:
     """Deliveries idle for too long, the oldest first, with their count raised."""
     old = pending.where(F.lit(now_ms) - F.col("delivered_ms") > idle_ms).orderBy("delivered_ms", "id").limit(most)

@@ -83,7 +83,7 @@ class Bucket:
         if now < self.blocked_until:
             return False, self.blocked_until - now
         if self.tokens < 1:
-            return False, math.ceil((1 - self.tokens) * 60_000 / rate)
+            return False, math.ceil((1 - self.tokens) * 60_000 / rate - 1e-9)  # what rounding adds is no millisecond
         self.tokens -= 1
         return True, 0
 
@@ -135,19 +135,26 @@ def fold(events: DataFrame, key: str, order: list[str], start: Callable[[], obje
 
 
 def bucket_step(b: Bucket, event_id: int, op: str, ts_ms: int, hint_ms: int | None) -> tuple:
-    """One event: event_id, granted, wait_ms, rpm, streak."""
+    """One event: event_id, granted, wait_ms, rpm, streak, cap."""
     granted, wait = b.after(op, ts_ms, hint_ms)
-    return event_id, granted, wait, float(b.rpm), b.streak
+    return event_id, granted, wait, float(b.rpm), b.streak, float(b.limits.max_rpm)
 
 
 WEEK_MS = 7 * 86_400_000
-BUCKET = "event_id bigint, granted boolean, wait_ms bigint, rpm double, streak int"
+BUCKET = "event_id bigint, granted boolean, wait_ms bigint, rpm double, streak int, cap double"
 
 
-def token_bucket(events: DataFrame, key: str = "bucket", limits: Limits | None = None) -> DataFrame:
-    """Batch twin of the limiter."""
+def token_bucket(events: DataFrame, key: str = "bucket", limits: Limits | None = None, measured: str | None = None) -> DataFrame:
+    """Batch twin of the limiter; ``measured`` names a column with the registry's rate for the bucket, or null."""
     rule = limits or Limits()
-    return fold(events, key, ["ts_ms", "event_id"], lambda: Bucket(rule), bucket_step, ["event_id", "op", "ts_ms", "hint_ms"], BUCKET)
+
+    def step(b: Bucket, event_id: int, op: str, ts_ms: int, hint_ms: int | None, *rate: float | None) -> tuple:
+        if rate and b.rpm is None:  # the bucket's first event
+            b.limits = rule.measured(*rate)
+        return bucket_step(b, event_id, op, ts_ms, hint_ms)
+
+    columns = ["event_id", "op", "ts_ms", "hint_ms", *([measured] if measured else [])]
+    return fold(events, key, ["ts_ms", "event_id"], lambda: Bucket(rule), step, columns, BUCKET)
 
 
 def sliding_log(events: DataFrame, key: str, rpm: int, per_day: int) -> DataFrame:
@@ -174,7 +181,7 @@ def token_bucket_stream(events: DataFrame, key: str = "bucket", limits: Limits |
                 b = Bucket(rule)
             hints = [None if pd.isna(h) else int(h) for h in ordered["hint_ms"]]
             rows = [bucket_step(b, *e) for e in zip(ordered["event_id"].tolist(), ordered["op"], ordered["ts_ms"].tolist(), hints)]
-            yield pd.DataFrame(rows, columns=["event_id", "granted", "wait_ms", "rpm", "streak"])
+            yield pd.DataFrame(rows, columns=["event_id", "granted", "wait_ms", "rpm", "streak", "cap"])
         state.update((b.rpm, b.tokens, b.at_ms, b.blocked_until, b.streak))
 
     ship_code(events.sparkSession)

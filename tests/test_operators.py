@@ -166,11 +166,141 @@ def test_replay_equals_a_sequential_cache(spark):
             key = r.randrange(9)
             rows.append((case * 1000 + i, f"{case}-{key}", None if key % 4 == 0 else f"{case}-{key % 3}", r.choice(["VERIFIED", "DEGRADED", "REJECTED"]), r.random() < 0.7))
     df = spark.createDataFrame(rows, "seq bigint, l1_key string, template_hash string, grade string, templatable boolean")
-    assert replay.one_template_for_each_key(df).first().keys == 0
+    assert replay.tied(df).isEmpty()
     assert {x.seq: x.outcome for x in replay.coupled(df).collect()} == sequential(rows)
     assert {x.seq: x.outcome for x in replay.l1_only(df).collect()} == sequential(rows, l2=False)
 
 
+@pytest.mark.parametrize("case", range(6))
+def test_replay_of_keys_with_several_templates(spark, case):
+    """Some keys have one template, some several, some none in part of their rows; components are of all sizes."""
+    r = random.Random(case)
+    rows = []
+    for i in range(600):
+        key = r.randrange(80)
+        template = [f"t{key % 25}", f"t{(key * 7 + r.randrange(2)) % 25}" if key % 5 == 0 else f"t{key % 25}", None][r.choice([0, 1, 1, 2 if key % 11 == 0 else 0])]
+        rows.append((i, f"k{key}", template, r.choice(["VERIFIED", "DEGRADED", "REJECTED"]), r.random() < 0.7))
+    df = spark.createDataFrame(rows, "seq bigint, l1_key string, template_hash string, grade string, templatable boolean")
+    got = replay.coupled(df).collect()
+    assert {x.seq: x.outcome for x in got} == sequential(rows) and len(got) == len(rows)
+    assert "L2" in {x.outcome for x in got}
+    several = {k for _, k, _, _, _ in rows if len({t for _, o, t, _, _ in rows if o == k}) > 1}
+    assert several <= {x.key for x in replay.tied(df).collect()} != set()
+
+
+def test_promotion_and_lookup_states(spark):
+    first = spark.createDataFrame([("a", "REJECTED"), ("b", "REJECTED"), ("c", "VERIFIED"), ("d", "REJECTED")], "id string, grade string")
+    second = spark.createDataFrame([("a", "VERIFIED"), ("b", None), ("c", "REJECTED")], "id string, grade string")
+    assert sorted(map(tuple, replay.promoted(first, second).collect())) == [("a", "second", "VERIFIED"), ("b", "first", "REJECTED"), ("c", "first", "VERIFIED"), ("d", "first", "REJECTED")]
+    rows = [([], True, "x", "x", "x", "VERIFIED"), (["s"], False, "x", "x", "x", "VERIFIED"), (["s"], True, None, None, None, None), (["s"], True, "{", None, None, None), (["s"], True, "x", "x", None, None), (["s"], True, "x", "x", "x", "REJECTED"), (["s"], True, "x", "x", "x", "DEGRADED")]
+    df = spark.createDataFrame(rows, "slots array<string>, enabled boolean, body string, template string, served string, grade string")
+    states = df.select(replay.lookup_state(F.col("slots"), F.col("enabled"), F.col("body"), F.col("template"), F.col("served"), F.col("grade")).alias("state"))
+    assert [r.state for r in states.collect()] == ["not_eligible", "disabled", "miss", "abort_deserialize", "abort_structure", "abort_gate", "hit"]
+    assert tuple(replay.lookup_rates(states).first()) == (5, 1, 4, 0.2)
+
+
+def mined(spark, rows, base=()):
+    """Votes over (seq, translation, mentions), with readings of a small table."""
+    from inkstone.operators import mining
+
+    table = spark.createDataFrame([("沈", "침"), ("悅", "열"), ("申", "신"), ("櫄", "춘"), ("金", "금"), ("瑬", "류"), ("珙", "공")], "char string, reading string")
+    surnames = spark.createDataFrame([("沈", "심"), ("申", "신"), ("金", "김")], "char string, fixed string")
+    known = dict(base)
+    ments = [(s, i, k, "SINGLE" if k in known else "MISS", known.get(k)) for s, _, ks in rows for i, k in enumerate(ks)]
+    m = spark.createDataFrame(ments, "seq bigint, ord bigint, key string, stage string, injected string")
+    texts = spark.createDataFrame([(s, t) for s, t, _ in rows], "seq bigint, translation string")
+    tokens = names.name_tokens(texts, (2, 3, 4), spark.createDataFrame([], "name string"), run="[가-힣]+", particles=("이", "가", "은", "는", "을", "를", "와", "과"))
+    votes = mining.votes(m, names.readings(m.select(F.col("key").alias("name")), table, surnames), tokens, surnames)
+    return {(r.seq, r.key): (r.bucket, r.reading, r.exact, r.injected) for r in votes.collect()}
+
+
+def test_mining_votes(spark):
+    assert mined(spark, [(1, "심열이 아뢰기를", ["沈悅"])]) == {(1, "沈悅"): ("miss", "심열", True, None)}
+    # the only token left of the surname and length, after the base's own name has been told apart
+    got = mined(spark, [(2, "김류와 신훈이 아뢰기를", ["金瑬", "申櫄"])], [("金瑬", "김류")])
+    assert got == {(2, "金瑬"): ("pseudo", "김류", True, "김류"), (2, "申櫄"): ("miss", "신훈", False, None)}
+    assert mined(spark, [(3, "신훈과 신경이 아뢰기를", ["申櫄"])]) == {(3, "申櫄"): ("miss", None, False, None)}
+    assert mined(spark, [(4, "이공이", ["珙"])]) == {}
+
+
+@pytest.mark.parametrize(
+    ("votes", "exact", "rows", "spread", "want"),
+    [
+        ({"심열": 3}, {"심열": 1}, 3, 0, "High"),
+        ({"신훈": 2}, {}, 2, 0, "Medium"),
+        ({"신훈": 3}, {}, 3, 0, "High"),
+        ({"a": 3, "b": 1}, {"a": 3}, 4, 0, "Medium"),
+        ({"a": 1, "b": 1}, {"a": 1}, 2, 0, "Low"),
+        ({}, {}, 1, 0, "Low"),
+        ({"이와": 3}, {}, 10, 2337, "Low"),
+        ({"신훈": 8}, {}, 8, 12, "High"),
+        ({"심열": 11}, {"심열": 11}, 12, 375, "High"),
+    ],
+)
+def test_mining_tiers(spark, votes, exact, rows, spread, want):
+    from inkstone.operators import mining
+
+    voted = [(i, 0, "k", "miss", None, t, i < exact.get(t, 0)) for t, n in votes.items() for i in range(n)]
+    voted += [(100 + i, 0, "k", "miss", None, None, False) for i in range(rows - len(voted))]
+    df = spark.createDataFrame(voted, "seq bigint, ord bigint, key string, bucket string, injected string, reading string, exact boolean")
+    words = spark.createDataFrame([(i, next(iter(votes), "x") + "같") for i in range(spread)], "seq bigint, word string")
+    assert mining.summarised(df, words).first().tier == want
+
+
+def test_ranks_totals_and_quantiles_of_hot_groups(spark):
+    from inkstone.operators import relational as R
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([1.0, 1.0, 2.5, 7.0, None, float(i)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double, i bigint")
+    got = R.order_statistics(df, ["g"], "v", {"mid": R.MEDIAN, "least": ("0", "0")}).where("g is not null").collect()
+    for x in got:
+        values = sorted(v for g, v, _ in rows if g == x.g and v is not None)
+        assert (x.mid, x.least) == ((values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2, values[0])
+    total = {x.i: x.t for x in R.running_total(df, ["g"], ["i"], "i", "t").collect()}
+    for group in ("a", "b", None):
+        so_far = 0
+        for g, _, i in rows:
+            if g == group:
+                so_far += i
+                assert total[i] == so_far
+    whole = sorted(v for _, v, _ in rows if v is not None)
+    at = (len(whole) - 1) * 0.3
+    low, high = whole[int(at)], whole[int(at) + 1]
+    assert R.interpolated(df, [], "v", {"p": 0.3}).first().p == pytest.approx(low + (high - low) * (at - int(at)))
+    times = spark.createDataFrame([(g or "x", i * 13 % 97) for g, _, i in rows], "g string, us bigint")
+    counted = R.within_last(times, ["g"], "us", 10, "n").collect()
+    every = times.collect()
+    assert len(counted) == len(every) and all(x.n == sum(y.g == x.g and x.us - 10 <= y.us <= x.us for y in every) for x in counted)
+
+
+def test_readers_of_persons_and_sinks(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"k1": {"한글_명": "김류", "한자_명": "金瑬", "활동_시작": 1580, "관직_리스트": ["판서"]}, "k2": {"한글_명": "x"}}')
+    assert [(r.kb_id, r.hangul, r.active_from, r.offices) for r in readers.kb_people(spark, str(tmp_path / "p.json")).collect()] == [("k1", "김류", 1580, ["판서"]), ("k2", "x", None, None)]
+
+
+def test_redeliveries_within_the_watermark_are_dropped(spark, tmp_path):
+    from inkstone.streaming import jobs
+
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00")], "id string, ts string").selectExpr("id", "cast(ts as timestamp) ts")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = jobs.exactly_once(jobs.job_stream(spark, str(tmp_path / "in"), "id string, ts timestamp"), "id", "ts")
+    seen = []
+    jobs.run_available(out, str(tmp_path / "cp"), lambda batch, _: seen.extend(r.id for r in batch.collect()))
+    assert sorted(seen) == ["a", "b"]
+
+
+def test_swarm_selection(spark):
+    pool = spark.createDataFrame([(i, float(i % 7), float(i * i % 11)) for i in range(60)], "id bigint, a double, b double")
+    got = [r.id for r in names.swarm_selection(pool, "id", ["a", "b"], 10).collect()]
+    assert len(set(got)) == 10 and got == [r.id for r in names.swarm_selection(pool, "id", ["a", "b"], 10).collect()]
+    assert names.swarm_selection(pool.limit(0), "id", ["a", "b"], 10).count() == 0
+    import numpy as np
+
+    visits = names.swarm_visits(np.array([[0.0, 0.0], [1.0, 1.0], [0.5, 0.4]]), iterations=5, ants=3)
+    assert visits.sum() == 5 * 3 * 4 and visits[0] > 0 and visits[1] > 0
+
+
 def test_bucket_trace():
     b = L.Bucket(L.Limits(initial_rpm=60, max_rpm=60, burst_seconds=1))
     assert b.after("acquire", 0) == (True, 0)
