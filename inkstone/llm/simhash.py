@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import as_bytes, durable, id_kind, ids_and, map_arrow, unused
-from inkstone.llm.components import components
+from inkstone.operators.graph import components
 
 BITS = 64
 BUDGET = 4
