@@ -15,10 +15,11 @@ A document's score is the mean over its words of the loss under the target minus
 background, in nats: lower is more like the target.
 
 A loss is a sum of weights of the document's words and bigrams, so models are tables of weights by
-a 64-bit hash of the gram, which grow with the corpora and are never collected or broadcast. Texts
-are turned, a chunk at a time, into the sorted hashes of their grams and the rows that hold them; the
-hash's first bits deal hashes and weights to the same task, each of which holds its share of the
-weights; what the grams add to each row's losses comes back chunk by chunk.
+a 64-bit hash of the gram, which grow with the corpora and are never gathered. Texts are turned, a
+chunk at a time, into the sorted hashes of their grams and the rows that hold them. The ``HEAD`` most
+frequent grams, a broadcast of bounded size, are weighed on the spot; all others are dealt, like their
+weights, by the hash's first bits to tasks that each hold a share of the weights, and what they add
+to each row's losses comes back chunk by chunk. The head only saves traffic: no result depends on it.
 
 Null and empty texts have no words: no cross-entropies and no score. Labels that repeat with another
 value, or are null, mark no target. Repeated rows count as often as they stand. Rows without id are
@@ -44,8 +45,12 @@ BETA = 0.1
 #: Words and rows of a chunk: what a worker holds of the corpus at a time, give or take one text.
 CHUNK_WORDS = 1_000_000
 CHUNK_ROWS = 1 << 14
-#: Weights that a task holds, some 40 bytes each.
+#: Weights that a task holds, and weights that every worker holds, some 40 bytes each.
 TASK_GRAMS = 2_000_000
+HEAD = 1 << 19
+#: Documents of both corpora whose bigrams one task counts, and up to which their ids are broadcast.
+TASK_DOCS = 20_000
+BROADCAST_IDS = 2_000_000
 _START, _END, _WORD = 1, 2, 0  # what stands before the first word, after the last, and "before" a single word
 
 
@@ -89,7 +94,7 @@ def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(get, words), np.uint64, len(words))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(rows' other values, rows' word hashes) of batches whose first column is texts."""
     extra: list[tuple] = []
     held: list[np.ndarray] = []
@@ -100,50 +105,116 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
             held.append(word_hashes(plain_words(text), known))
             extra.append(tuple(other))
             size += len(held[-1])
-            if size >= CHUNK_WORDS or len(held) >= CHUNK_ROWS:
+            if size >= most_words or len(held) >= CHUNK_ROWS:
                 yield extra, held
                 extra, held, size, known = [], [], 0, {}
     if held:
         yield extra, held
 
 
-def counts(train: DataFrame) -> DataFrame:
-    """``v, w, n0 .. n3``: how often each bigram stands in each cell of ``text, cell``, and each word, with v = 0."""
+def _before(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all rows, the word before each, and the rows' sizes."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    w = np.concatenate(rows)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
+    return w, v, sizes
+
+
+def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
+
+_MOST = 63  # times that a mark can say: its other two bits are the cell
 
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for cells, rows in _chunks(batches):
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            w = np.concatenate(rows)
-            cell = np.repeat(np.array([c for (c,) in cells], dtype=np.int64), sizes)
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
-            for before in (v, np.full(len(w), _WORD, dtype=np.uint64)):
-                _, first, of = np.unique(mixed(before, w), return_index=True, return_inverse=True)
-                n = np.bincount(of * 4 + cell, minlength=4 * len(first)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (before, w)] + [pa.array(n[:, k]) for k in range(4)], schema=schema)
-
-    rows = map_arrow(train.select("text", "cell"), run, "v bigint, w bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
-    summed = rows.groupBy("v", "w").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
-    # what no model keeps goes here: bigrams and words under LEAST in both folds; the rest of the words is <unk>
-    return summed.where(f"n0 + n1 >= {LEAST} or n2 + n3 >= {LEAST}")
+
+def counts(train: DataFrame, parts: int) -> DataFrame:
+    """``v, w, n0 .. n3``: how often each bigram of ``text, cell`` stands in each cell, each word, with v = 0, and all
+    words, with v = w = 0; bigrams and words under LEAST in both folds are left out.
+
+    Each chunk of texts sends a task the bigrams that end in the task's words: words, how many entries each has, and
+    for each entry the word before and a byte with cell and times.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for cells, rows in _chunks(batches, CHUNK_WORDS):
+            w, v, sizes = _before(rows)
+            if not len(w):
+                continue
+            cell = np.repeat(np.array([c for (c,) in cells], dtype=np.uint8), sizes)
+            order = np.lexsort((cell, v, w))
+            w, v, cell = w[order], v[order], cell[order]
+            first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (cell[1:] != cell[:-1])])
+            times = np.diff(np.r_[first, len(w)])
+            # what a byte can't say is said by several entries
+            of = np.repeat(np.arange(len(first)), -(-times // _MOST))
+            last = np.r_[of[1:] != of[:-1], True]
+            times = np.where(last, (times[of] - 1) % _MOST + 1, _MOST)
+            w, v, mark = w[first][of], v[first][of], (times.astype(np.uint8) << 2 | cell[first][of]).astype(np.uint8)
+            start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            runs = np.diff(np.r_[start, len(w)]).astype(np.uint32)
+            cuts = np.searchsorted(_parts(w[start], parts), np.arange(parts + 1))
+            for p in range(parts):
+                a, b = int(cuts[p]), int(cuts[p + 1])
+                if a < b:
+                    x, y = int(start[a]), int(start[b]) if b < len(start) else len(w)
+                    yield _row(schema, p=p, words=w[start[a:b]].tobytes(), runs=runs[a:b].tobytes(), before=v[x:y].tobytes(), marks=mark[x:y].tobytes())
+
+    def add(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            w = np.concatenate([np.repeat(np.frombuffer(x, np.uint64), np.frombuffer(r, np.uint32)) for x, r, _, _ in held])
+            v = np.concatenate([np.frombuffer(b, np.uint64) for _, _, b, _ in held])
+            mark = np.concatenate([np.frombuffer(m, np.uint8) for *_, m in held])
+            order = np.lexsort((v, w))
+            w, v, mark = w[order], v[order], mark[order]
+            n = np.zeros((len(w), 4), dtype=np.int64)
+            n[np.arange(len(w)), mark & 3] = mark >> 2
+            new_w = np.r_[True, w[1:] != w[:-1]]
+            pair = np.flatnonzero(new_w | np.r_[True, v[1:] != v[:-1]])
+            word = np.flatnonzero(new_w)
+            for at, is_pair in ((pair, True), (word, False)):
+                total = np.add.reduceat(n, at, axis=0)
+                keep = (total[:, 0] + total[:, 1] >= LEAST) | (total[:, 2] + total[:, 3] >= LEAST)
+                before = v[at[keep]] if is_pair else np.zeros(int(keep.sum()), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(w[at[keep]].view(np.int64)), *(pa.array(total[keep, k]) for k in range(4))], schema=schema)
+            whole = n.sum(axis=0)
+            yield _row(schema, v=0, w=0, **{f"n{k}": int(whole[k]) for k in range(4)})
+
+        for batch in batches:
+            for p, *payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part and held:
+                    yield from summed()
+                    held.clear()
+                part = p
+                held.append(payload)
+        if held:
+            yield from summed()
+
+    dealt = map_arrow(train.select("text", "cell"), deal, "p int, words binary, runs binary, before binary, marks binary")
+    dealt = dealt.repartitionById(parts, F.col("p")).sortWithinPartitions("p")
+    return map_arrow(dealt, add, "v bigint, w bigint, n0 bigint, n1 bigint, n2 bigint, n3 bigint")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Weights by gram, and what all documents share.
 
-    The table is ``v, w, a0 .. a3``: what the gram adds to the loss under each cell's model; v is 0 for a word
-    and w is 2 after a last word. The array has, for each cell, the loss of ``<unk>`` and what a text's start adds.
+    The table is ``v, w, n, a0 .. a3``: what the gram adds to the loss under each cell's model, and how often it stands in
+    all corpora; v is 0 for a word and w is 2 after a last word. The array has, for each cell, the loss of ``<unk>`` and
+    what a text's start adds.
     """
-    kind = id_kind(docs)
-    chosen = roles(docs, labels)
-    rows = ids_and(docs, name="id").join(chosen.hint("merge"), F.col("id") == F.col("train_id")).select("text", "cell")
-    # the words of each cell: with the counts of the words kept they give those of <unk>
-    kept = durable(counts(rows.where("text is not null")))
-    totals = durable(_sizes(rows))
-    words = np.zeros(4)
-    for r in totals.collect():  # four rows
-        words[r.cell] = r.n
+    chosen = durable(roles(docs, labels))
+    n_train = chosen.count()
+    # ids of a checked size are broadcast, so that texts stay where they are; more ids meet the texts in a sorted join
+    chosen = F.broadcast(chosen) if n_train <= BROADCAST_IDS else chosen.hint("merge")
+    rows = ids_and(docs, name="id").join(chosen, F.col("id") == F.col("train_id")).select("text", "cell")
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = durable(counts(rows, max(shuffled, -(-n_train // TASK_DOCS))))
+    totals = kept.where("v = 0 and w = 0").agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(4)]).first()
+    words = np.array([float(totals[f"n{k}"]) for k in range(4)])
+    kept = kept.where("w <> 0")
     keeps = [f"n{2 * g} + n{2 * g + 1} >= {LEAST}" for g in (0, 1)]
     single = kept.where("v = 0")
     seen = single.agg(*[F.coalesce(F.sum(F.when(F.expr(keeps[k // 2]), F.col(f"n{k}"))), F.lit(0)).alias(f"c{k}") for k in range(4)], *[F.count(F.when(F.expr(x), 1)).alias(f"v{g}") for g, x in enumerate(keeps)]).first()
@@ -164,8 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray]:
     follows = durable(pairs.groupBy("v").agg(*[F.sum(F.when(F.expr(keeps[k // 2]), F.col(f"n{k}")).otherwise(0)).alias(f"x{k}") for k in range(4)]).withColumnRenamed("v", "context"))
     first = follows.where(f"context = {_START}").first()
     start = np.array([np.log(((first[f"x{k}"] if first else 0) + ALPHA) / ALPHA) for k in range(4)])
-    by_word = single.join(follows, F.col("w") == F.col("context"), "left").select("v", "w", *[(loss(k, "n{}") + back(k, "x{}")).alias(f"a{k}") for k in range(4)])
-    by_end = follows.select(F.col("context").alias("v"), F.lit(_END).cast("bigint").alias("w"), *[(-back(k, "x{}")).alias(f"a{k}") for k in range(4)])
+    times = (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).alias("n")
+    by_word = single.join(follows, F.col("w") == F.col("context"), "left").select("v", "w", times, *[(loss(k, "n{}") + back(k, "x{}")).alias(f"a{k}") for k in range(4)])
+    by_end = follows.select(F.col("context").alias("v"), F.lit(_END).cast("bigint").alias("w"), F.lit(LEAST).cast("bigint").alias("n"), *[(-back(k, "x{}")).alias(f"a{k}") for k in range(4)])
     alone = single.select(F.col("w").alias("word"), *[F.col(f"n{k}").alias(f"c{k}") for k in range(4)])
 
     def correction(k: int) -> Column:
@@ -173,26 +245,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, np.ndarray]:
         seen_loss = -F.log((F.col(f"n{k}") + ALPHA * p1) / (F.col(f"x{k}") + ALPHA))
         return F.when(F.expr(keeps[k // 2]), seen_loss - loss(k, "c{}") - back(k, "x{}")).otherwise(F.lit(0.0))
 
-    by_pair = pairs.join(alone, F.col("w") == F.col("word")).join(follows, F.col("v") == F.col("context")).select("v", "w", *[correction(k).alias(f"a{k}") for k in range(4)])
+    by_pair = pairs.join(alone, F.col("w") == F.col("word")).join(follows, F.col("v") == F.col("context")).select("v", "w", times, *[correction(k).alias(f"a{k}") for k in range(4)])
     return by_word.unionByName(by_end).unionByName(by_pair), np.stack([unknown, start])
 
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    """``cell, n``: the words of each cell."""
-
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(4, dtype=np.int64)
-        for batch in batches:
-            for text, cell in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                n[cell] += len(plain_words(text))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4), pa.int32()), pa.array(n)], schema=schema)
-
-    return map_arrow(rows, run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
 #: What a task gets: weights (kind 0), then the grams of chunks (kind 1) and the rows of chunks (kind 2).
-_DEALT = "p int, kind int, code bigint, a0 double, a1 double, a2 double, a3 double, chunk bigint, codes binary, times binary, owners binary, ids array<{id}>, folds binary, sizes array<bigint>"
-_BACK = "chunk bigint, kind int, owners binary, losses binary, ids array<{id}>, folds binary, sizes array<bigint>"
+_DEALT = "p int, kind int, code bigint, a0 double, a1 double, a2 double, a3 double, chunk bigint, codes binary, times binary, owners binary, ids array<{id}>, sizes array<int>, losses binary"
+_BACK = "chunk bigint, kind int, owners binary, ids array<{id}>, sizes array<int>, losses binary"
 SCORES = "doc_id {id}, n_words bigint, target_loss double, background_loss double, score double"
 
 
@@ -201,40 +260,65 @@ def _parts(code: np.ndarray, n: int) -> np.ndarray:
     return ((code >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _grams(docs: DataFrame, parts: int, kind: str) -> DataFrame:
-    """The grams of every chunk of texts, dealt to tasks."""
+def _codes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of grams; a single word's has the lowest bit, for a word that the weights lack is ``<unk>``."""
+    code = mixed(v, w)
+    return np.where(v == _WORD, code | np.uint64(1), code & ~np.uint64(1))
+
+
+_FOLD = np.uint16(1 << 15)  # an owner's highest bit is its fold, the others its place in the chunk
 
-    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        def row(**values) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
 
+def _added(gains: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners that occur, and the sums of their gains under target and background of the other fold."""
+    found, of = np.unique(owners, return_inverse=True)
+    other = np.where(owners & _FOLD, 0, 2)
+    at = np.arange(len(owners))
+    return found, np.stack([np.bincount(of, weights=gains[at, other + m], minlength=len(found)) for m in (0, 1)], axis=1)
+
+
+def _found(codes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where asked codes stand in sorted ones, and whether they do."""
+    if not len(codes):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+    return at, codes[at] == asked
+
+
+def _grams(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], start: np.ndarray, parts: int, kind: str) -> DataFrame:
+    """The grams of every chunk of texts that the head lacks, dealt to tasks, and what the head and the texts' starts,
+    by fold, add to its rows."""
+    shipped = docs.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        known, weights = shipped.value
         number = TaskContext.get().partitionId() << 32
-        for extra, rows in _chunks(batches):
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            w = np.concatenate(rows)
-            owner = np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
+        for extra, rows in _chunks(batches, CHUNK_WORDS):
+            w, v, sizes = _before(rows)
             full = np.flatnonzero(sizes)
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[(np.cumsum(sizes) - sizes)[full]] = _START
             last = w[(np.cumsum(sizes) - 1)[full]]
-            code = np.concatenate([mixed(np.full_like(w, _WORD), w), mixed(v, w), mixed(last, np.full_like(last, _END))])
-            # a single word's gram is told by its lowest bit, for what the weights lack is <unk>
-            code = np.concatenate([code[: len(w)] | np.uint64(1), code[len(w) :] & ~np.uint64(1)])
-            owner = np.concatenate([owner, owner, full.astype(np.uint32)])
+            fold_of = np.array([f for _, f in extra], dtype=np.uint16) << np.uint16(15)
+            place = np.arange(len(rows), dtype=np.uint16) | fold_of
+            owner = np.repeat(place, sizes)
+            code = np.concatenate([_codes(np.zeros_like(w), w), _codes(v, w), _codes(last, np.full_like(last, _END))])
+            owner = np.concatenate([owner, owner, place[full]])
             order = np.argsort(code, kind="stable")
             code, owner = code[order], owner[order]
             first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
-            times = np.diff(np.r_[first, len(code)]).astype(np.uint32)
-            distinct = code[first]
-            cuts = np.searchsorted(_parts(distinct, parts), np.arange(parts + 1))
+            times = np.diff(np.r_[first, len(code)])
+            at, hit = _found(known, code[first])
+            here = np.repeat(hit, times)
+            owners, sums = _added(weights[np.repeat(at[hit], times[hit])], owner[here])
+            losses = start[fold_of >> np.uint16(15)]
+            losses[owners & ~_FOLD] += sums
+            code, times, owner = code[first][~hit], times[~hit].astype(np.uint32), owner[~here]
+            stop = np.r_[0, np.cumsum(times, dtype=np.int64)]
+            cuts = np.searchsorted(_parts(code, parts), np.arange(parts + 1))
             for p in range(parts):
                 a, b = int(cuts[p]), int(cuts[p + 1])
                 if a < b:
-                    x, y = int(first[a]), int(first[b]) if b < len(first) else len(code)
-                    yield row(p=p, kind=1, chunk=number, codes=distinct[a:b].tobytes(), times=times[a:b].tobytes(), owners=owner[x:y].tobytes())
-            folds = np.array([f for _, f in extra], dtype=np.uint8)
-            yield row(p=number % parts, kind=2, chunk=number, ids=[i for i, _ in extra], folds=folds.tobytes(), sizes=sizes.tolist())
+                    yield _row(schema, p=p, kind=1, chunk=number, codes=code[a:b].tobytes(), times=times[a:b].tobytes(), owners=owner[stop[a] : stop[b]].tobytes())
+            yield _row(schema, p=number % parts, kind=2, chunk=number, ids=[i for i, _ in extra], sizes=sizes.tolist(), losses=losses.tobytes())
             number += 1
 
     texts = ids_and(docs, name="id").select("text", "id", fold("id").alias("fold"))
@@ -246,97 +330,110 @@ def _coded(weights: DataFrame, parts: int, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, w = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            code = mixed(v, w)
-            code = np.where(v == _WORD, code | np.uint64(1), code & ~np.uint64(1))
-            known = {"p": pa.array(_parts(code, parts).astype(np.int32)), "kind": pa.array(np.zeros(len(v), np.int32)), "code": pa.array(code.view(np.int64))}
+            code = _codes(*(batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)))
+            known = {"p": pa.array(_parts(code, parts).astype(np.int32)), "kind": pa.array(np.zeros(len(code), np.int32)), "code": pa.array(code.view(np.int64))}
             known |= {f"a{k}": batch.column(2 + k) for k in range(4)}
-            yield pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(v), f.type)) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(code), f.type)) for f in schema], schema=schema)
 
-    return map_arrow(weights, run, _DEALT.format(id=kind))
+    return map_arrow(weights.select("v", "w", "a0", "a1", "a2", "a3"), run, _DEALT.format(id=kind))
 
 
 def _weighed(dealt: DataFrame, unknown: np.ndarray, kind: str) -> DataFrame:
-    """What each task's grams add to the losses of each chunk's rows under all four models."""
+    """What each task's grams add to the losses of each chunk's rows."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        part, parts_of = None, []
+        part, new = None, []
         codes, weights = np.zeros(0, dtype=np.uint64), np.zeros((0, 4))
         for batch in batches:
             column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
             p, kinds = (column[c].to_numpy(zero_copy_only=False) for c in ("p", "kind"))
-            for a, b in zip(edges := np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (kinds[1:] != kinds[:-1])]), np.r_[edges[1:], len(p)]):
+            edges = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (kinds[1:] != kinds[:-1])]).tolist() if len(p) else []
+            for a, b in zip(edges, [*edges[1:], len(p)]):
                 if p[a] != part:
-                    part, parts_of = p[a], []
+                    part, new = p[a], []
                     codes, weights = np.zeros(0, dtype=np.uint64), np.zeros((0, 4))
                 if kinds[a] == 0:
-                    one = slice(a, b)
-                    parts_of.append((column["code"].fill_null(0).to_numpy(zero_copy_only=False)[one].view(np.uint64), np.stack([column[f"a{k}"].to_numpy(zero_copy_only=False)[one] for k in range(4)], axis=1)))
+                    some = {c: column[c].slice(a, b - a).to_numpy(zero_copy_only=False) for c in ("code", "a0", "a1", "a2", "a3")}
+                    new.append((some["code"].view(np.uint64), np.stack([some[f"a{k}"] for k in range(4)], axis=1)))
                     continue
-                if parts_of:
-                    codes, weights = (np.concatenate(x) for x in zip(*parts_of))
+                if new:
+                    codes, weights = (np.concatenate(x) for x in zip(*new))
                     order = np.argsort(codes, kind="stable")
-                    codes, weights, parts_of = codes[order], weights[order], []
+                    codes, weights, new = codes[order], weights[order], []
                 for i in range(a, b):
-                    value = lambda c: column[c][i].as_py()  # noqa: E731, B023
+                    value = {c: column[c][i].as_py() for c in ("chunk", "codes", "times", "owners", "ids", "sizes", "losses")}
                     if kinds[a] == 2:
-                        values = {"chunk": value("chunk"), "kind": 0, "ids": value("ids"), "folds": value("folds"), "sizes": value("sizes")}
-                    else:
-                        asked = np.frombuffer(value("codes"), dtype=np.uint64)
-                        gains = np.where((asked & np.uint64(1) == 1)[:, None], unknown, 0.0)
-                        if len(codes):
-                            at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
-                            hit = codes[at] == asked
-                            gains[hit] = weights[at[hit]]
-                        times = np.frombuffer(value("times"), dtype=np.uint32)
-                        owners, of = np.unique(np.frombuffer(value("owners"), dtype=np.uint32), return_inverse=True)
-                        gain = np.repeat(gains, times, axis=0)
-                        losses = np.stack([np.bincount(of, weights=gain[:, k], minlength=len(owners)) for k in range(4)], axis=1)
-                        values = {"chunk": value("chunk"), "kind": 1, "owners": owners.tobytes(), "losses": losses.tobytes()}
-                    yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+                        yield _row(schema, kind=0, **{c: value[c] for c in ("chunk", "ids", "sizes", "losses")})
+                        continue
+                    asked = np.frombuffer(value["codes"], dtype=np.uint64)
+                    gains = np.where((asked & np.uint64(1) == 1)[:, None], unknown, 0.0)
+                    at, hit = _found(codes, asked)
+                    gains[hit] = weights[at[hit]]
+                    owners, losses = _added(np.repeat(gains, np.frombuffer(value["times"], dtype=np.uint32), axis=0), np.frombuffer(value["owners"], dtype=np.uint16))
+                    some = losses.any(axis=1)
+                    yield _row(schema, chunk=value["chunk"], kind=1, owners=owners[some].tobytes(), losses=losses[some].tobytes())
 
     return map_arrow(dealt, run, _BACK.format(id=kind))
 
 
-def _summed(back: DataFrame, start: np.ndarray, kind: str) -> DataFrame:
+def _summed(back: DataFrame, kind: str) -> DataFrame:
     """The losses of every row of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         head, total = None, None
 
         def done() -> pa.RecordBatch:
-            _, ids, folds, sizes = head
-            some = sizes > 0
-            rows = np.arange(len(sizes))
-            models = 2 * (1 - np.frombuffer(folds, dtype=np.uint8).astype(np.int64))  # of the other fold
-            mean = [(total[rows, models + m] + start[models + m]) / np.maximum(sizes, 1) for m in (0, 1)]
-            columns = [pa.array(ids, schema.field(0).type), pa.array(sizes)] + [pa.array(x, mask=~some) for x in (*mean, mean[0] - mean[1])]
+            ids, sizes = head
+            mean = total / np.maximum(sizes, 1)[:, None]
+            columns = [pa.array(ids, schema.field(0).type), pa.array(sizes)] + [pa.array(x, mask=sizes == 0) for x in (mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1])]
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
-            for chunk, kinds, owners, losses, ids, folds, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, kinds, owners, ids, sizes, losses in zip(*(c.to_pylist() for c in batch.columns)):
                 if kinds == 0:
                     if head is not None:
                         yield done()
-                    head, total = (chunk, ids, folds, np.array(sizes, dtype=np.int64)), np.zeros((len(sizes), 4))
+                    head, total = (ids, np.array(sizes, dtype=np.int64)), np.frombuffer(losses).reshape(-1, 2).copy()
                 else:
-                    total[np.frombuffer(owners, dtype=np.uint32)] += np.frombuffer(losses).reshape(-1, 4)
+                    found = np.frombuffer(owners, dtype=np.uint16)
+                    total[found & ~_FOLD] += np.frombuffer(losses).reshape(-1, 2)
         if head is not None:
             yield done()
 
     return map_arrow(back, run, SCORES.format(id=kind))
 
 
+def _head(weights: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The codes and weights of the most frequent grams, at most ``HEAD``, and the weights left."""
+    top = 1 << 14  # counts above it are told apart no further
+    by_count = sorted(weights.groupBy(F.least("n", F.lit(top).cast("bigint")).alias("n")).agg(F.count("*").alias("grams")).collect(), reverse=True)  # a row for each count
+    least, total = top + 1, 0
+    for n, grams in by_count:
+        total += grams
+        if total > HEAD:
+            break
+        least = n
+    chosen = F.least("n", F.lit(top).cast("bigint")) >= least
+    rows = weights.where(chosen).select("v", "w", "a0", "a1", "a2", "a3").toArrow()
+    v, w = (rows.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+    codes = _codes(v, w)
+    order = np.argsort(codes)
+    return (codes[order], np.stack([rows.column(2 + k).to_numpy() for k in range(4)], axis=1)[order]), weights.where(~chosen)
+
+
 def score(docs: DataFrame, weights: DataFrame, shared: np.ndarray) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` of every row, by what ``fit`` returns."""
     kind = id_kind(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weights = durable(weights)
-    parts = max(n, -(-weights.count() // TASK_GRAMS))
-    dealt = _coded(weights, parts, kind).unionByName(_grams(docs, parts, kind))
+    head, rest = _head(weights)
+    parts = max(n, -(-rest.count() // TASK_GRAMS))
+    # the models of a document's start are those of the other fold
+    start = np.stack([shared[1][2:], shared[1][:2]])
+    dealt = _coded(rest, parts, kind).unionByName(_grams(docs, head, start, parts, kind))
     dealt = dealt.repartitionById(parts, F.col("p")).sortWithinPartitions("p", "kind")
     back = _weighed(dealt, shared[0], kind)
-    return _summed(back.repartition(n, "chunk").sortWithinPartitions("chunk", "kind"), shared[1], kind)
+    return _summed(back.repartition(n, "chunk").sortWithinPartitions("chunk", "kind"), kind)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
