@@ -192,6 +192,7 @@ class Codec:
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.lengths = np.array([len(b) for b in self.bytes_of] or [0], dtype=np.int64)
         self.names = [str(i).encode() for i in range(len(self.bytes_of))]
         self.cache: dict[str, tuple[int, ...]] = {}
         whole = range(len(self.bytes_of))
@@ -332,7 +333,19 @@ class Codec:
 
     def byte_offsets(self, ids: list[int]) -> np.ndarray:
         """Where each token starts in the text's bytes, and after them the text's length."""
-        return np.concatenate([[0], np.cumsum(np.fromiter((len(self.bytes_of[i]) for i in ids), np.int64, len(ids)))])
+        return np.concatenate([[0], np.cumsum(self.lengths[np.fromiter(ids, np.int64, len(ids))])])
+
+    def decode_by_offsets(self, ids: list[int], offsets: np.ndarray, size: int = 1 << 20) -> Iterator[bytes]:
+        """The bytes of ids in pieces of about ``size``, cut where the offsets say that tokens start.
+
+        Raises ValueError where a piece has not the length that its offsets say.
+        """
+        cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, int(offsets[-1]), size)), len(ids))).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            piece = self.decode(ids[a:b])
+            if len(piece) != offsets[b] - offsets[a]:
+                raise ValueError("offsets do not fit the ids")
+            yield piece
 
 
 _codecs: dict[int, Codec] = {}
@@ -378,21 +391,30 @@ def encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: st
 
 
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
-    """Bytes of ``doc_id, ids``: ``doc_id, decoded binary``; null ids: no bytes."""
+    """Bytes of ``doc_id, ids, offsets`` as ``encode`` gives them: ``doc_id, decoded binary``; null ids: no bytes.
+
+    Raises ValueError where the offsets do not fit the ids.
+    """
     ranks = ship_ranks(encoded.sparkSession, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], schema=schema)
+            out = []
+            for ids, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ends = c.byte_offsets(ids or [])
+                if (ends[:-1] != np.array(starts or [], dtype=np.int64)).any():
+                    raise ValueError("offsets do not fit the ids")
+                out.append(b"".join(c.decode_by_offsets(ids or [], ends)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {id_kind(encoded)}, decoded binary")
+    return map_arrow(encoded.select("doc_id", "ids", "offsets"), run, f"doc_id {id_kind(encoded)}, decoded binary")
 
 
 def digests(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encode every whole text, decode the ids, and return the digests of both, after the ids if asked.
+    """Encode every whole text, decode the ids by their offsets, and return the digests of both, after the ids if asked.
 
-    Decoded bytes live for one text at a time, so no batch of them is held.
+    Decoded bytes live for one piece of a text at a time, so no batch of them is held.
     """
     ranks = ship_ranks(docs.sparkSession, rank_path)
 
@@ -403,7 +425,10 @@ def digests(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: s
             for ids in c.encode_batch(as_text(batch.column(1))):
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(b" ".join(map(c.names.__getitem__, ids))).hexdigest())
-                text_digests.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                digest = hashlib.sha256()
+                for piece in c.decode_by_offsets(ids, c.byte_offsets(ids)):
+                    digest.update(piece)
+                text_digests.append(digest.hexdigest())
                 if with_ids:
                     kept.append(np.array(ids, dtype=np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]

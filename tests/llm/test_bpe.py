@@ -78,3 +78,18 @@ def test_new_pieces_merge_in_bounded_slices(both, monkeypatch):
     text = " ".join("".join(r.choice("abcdefxyz") for _ in range(r.randrange(5, 40))) for _ in range(800))
     assert list(codec.encode_batch([text])) == [theirs.encode_ordinary(text)]
     assert len(seen) > 10 and max(seen) <= 500
+
+
+def test_decoding_by_offsets(both, spark):
+    ours, _ = both
+    text = "é 漢字 \U0001f600 words and   spaces\n" * 3000
+    ids = next(iter(ours.encode_batch([text])))
+    offsets = ours.byte_offsets(ids)
+    pieces = list(ours.decode_by_offsets(ids, offsets, 1000))
+    assert b"".join(pieces).decode() == text and max(map(len, pieces)) < 1100 and len(pieces) > 50
+    with pytest.raises(ValueError):
+        list(ours.decode_by_offsets(ids[1:] + ids[:1], offsets, 1000))
+    assert list(ours.decode_by_offsets([], ours.byte_offsets([]))) == []
+    encoded = bpe.encode(docs(spark, EDGE), PATH)
+    got = sorted((repr(r.doc_id), bytes(r.decoded).decode()) for r in bpe.decode(encoded, PATH).collect())
+    assert got == sorted((repr(i), t or "") for i, t in EDGE)
