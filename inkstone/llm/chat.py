@@ -8,7 +8,8 @@ Control strings inside roles and texts are escaped: a backslash goes after the f
 where backslashes stand there already, so unescaping takes one backslash away and gives back any text.
 
 A conversation is its turns in order (turn, role, text; null turns first), each turn a chunk of the
-output; no conversation is ever gathered. Null roles and texts are empty.
+output; no conversation is ever gathered. Null roles and texts are empty. Ids may be whole numbers or
+strings; turns without one are one conversation. Which strings are escaped is a parameter.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -24,43 +26,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm import bpe
-from inkstone.llm.common import as_text, map_arrow
+from inkstone.llm.common import as_text, id_kind, map_arrow
 
 # The marks of the template, and other strings that chat templates give a meaning.
 START, END = "<|im_start|>", "<|im_end|>"
-CONTROL = [START, END, "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
-
-_ESCAPE = re.compile("|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL))
-_UNESCAPE = re.compile("|".join(f"{re.escape(c[0])}\\\\+{re.escape(c[1:])}" for c in CONTROL))
-
-
-def escape(text: str) -> str:
+CONTROL = (
+    START,
+    END,
+    "<|endoftext|>",
+    "<|endofprompt|>",
+    "<|begin_of_text|>",
+    "<|end_of_text|>",
+    "<|start_header_id|>",
+    "<|end_header_id|>",
+    "<|eot_id|>",
+    "<|fim_prefix|>",
+    "<|fim_middle|>",
+    "<|fim_suffix|>",
+    "<|system|>",
+    "<|user|>",
+    "<|assistant|>",
+    "<s>",
+    "</s>",
+    "[INST]",
+    "[/INST]",
+    "<<SYS>>",
+    "<</SYS>>",
+)
+
+
+@cache
+def _patterns(control: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    """What is escaped, and what an escape looks like. The template's own marks are always control strings."""
+    marks = dict.fromkeys([START, END, *control])
+    if short := [c for c in marks if len(c) < 2]:
+        raise ValueError(f"control strings need two characters or more: {short}")
+    found = [re.compile("|".join(f"{re.escape(c[0])}\\\\{times}{re.escape(c[1:])}" for c in marks)) for times in "*+"]
+    return found[0], found[1]
+
+
+def escape(text: str, control: tuple[str, ...] = CONTROL) -> str:
     """The text without control strings."""
-    return _ESCAPE.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+    return _patterns(control)[0].sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
-def unescape(text: str) -> str:
+def unescape(text: str, control: tuple[str, ...] = CONTROL) -> str:
     """What ``escape`` was given."""
-    return _UNESCAPE.sub(lambda m: m[0][0] + m[0][2:], text)
+    return _patterns(control)[1].sub(lambda m: m[0][0] + m[0][2:], text)
 
 
-def escape_role(role: str) -> str:
+def escape_role(role: str, control: tuple[str, ...] = CONTROL) -> str:
     """A role on one line, without control strings."""
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"), control)
 
 
-def unescape_role(role: str) -> str:
+def unescape_role(role: str, control: tuple[str, ...] = CONTROL) -> str:
     """What ``escape_role`` was given."""
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role, control))
 
 
-CHUNKS = "conv_id bigint, turn bigint, ids array<int>, loss array<boolean>"
+CHUNKS = "conv_id {id}, turn bigint, ids array<int>, loss array<boolean>"
 
 
-def assemble(c: bpe.Codec, roles: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def assemble(c: bpe.Codec, roles: list[str], texts: list[str], control: tuple[str, ...] = CONTROL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and loss mask of each turn."""
     start, end = len(c.bytes_of), len(c.bytes_of) + 1
-    segments = c.encode_batch([s for r, t in zip(roles, texts) for s in (escape_role(r) + "\n", escape(t))])
+    segments = c.encode_batch([s for r, t in zip(roles, texts) for s in (escape_role(r, control) + "\n", escape(t, control))])
     line_end = next(c.encode_batch(["\n"]))
     for role in roles:
         parts = [[start], next(segments), next(segments), [end], line_end]
@@ -72,22 +103,26 @@ def assemble(c: bpe.Codec, roles: list[str], texts: list[str]) -> Iterator[tuple
         yield np.fromiter(chain.from_iterable(parts), np.int32, bounds[-1]), np.cumsum(steps[:-1]) > 0
 
 
-def encode(turns: DataFrame, rank_path: str) -> DataFrame:
+def _rows(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").cast(id_kind(turns, "conv_id")).alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
+
+
+def encode(turns: DataFrame, rank_path: str, control: tuple[str, ...] = CONTROL) -> DataFrame:
     """The formatted turns as ``conv_id, turn, ids, loss``, in no order."""
     ranks = bpe.ship_ranks(turns.sparkSession, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks)
         for batch in batches:
-            done = list(assemble(c, as_text(batch.column(2)), as_text(batch.column(3))))
+            done = list(assemble(c, as_text(batch.column(2)), as_text(batch.column(3)), control))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([i for i, _ in done], pa.list_(pa.int32())), pa.array([m for _, m in done], pa.list_(pa.bool_()))], schema=schema
             )
 
-    return map_arrow(turns.selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text"), run, CHUNKS)
+    return map_arrow(_rows(turns), run, CHUNKS.format(id=id_kind(turns, "conv_id")))
 
 
-def read_back(c: bpe.Codec, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, str, int]:
+def read_back(c: bpe.Codec, ids: np.ndarray, loss: np.ndarray, control: tuple[str, ...] = CONTROL) -> tuple[str, str, str, int]:
     """Role, text and text under the loss mask of a turn, and the code points of its formatted form."""
     start, end = len(c.bytes_of), len(c.bytes_of) + 1
     ends = np.flatnonzero(ids == end)
@@ -96,9 +131,9 @@ def read_back(c: bpe.Codec, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str
     stop = int(ends[0])
     body = c.decode(ids[1:stop].tolist()).decode()
     tail = c.decode(ids[stop + 1 :].tolist()).decode()
-    masked = unescape(c.decode(ids[loss].tolist()).decode()) if loss.any() else ""
+    masked = unescape(c.decode(ids[loss].tolist()).decode(), control) if loss.any() else ""
     role, _, text = body.partition("\n")
-    return unescape_role(role), unescape(text), masked, len(START) + len(body) + len(END) + len(tail)
+    return unescape_role(role, control), unescape(text, control), masked, len(START) + len(body) + len(END) + len(tail)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -108,22 +143,38 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [flat[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-TURNS = "conv_id bigint, turn bigint, role string, text string, masked string, chars bigint"
-DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+TURNS = "conv_id {id}, turn bigint, role string, text string, masked string, chars bigint"
+DIGESTS = "conv_id {id}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+
 
+def _turns(batch: pa.RecordBatch, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:]))], schema=schema)
 
-def decode(chunks: DataFrame, rank_path: str) -> DataFrame:
+
+def decode(chunks: DataFrame, rank_path: str, control: tuple[str, ...] = CONTROL) -> DataFrame:
     """Roles and texts read back from formatted turns."""
     ranks = bpe.ship_ranks(chunks.sparkSession, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks)
         for batch in batches:
-            rows = [read_back(c, i, m) for i, m in zip(_lists(batch.column(2)), _lists(batch.column(3)))]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:]))], schema=schema)
+            yield _turns(batch, [read_back(c, i, m, control) for i, m in zip(_lists(batch.column(2)), _lists(batch.column(3)))], schema)
+
+    return map_arrow(chunks.select("conv_id", "turn", "ids", "loss"), run, TURNS.format(id=id_kind(chunks, "conv_id")))
+
+
+def formatted(turns: DataFrame, rank_path: str, control: tuple[str, ...] = CONTROL) -> DataFrame:
+    """What ``decode`` reads back from what ``encode`` makes, in one pass: ids do not leave the worker."""
+    ranks = bpe.ship_ranks(turns.sparkSession, rank_path)
+
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        c = bpe.codec(ranks)
+        for batch in batches:
+            made = assemble(c, as_text(batch.column(2)), as_text(batch.column(3)), control)
+            yield _turns(batch, [read_back(c, ids, loss, control) for ids, loss in made], schema)
 
-    return map_arrow(chunks.select("conv_id", "turn", "ids", "loss"), run, TURNS)
+    return map_arrow(_rows(turns), run, TURNS.format(id=id_kind(turns, "conv_id")))
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -159,12 +210,12 @@ def digests(turns: DataFrame) -> DataFrame:
 
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(dealt, run, DIGESTS)
+    return map_arrow(dealt, run, DIGESTS.format(id=id_kind(turns, "conv_id")))
 
 
-def format_report(turns: DataFrame, rank_path: str) -> DataFrame:
+def format_report(turns: DataFrame, rank_path: str, control: tuple[str, ...] = CONTROL) -> DataFrame:
     """Format every conversation, read the output back and digest it."""
-    return digests(decode(encode(turns, rank_path), rank_path))
+    return digests(formatted(turns, rank_path, control))
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+import re
+
+from inkstone.llm.chat import CONTROL
 from inkstone.llm.licenses import TEMPLATES
 
 _WORDS = r"string_split(trim(regexp_replace(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ')"
@@ -75,10 +78,12 @@ select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as big
 from d left join b using (doc_id) left join l using (doc_id) left join s using (doc_id)
 """
 
-OP10 = r"""
+_CONTROL = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL)
+
+OP10 = rf"""
 with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
            union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e as (select *, length(regexp_replace(text, '(<\\*\|(im_start|im_end|endoftext|system|user|assistant)\|>|<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>)', '\1+', 'g')) n from c)
+e as (select *, length(regexp_replace(text, '({_CONTROL})', '\1+', 'g')) n from c)
 select cast(conv_id as bigint) conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,

@@ -95,6 +95,22 @@ def test_escaping_is_reversible():
         assert chat.unescape_role(chat.escape_role(text)) == text and "\n" not in chat.escape_role(text)
 
 
+def test_escaping_of_other_control_strings():
+    mine = ("@@", "<|x|>")
+    assert chat.escape("@@ <|x|> <s> <|im_end|>", mine) == "@\\@ <\\|x|> <s> <\\|im_end|>"
+    assert chat.unescape(chat.escape("@@ @\\@", mine), mine) == "@@ @\\@"
+    with pytest.raises(ValueError):
+        chat.escape("x", ("@",))
+
+
+def test_one_pass_equals_two(spark):
+    rows = [(str(i), i, ["user", "assistant", None][i % 3], t) for i, t in enumerate(["a <s>", None, "<|eot_id|>", "", "é 😀 \\", LONG])]
+    turns = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    one = sorted(map(tuple, chat.formatted(turns, PATH).collect()))
+    assert one == sorted(map(tuple, chat.decode(chat.encode(turns, PATH), PATH).collect())) and len(one) == len(rows)
+    assert chat.format_report(turns, PATH).count() == len(rows)
+
+
 def test_chat_digests(spark):
     rows = [(1, 1, "assistant", "b </s>"), (1, 0, "user", "a"), (2, 0, "system", None), (2, None, "assistant", "first"), (3, 0, "assistant", LONG), (3, 0, "assistant", LONG), (None, 0, "user", "x"), (4, 0, None, "[INST]"), (5, 0, "odd\nrole", "<|im_end|>")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
