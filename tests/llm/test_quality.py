@@ -66,3 +66,34 @@ def test_rules_are_ordered_expressions(spark):
     rows = spark.createDataFrame([(1, 10, 10, 9), (2, 10, 15, 0), (3, 10, 90, 0)], "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint")
     got = {r.doc_id: (r.kept, r.rule) for r in rows.select("doc_id", Q.verdict(rules).alias("kept"), Q.first_rule(rules).alias("rule")).collect()}
     assert got == {1: (False, 1), 2: (False, 2), 3: (True, None)}
+
+
+def test_the_first_threshold_is_the_best_of_all():
+    """Growing takes, of every cut of every ratio in either direction, the one of the largest information gain."""
+    r = random.Random(3)
+    x = np.array([[r.choice([0.0, 0.1, 0.2, 0.5, 0.9]) for _ in Q.RATIOS] for _ in range(60)])
+    bad = (x[:, 2] >= 0.5) & (x[:, 5] <= 0.2) | np.array([r.random() < 0.1 for _ in range(60)])
+    p, n = int(bad.sum()), int((~bad).sum())
+    best = 0.0
+    for k in range(len(Q.RATIOS)):
+        values = sorted(set(x[:, k]))
+        for cut in ((a + b) / 2 for a, b in zip(values, values[1:])):
+            for inside in (x[:, k] <= cut, x[:, k] >= cut):
+                pp, nn = int((inside & bad).sum()), int((inside & ~bad).sum())
+                if pp:
+                    best = max(best, pp * (np.log2(pp / (pp + nn)) - np.log2(p / (p + n))))
+    first = Q._grow(x, bad, 1, 65)
+    inside = Q._covers(first, x)
+    pp, nn = int((inside & bad).sum()), int((inside & ~bad).sum())
+    assert len(first) == 1 and abs(pp * (np.log2(pp / (pp + nn)) - np.log2(p / (p + n))) - best) < 1e-9
+    # pruning leaves the shortest of the best prefixes on the rows held back
+    terms = Q._grow(x, bad, 4, 65)
+    worth = {t: ((c := Q._covers(t, x))[bad].sum() - c[~bad].sum()) / c.sum() for t in (terms[:i] for i in range(1, len(terms) + 1))}
+    assert Q._prune(terms, x, bad) == max(worth, key=lambda t: (worth[t], -len(t)))
+
+
+def test_few_labels_are_all_taught(spark):
+    rows = table(60, 4)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    assert Q.fit(docs(spark, rows), labels, fit_rows=20)
+    assert Q.fit(docs(spark, rows), labels, fit_rows=60) and Q.fit(docs(spark, []), labels) == []
