@@ -333,16 +333,21 @@ class Codec:
 
     def byte_offsets(self, ids: list[int]) -> np.ndarray:
         """Where each token starts in the text's bytes, and after them the text's length."""
-        return np.concatenate([[0], np.cumsum(self.lengths[np.fromiter(ids, np.int64, len(ids))])])
+        out = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(self.lengths[np.array(ids, dtype=np.int64)], out=out[1:])
+        return out
 
     def decode_by_offsets(self, ids: list[int], offsets: np.ndarray, size: int = 1 << 20) -> Iterator[bytes]:
         """The bytes of ids in pieces of about ``size``, cut where the offsets say that tokens start.
 
         Raises ValueError where a piece has not the length that its offsets say.
         """
-        cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, int(offsets[-1]), size)), len(ids))).tolist()
+        total = int(offsets[-1])
+        cuts = [0, len(ids)]
+        if total > size:
+            cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, total, size)), len(ids))).tolist()
         for a, b in zip(cuts, cuts[1:]):
-            piece = self.decode(ids[a:b])
+            piece = self.decode(ids[a:b] if b - a < len(ids) else ids)
             if len(piece) != offsets[b] - offsets[a]:
                 raise ValueError("offsets do not fit the ids")
             yield piece
