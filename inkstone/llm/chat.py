@@ -61,17 +61,31 @@ def _patterns(control: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
     marks = dict.fromkeys([START, END, *control])
     if short := [c for c in marks if len(c) < 2]:
         raise ValueError(f"control strings need two characters or more: {short}")
-    found = [re.compile("|".join(f"{re.escape(c[0])}\\\\{times}{re.escape(c[1:])}" for c in marks)) for times in "*+"]
+    rest: dict[str, list[str]] = {}
+    for c in marks:
+        rest.setdefault(c[0], []).append(re.escape(c[1:]))
+    # one branch for each first character, so that a text is searched for these alone
+    found = [re.compile("|".join(f"{re.escape(a)}\\\\{times}(?:{'|'.join(b)})" for a, b in rest.items())) for times in "*+"]
     return found[0], found[1]
 
 
+@cache
+def _firsts(control: tuple[str, ...]) -> tuple[str, ...]:
+    _patterns(control)  # which refuses what can't be escaped
+    return tuple({c[0] for c in (START, END, *control)})
+
+
 def escape(text: str, control: tuple[str, ...] = CONTROL) -> str:
     """The text without control strings."""
+    if not any(c in text for c in _firsts(control)):
+        return text
     return _patterns(control)[0].sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
 def unescape(text: str, control: tuple[str, ...] = CONTROL) -> str:
     """What ``escape`` was given."""
+    if "\\" not in text:
+        return text
     return _patterns(control)[1].sub(lambda m: m[0][0] + m[0][2:], text)
 
 
