@@ -343,7 +343,7 @@ class Codec:
         Raises ValueError where a piece has not the length that its offsets say.
         """
         total = int(offsets[-1])
-        cuts = [0, len(ids)]
+        cuts = [0, len(ids)] if len(ids) else []
         if total > size:
             cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, total, size)), len(ids))).tolist()
         for a, b in zip(cuts, cuts[1:]):
