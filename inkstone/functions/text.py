@@ -92,12 +92,6 @@ def characters(text: Column) -> Column:
     return F.when(text != "", F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
-def grams(chars: Column, n: int) -> Column:
-    """All runs of n neighbours in an array of code points."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
-    return F.when(F.size(chars) >= n, runs).otherwise(F.array().cast("array<string>"))
-
-
 def syllable(code: Column) -> Column:
     """The character of a code point in the basic plane."""
     return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")

@@ -1,36 +1,60 @@
 """Translation metrics and their statistics: chrF, BLEU, recall families, bootstrap intervals, verdicts.
 
-N-gram counts are exploded once per sentence and summed; scores come from the sums, so a corpus score
-and its bootstrap need no second pass over texts. Scores follow the published definitions (chrF with
+N-gram counts are taken once per sentence, in the sentence's row, and summed; scores come from the sums, so
+a corpus score and its bootstrap need no second pass over texts. Scores follow the published definitions (chrF with
 six character orders and beta 2; BLEU with four orders and exponential smoothing).
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions import text as T
+from inkstone.session import ship_code
 
 CHRF_ORDER, BETA = 6, 2.0
 BLEU_ORDER = 4
 
 
+def gram_counts(hyp: str, ref: str, n: int) -> tuple[int, int, int]:
+    """Character n-grams of both texts, and clipped matches, in code points."""
+    h, r = (Counter([t[i : i + n] for i in range(len(t) - n + 1)]) for t in (hyp, ref))
+    if len(h) > len(r):
+        h, r = r, h
+    get = r.get
+    return max(0, len(hyp) - n + 1), max(0, len(ref) - n + 1), sum([c if c < (o := get(g, 0)) else o for g, c in h.items()])
+
+
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 def ngram_stats(pairs: DataFrame, hyp: str, ref: str, orders: int, *, key: str = "seq", spaces: bool = False) -> DataFrame:
-    """``key, n, hyp, ref, match``: counts of character n-grams and clipped matches of each sentence."""
+    """``key, n, hyp, ref, match``: counts of character n-grams and clipped matches of each row, for the orders that either text has.
 
-    def side(column: str) -> DataFrame:
-        text = F.coalesce(F.col(column), F.lit("")) if spaces else F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"\s+", "")
-        rows = pairs.select(key, T.characters(text).alias("_c"))
-        of_order = lambda n: F.transform(T.grams(F.col("_c"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-        every = F.flatten(F.array(*map(of_order, range(1, orders + 1))))
-        return rows.select(key, F.explode(every).alias("g")).select(key, "g.n", "g.gram")
+    A row's grams are counted in the row, so none of them is shuffled; null texts are empty.
+    """
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for k, h, r in zip(*(c.to_pylist() for c in batch.columns)):
+                h, r = (t or "" if spaces else _BLANK.sub("", t or "") for t in (h, r))
+                for n in range(1, min(orders, max(len(h), len(r))) + 1):
+                    keys.append(k)
+                    out.append((n, *gram_counts(h, r, n)))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=[key, "n", "hyp", "ref", "match"])
 
-    both = side(hyp).withColumn("h", F.lit(1)).withColumn("r", F.lit(0)).unionAll(side(ref).withColumn("h", F.lit(0)).withColumn("r", F.lit(1)))
-    counts = both.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counts.groupBy(key, "n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("match"))
+    ship_code(pairs.sparkSession)
+    rows = pairs.select(key, F.col(hyp).alias("h"), F.col(ref).alias("r"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, n int, hyp bigint, ref bigint, match bigint")
 
 
 def chrf(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -70,11 +94,17 @@ def drawn(rows: DataFrame, key: str, iters: int, seed: int = 0) -> DataFrame:
     Each row is drawn a Poisson number of times with mean 1, by a hash of iteration and key that both engines
     share, so iterations need no row numbers and no join, and sums over them combine before they shuffle.
     """
-    every = rows.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))))
-    mixed = F.md5(F.concat(F.lit(f"{seed}-"), F.col("iter").cast("string"), F.lit("-"), F.col(key).cast("string")))
-    u = F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
-    weight = sum(((u >= F.lit(c)).cast("bigint") for c in POISSON), F.lit(0).cast("bigint"))
-    return every.withColumn("w", weight).where("w > 0")
+
+    def draw(i: Column) -> Column:
+        mixed = F.md5(F.concat(F.lit(f"{seed}-"), i.cast("string"), F.lit("-"), F.col(key).cast("string")))
+        u = F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
+        above = lambda c: F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: c >= p))
+        return F.struct(i.alias("iter"), F.element_at(F.transform(F.array(u), above), 1).cast("bigint").alias("w"))
+
+    every = F.filter(F.transform(F.sequence(F.lit(0), F.lit(iters - 1)), draw), lambda d: d["w"] > 0)
+    # few rows make many: spread them first
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).withColumn("_d", F.explode(every)).select(*rows.columns, "_d.iter", "_d.w")
 
 
 def bootstrap_ratio(rows: DataFrame, hits: str, total: str, order: str, iters: int = 2000, seed: int = 0) -> DataFrame:

@@ -255,7 +255,7 @@ def per_query_examples(queries: DataFrame, pool: DataFrame) -> DataFrame:
     same = F.when(F.col("a") != F.col("q"), F.col("a")).otherwise(F.col("b"))
     near = asked.select("q", F.explode(F.array("less", F.coalesce(same, "more"))).alias("ex")).where("ex is not null")
     firsts = pool.groupBy("pattern").agg(F.min("id").alias("ex"))  # one row for each pattern
-    others = queries.select(F.col("id").alias("q"), F.col("pattern").alias("own")).join(F.broadcast(firsts.agg(F.collect_list(F.struct("pattern", "ex")).alias("f"))))
+    others = queries.select(F.col("id").alias("q"), F.col("pattern").alias("own")).join(firsts.agg(F.collect_list(F.struct("pattern", "ex")).alias("f")))
     rest = others.select("q", "own", F.explode("f").alias("f")).where("f.pattern <> own").select("q", F.col("f.ex").alias("ex"))
     return near.unionByName(rest).distinct()
 
