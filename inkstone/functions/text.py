@@ -198,9 +198,13 @@ def all_labels(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def chunks(text: Column, size: int = 6) -> Column:
-    """The text in pieces of a fixed number of characters."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, (i - 1) * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """The text in pieces of a fixed number of characters; it is cut into characters once."""
+    none = F.array().cast("array<string>")
+
+    def pieces(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(chars), F.lit(size)), lambda i: F.array_join(F.slice(chars, i, F.lit(size)), ""))
+
+    return F.when(text != "", F.element_at(F.transform(F.array(characters(text)), pieces), 1)).otherwise(none)
 
 
 def catalogue_year(doc_id: Column) -> Column:

@@ -189,9 +189,14 @@ def repaired(text: Column, gold: Column, library: Column, letters: str = "가-
     single one is replaced; of several the first that is the library's reading. Names have two characters or more.
     """
     n = F.length(gold)
-    places = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)) == F.substring(gold, 1, 1))
-    chunks = F.transform(places, lambda i: F.struct(i.alias("i"), F.substring(text, i, n).alias("c")))
-    wrong = F.filter(chunks, lambda x: (F.length(x["c"]) == n) & (x["c"] != gold) & x["c"].rlike(f"^[{letters}]+$"))
+
+    def chunks(chars: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: F.get(chars, i - 1) == F.substring(gold, 1, 1))
+        return F.transform(places, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(chars, i, F.greatest(n, F.lit(1))), "").alias("c")))
+
+    # the text is cut into characters once, and a place costs no search from its start
+    found = F.when(text != "", F.element_at(F.transform(F.array(T.characters(text)), chunks), 1))
+    wrong = F.filter(F.coalesce(found, F.array().cast("array<struct<i:int,c:string>>")), lambda x: (F.length(x["c"]) == n) & (x["c"] != gold) & x["c"].rlike(f"^[{letters}]+$"))
     first = F.get(F.filter(wrong, lambda x: x["c"] == library), 0)
     chosen = F.when(F.size(wrong) == 1, F.get(wrong, 0)).otherwise(first)
     has = text.contains(gold)
