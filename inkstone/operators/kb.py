@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 
 MOST_CANDIDATES = 3
-_CANDIDATES = "array<struct<pos:int,kb_id:string,since:int,offices:array<string>>>"
+_CANDIDATES = "array<struct<pos:int,kb_id:string,since:int,needles:array<string>>>"
 
 
 def build_index(people: DataFrame, names: tuple[str, ...] = ("hanja", "hangul")) -> DataFrame:
@@ -24,10 +24,13 @@ def build_index(people: DataFrame, names: tuple[str, ...] = ("hanja", "hangul"))
 
 
 def candidates(index: DataFrame, people: DataFrame) -> DataFrame:
-    """``surface, c``: the entries of each surface in order, with the persons' start and offices; one row a surface."""
-    person = people.select(F.col("kb_id").alias("id"), F.coalesce("active_from", F.lit(0)).alias("since"), "offices")
+    """``surface, c``: the entries of each surface in order, with the persons' start and what of their offices a sentence
+    may hold (an office's name, and what its first brackets hold); one row a surface."""
+    of_office = lambda o: F.array_compact(F.array(F.nullif(T.strip_parens(o), F.lit("")), T.first_paren(o)))
+    needles = F.coalesce(F.flatten(F.transform("offices", of_office)), F.array().cast("array<string>"))
+    person = people.select(F.col("kb_id").alias("id"), F.coalesce("active_from", F.lit(0)).alias("since"), needles.alias("needles"))
     rows = index.where("kb_id is not null").join(person, F.col("kb_id") == F.col("id"), "left")
-    return rows.groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("pos", "kb_id", "since", "offices"))).alias("c"))
+    return rows.groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("pos", "kb_id", "since", "needles"))).alias("c"))
 
 
 def link(mentions: DataFrame, index: DataFrame, people: DataFrame, sentences: DataFrame, ready: DataFrame | None = None) -> DataFrame:
@@ -48,13 +51,8 @@ def link(mentions: DataFrame, index: DataFrame, people: DataFrame, sentences: Da
     timed = found.withColumn("t", F.filter("c", lambda x: F.coalesce(x["since"] <= year, F.lit(False)))).select("seq", "ord", "surface", "type", "c", "t")
     # texts are needed only where two or more candidates remain
     unsure = timed.where((F.size("c") > 1) & (F.size("t") > 1)).join(sentences.select("seq", "original"), "seq")
-
-    def held(office: Column) -> Column:
-        name, inner = T.strip_parens(office), T.first_paren(office)
-        text = F.col("original")
-        return ((name != "") & text.contains(name)) | F.coalesce(text.contains(inner), F.lit(False))
-
-    unsure = unsure.withColumn("o", F.filter("t", lambda x: F.exists(x["offices"], held))).drop("original")
+    held = lambda x: F.coalesce(F.exists(x["needles"], lambda n: F.col("original").contains(n)), F.lit(False))
+    unsure = unsure.withColumn("o", F.filter("t", held)).drop("original")
     sure = timed.where((F.size("c") <= 1) | (F.size("t") <= 1)).withColumn("o", F.slice("t", 1, 0))
     n, nt, no = F.size("c"), F.size("t"), F.size("o")
     stage = F.when(n == 0, "MISS").when(n == 1, "SINGLE").when(nt == 1, "TIME").when(no == 1, "OFFICE").otherwise("AMBIGUOUS")
