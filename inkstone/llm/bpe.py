@@ -85,8 +85,9 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     product = np.array([[ids[tuple(g[x] for x in f)] for g in known] for f in known], dtype=np.uint16)
     constant = np.array([f[0] if len(set(f)) == 1 else 255 for f in known], dtype=np.uint8)
     table = np.full(0x110000, _OTHER, dtype=np.uint8)
+    category = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), dtype=np.uint8)[::2]
     for kind, name in ((_LETTER, "L"), (_NUMBER, "N")):
-        table[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] == name]] = kind
+        table[category == ord(name)] = kind
     table[_WHITE_SPACE] = _WHITE
     for text, kind in ((" ", _SPACE), ("'", _QUOTE), ("stmd", _STMD), ("r", _R), ("v", _V), ("l", _L), ("e", _E)):
         table[[ord(c) for c in text]] = kind
@@ -196,15 +197,17 @@ class Codec:
         self.names = [str(i).encode() for i in range(len(self.bytes_of))]
         self.cache: dict[str, tuple[int, ...]] = {}
         whole = range(len(self.bytes_of))
-        joins = sorted(
-            (self.ranks[a] << 32 | self.ranks[b], rank)
-            for token, rank in self.ranks.items()
-            for i in range(1, len(token))
-            if (a := token[:i]) in self.ranks and (b := token[i:]) in self.ranks
-        )
+        get = self.ranks.get
+        pairs, joined = [1 << 62], [_NEVER]
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None:
+                    pairs.append(a << 32 | b)
+                    joined.append(rank)
+        order = np.argsort(pairs)
         #: Pairs of ids that join, sorted, and what they join to; the last pair is larger than any.
-        self.pairs = np.array([k for k, _ in joins] + [1 << 62], dtype=np.int64)
-        self.joined = np.array([r for _, r in joins] + [_NEVER], dtype=np.int64)
+        self.pairs = np.array(pairs, dtype=np.int64)[order]
+        self.joined = np.array(joined, dtype=np.int64)[order]
         self.of_byte = np.array([self.ranks.get(bytes([b]), 0) for b in range(256)], dtype=np.int64)
         self.ints = list(whole)  # one object for each id that the cache holds
 
