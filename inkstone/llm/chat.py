@@ -102,19 +102,24 @@ def unescape_role(role: str, control: tuple[str, ...] = CONTROL) -> str:
 CHUNKS = "conv_id {id}, turn bigint, ids array<int>, loss array<boolean>"
 
 
-def assemble(c: bpe.Codec, roles: list[str], texts: list[str], control: tuple[str, ...] = CONTROL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and loss mask of each turn."""
-    start, end = len(c.bytes_of), len(c.bytes_of) + 1
-    segments = c.encode_batch([s for r, t in zip(roles, texts) for s in (escape_role(r, control) + "\n", escape(t, control))])
+def assemble(c: bpe.Codec, roles: list[str], texts: list[str], control: tuple[str, ...] = CONTROL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and loss mask of all turns, one after the other, and where each turn starts, with the end after them."""
+    start, end = [len(c.bytes_of)], [len(c.bytes_of) + 1]
+    # each distinct role is a segment that is encoded once
+    heads = list(dict.fromkeys(roles))
+    role_ids = dict(zip(heads, c.encode_batch([escape_role(r, control) + "\n" for r in heads])))
+    segments = c.encode_batch([escape(t, control) for t in texts])
     line_end = next(c.encode_batch(["\n"]))
-    for role in roles:
-        parts = [[start], next(segments), next(segments), [end], line_end]
-        bounds = np.cumsum([0, *map(len, parts)])
-        steps = np.zeros(bounds[-1] + 1, dtype=np.int32)
-        if role == "assistant":
-            steps[bounds[2]] += 1
-            steps[bounds[3]] -= 1
-        yield np.fromiter(chain.from_iterable(parts), np.int32, bounds[-1]), np.cumsum(steps[:-1]) > 0
+    parts = [p for role in roles for p in (start, role_ids[role], next(segments), end, line_end)]
+    bounds = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=bounds[1:])
+    ids = np.fromiter(chain.from_iterable(parts), np.int32, bounds[-1])
+    steps = np.zeros(len(ids) + 1, dtype=np.int32)
+    spoken = 5 * np.flatnonzero(np.fromiter((r == "assistant" for r in roles), bool, len(roles)))
+    # an empty text starts and ends at one place, where its steps cancel out
+    np.add.at(steps, bounds[spoken + 2], 1)
+    np.add.at(steps, bounds[spoken + 3], -1)
+    return ids, np.cumsum(steps[:-1]) > 0, bounds[::5]
 
 
 def _rows(turns: DataFrame) -> DataFrame:
@@ -128,33 +133,45 @@ def encode(turns: DataFrame, rank_path: str, control: tuple[str, ...] = CONTROL)
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks)
         for batch in batches:
-            done = list(assemble(c, as_text(batch.column(2)), as_text(batch.column(3)), control))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([i for i, _ in done], pa.list_(pa.int32())), pa.array([m for _, m in done], pa.list_(pa.bool_()))], schema=schema
-            )
+            ids, loss, bounds = assemble(c, as_text(batch.column(2)), as_text(batch.column(3)), control)
+            lists = [pa.array(np.split(x, bounds[1:-1]) if len(bounds) > 1 else [], f.type) for x, f in zip((ids, loss), list(schema)[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], schema=schema)
 
     return map_arrow(_rows(turns), run, CHUNKS.format(id=id_kind(turns, "conv_id")))
 
 
-def read_back(c: bpe.Codec, ids: np.ndarray, loss: np.ndarray, control: tuple[str, ...] = CONTROL) -> tuple[str, str, str, int]:
-    """Role, text and text under the loss mask of a turn, and the code points of its formatted form."""
+def read_back(c: bpe.Codec, ids: np.ndarray, loss: np.ndarray, bounds: np.ndarray, control: tuple[str, ...] = CONTROL) -> Iterator[tuple[str, str, str, int]]:
+    """Role, text and text under the loss mask of each turn, and the code points of its formatted form.
+
+    All ids are decoded at once, the marks to nothing; prefix sums of token lengths cut the bytes.
+    """
     start, end = len(c.bytes_of), len(c.bytes_of) + 1
     ends = np.flatnonzero(ids == end)
-    if ids[0] != start or len(ends) != 1:
-        raise ValueError("not a formatted turn")
-    stop = int(ends[0])
-    body = c.decode(ids[1:stop].tolist()).decode()
-    tail = c.decode(ids[stop + 1 :].tolist()).decode()
-    masked = unescape(c.decode(ids[loss].tolist()).decode(), control) if loss.any() else ""
-    role, _, text = body.partition("\n")
-    return unescape_role(role, control), unescape(text, control), masked, len(START) + len(body) + len(END) + len(tail)
-
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a list column as slices of one array."""
-    bounds = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    return [flat[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    low, high = bounds[:-1], bounds[1:]
+    marked = np.flatnonzero(ids == start)
+    if len(ends) != len(low) or len(marked) != len(low) or (marked != low).any() or (ends < low).any() or (ends >= high).any():
+        raise ValueError("not formatted turns")
+    lengths = np.append(c.lengths, [0, 0])
+    at = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(lengths[ids], out=at[1:])
+    blob = b"".join(map([*c.bytes_of, b"", b""].__getitem__, ids.tolist()))
+    # runs under the mask, none of which crosses from a turn to the next
+    edges = np.flatnonzero(np.diff(loss.astype(np.int8), prepend=0, append=0))
+    runs: dict[int, list[tuple[int, int]]] = {}
+    turn = np.searchsorted(bounds, edges[::2], side="right") - 1
+    for k, x, y in zip(turn.tolist(), at[edges[::2]].tolist(), at[edges[1::2]].tolist()):
+        runs.setdefault(k, []).append((x, y))
+    for k, (x, y, z) in enumerate(zip(at[low].tolist(), at[ends].tolist(), at[high].tolist())):
+        body, tail = blob[x:y].decode(), blob[y:z].decode()
+        masked = unescape(b"".join([blob[p:q] for p, q in runs[k]]).decode(), control) if k in runs else ""
+        role, _, text = body.partition("\n")
+        yield unescape_role(role, control), unescape(text, control), masked, len(START) + len(body) + len(END) + len(tail)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column as one array, and where each list starts."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 TURNS = "conv_id {id}, turn bigint, role string, text string, masked string, chars bigint"
@@ -173,7 +190,8 @@ def decode(chunks: DataFrame, rank_path: str, control: tuple[str, ...] = CONTROL
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks)
         for batch in batches:
-            yield _turns(batch, [read_back(c, i, m, control) for i, m in zip(_lists(batch.column(2)), _lists(batch.column(3)))], schema)
+            (ids, bounds), (loss, _) = _flat(batch.column(2)), _flat(batch.column(3))
+            yield _turns(batch, list(read_back(c, ids, loss, bounds, control)), schema)
 
     return map_arrow(chunks.select("conv_id", "turn", "ids", "loss"), run, TURNS.format(id=id_kind(chunks, "conv_id")))
 
@@ -185,8 +203,8 @@ def formatted(turns: DataFrame, rank_path: str, control: tuple[str, ...] = CONTR
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks)
         for batch in batches:
-            made = assemble(c, as_text(batch.column(2)), as_text(batch.column(3)), control)
-            yield _turns(batch, [read_back(c, ids, loss, control) for ids, loss in made], schema)
+            ids, loss, bounds = assemble(c, as_text(batch.column(2)), as_text(batch.column(3)), control)
+            yield _turns(batch, list(read_back(c, ids, loss, bounds, control)), schema)
 
     return map_arrow(_rows(turns), run, TURNS.format(id=id_kind(turns, "conv_id")))
 

@@ -129,5 +129,16 @@ def test_chat_digests(spark):
 def test_mask_covers_the_text_only():
     with open(PATH, "rb") as f:
         c = bpe.Codec(f.read())
-    (ids, loss), (_, none) = chat.assemble(c, ["assistant", "user"], ["hello there", "hello"])
-    assert c.decode(ids[np.array(loss)]).decode() == "hello there" and not none.any()
+    ids, loss, bounds = chat.assemble(c, ["assistant", "user", "assistant", "assistant"], ["hello there", "hello", "", "<s>"])
+    turns = [c.decode(ids[a:b][loss[a:b]]).decode() for a, b in zip(bounds, bounds[1:])]
+    assert turns == ["hello there", "", "", chat.escape("<s>")]
+    assert [t[:3] for t in chat.read_back(c, ids, loss, bounds)] == [("assistant", "hello there", "hello there"), ("user", "hello", ""), ("assistant", "", ""), ("assistant", "<s>", "<s>")]
+    with pytest.raises(ValueError):
+        list(chat.read_back(c, ids[:-3], loss[:-3], np.append(bounds[:-1], len(ids) - 3)))
+
+
+def test_no_turns_give_no_ids():
+    with open(PATH, "rb") as f:
+        c = bpe.Codec(f.read())
+    ids, loss, bounds = chat.assemble(c, [], [])
+    assert len(ids) == len(loss) == 0 and bounds.tolist() == [0] and list(chat.read_back(c, ids, loss, bounds)) == []
