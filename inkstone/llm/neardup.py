@@ -1,10 +1,13 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, for the pipeline's stage.
 
 Texts link if their shingle sets have a similarity of at least ``SIMILARITY``. Candidates come from
-MinHash bands: ``BANDS`` bands of ``ROWS`` minima, so a pair of similarity s meets in some band with the
-probability 1 - (1 - s^ROWS)^BANDS, 0.9994 at 0.8 and more above. Texts that meet in a band get into
-one candidate group through the band's least text, and each pair of a group is then compared by its
-whole shingle sets, so no pair below the similarity links.
+SimHash and the trie self-join of ``inkstone.llm.simhash``: a set has a fingerprint of ``WORDS`` words of
+64 bits, and a candidate pair differs in at most ``BUDGET`` bits, ``LEAD_BUDGET`` of them in the first word,
+whose trie is joined with itself. Sets of similarity 0.8 differ in some 15 per cent of their bits, so no
+choice of blocks would have to agree for certain; the trie joins run within groups that agree in some
+of many choices of bits instead, and ``choices`` takes enough of them for a pair of that similarity. What the joins
+connect is one candidate group, and each pair of a group is then compared by its whole shingle sets, so
+no pair below the similarity links.
 
 Texts of one shingle set are one leaf. A group is cut into some ``sqrt(leaves / 8)`` chunks and each
 pair of chunks is compared by a task of its own; tasks return a spanning forest of what they find.
@@ -13,6 +16,7 @@ Texts without words have one set, the empty one; a text of fewer words than a sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +27,24 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import as_bytes, durable, id_number, map_arrow, unused
 from inkstone.operators.graph import components
-from inkstone.llm.simhash import PLAIN_LOWER
+from inkstone.llm.simhash import BITS, GROUP_ROWS, PLAIN_LOWER, forest, join_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 32
-ROWS = 7
+WORDS = 4
+BUDGET = 72
+LEAD_BUDGET = 26
+#: Share of bits that differ between sets of equal size and the similarity: the angle of their vectors.
+DIFFER = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+MISSED = 0.00001
+EDGES = 1 << 20
+#: Sets of fewer shingles are equal or below the similarity.
+LEAST = math.ceil(SIMILARITY / (1 - SIMILARITY) - 1e-9)
 SEED = 42
 _LAST = 2**63 - 1
 _AT_ONCE = 1 << 12
-_KEYS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
+_KEYS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, dtype=np.uint64)
+_PRINT = [f"f{i}" for i in range(WORDS)]
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -48,14 +60,37 @@ def node_of(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED))))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The key of each band of a shingle set that is not empty."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+def fingerprint(found: np.ndarray) -> list[int]:
+    """The SimHash of a shingle set that is not empty, as signed numbers; where a bit is even, the first hash decides."""
+    sums = np.zeros(BITS * WORDS, dtype=np.int64)
+    first = None
     for i in range(0, len(found), _AT_ONCE):
-        least = np.minimum(least, ((found[i : i + _AT_ONCE] ^ _KEYS[0]) * _KEYS[1]).min(axis=1))
-    data = least.tobytes()
-    keys = [xxhash.xxh64_intdigest(data[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+        x = found[i : i + _AT_ONCE, None] ^ _KEYS
+        for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x ^= x >> np.uint64(33)
+            x *= np.uint64(times)
+        x ^= x >> np.uint64(33)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        first = bits[0].astype(np.int64) if first is None else first
+        for k in range(0, len(bits), 255):
+            sums += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(2 * sums + first > len(found), bitorder="little").view("<i8").tolist()
+
+
+def choices(n: int) -> np.ndarray:
+    """Bit choices, one a row, for n sets: so many bits that some 256 random prints agree in them, and so many choices that a pair agrees in one.
+
+    A bit stands in as many choices as any other, give or take one.
+    """
+    width = max(0, math.ceil(math.log2(max(n, 1) / 256)))
+    if not width:
+        return np.zeros((1, 0), dtype=np.int64)
+    number = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** width)))
+    bits = BITS * WORDS
+    rng = np.random.default_rng(SEED)
+    each = bits // width
+    dealt = [rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(math.ceil(number / each))]
+    return np.concatenate(dealt)[:number]
 
 
 def _key(docs: DataFrame) -> Column:
@@ -63,15 +98,41 @@ def _key(docs: DataFrame) -> Column:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``key, node, bands``: the shingle set of every row by its number, and its band keys."""
+    """``key, node, f0, f1, ...``: the shingle set of every row by its number, and its fingerprint; none for sets that only equal ones link with."""
 
     def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in as_bytes(batch.column(1))]
-            columns = [list(map(node_of, sets)), [bands(s) if len(s) else [] for s in sets]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+            found = [fingerprint(s) if len(s) >= LEAST else [None] * WORDS for s in sets]
+            columns = [list(map(node_of, sets)), *([f[k] for f in found] for k in range(WORDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+
+    return map_arrow(docs.select(_key(docs), "text"), run, "key bigint, node bigint, " + ", ".join(f"{f} bigint" for f in _PRINT))
+
 
-    return map_arrow(docs.select(_key(docs), "text"), run, "key bigint, node bigint, bands array<bigint>")
+def candidates(leaves: DataFrame, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Edges ``a, b`` between nodes of ``node, f0, f1, ...`` that connect what trie joins connect, in each group that agrees in a choice of bits."""
+    able = leaves.where(f"{_PRINT[0]} is not null").select("node", *_PRINT)
+    chosen = choices(able.count())
+
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(chosen.shape[1])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            keys = np.stack([bits[:, c] @ weights for c in chosen], axis=1).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * len(chosen), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists.cast(schema.field("keys").type)], schema=schema)
+
+    keyed = map_arrow(able, run, "node bigint, " + ", ".join(f"{f} bigint" for f in _PRINT) + ", keys array<bigint>")
+    rows = keyed.select("node", *_PRINT, F.posexplode("keys").alias("t", "key"))
+    # few groups are larger than group_rows, at most the choices times the leaves over group_rows
+    big = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("t", "key", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks"))
+    dealt = rows.join(F.broadcast(big), ["t", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("bigint")).cast("int")).withColumnRenamed(_PRINT[0], "fp")
+    return join_chunks(dealt, budget=LEAD_BUDGET, group_rows=group_rows, rest=tuple(_PRINT[1:]), whole=BUDGET)
 
 
 def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
@@ -99,11 +160,11 @@ def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILA
 
 
 def links(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between nodes of ``node, least, bands`` that connect what similarity connects."""
-    rows = leaves.select("node", F.posexplode("bands").alias("band", "bucket"))
-    met = durable(rows.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").selectExpr("band b", "bucket k", "first"))
-    near = rows.join(met, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    groups = durable(components(near.distinct()))
+    """Edges ``a, b`` between nodes of ``node, least, f0, f1, ...`` that connect what similarity connects."""
+    # several choices find the links of a group of near copies: a forest of them goes on
+    near = durable(candidates(leaves))
+    near = durable(forest(near.coalesce(math.ceil(max(1, near.count()) / EDGES))))
+    groups = durable(components(near))
     sized = durable(groups.groupBy("component").agg(F.count("*").alias("n")).selectExpr("component g", "cast(ceil(sqrt(n / 8)) as int) chunks"))
     dealt = groups.join(sized, F.col("component") == F.col("g")).select("g", "chunks", "node")
     wanted = durable(dealt.join(leaves.select(F.col("node").alias("leaf"), "least"), F.col("node") == F.col("leaf")).select("least", "leaf", "g", "chunks"))
@@ -155,7 +216,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     least hash stays.
     """
     rows = durable(prints(docs))
-    leaves = durable(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands")))
+    leaves = durable(rows.groupBy("node").agg(F.min("key").alias("least"), *(F.min(f).alias(f) for f in _PRINT)))
     found = components(durable(links(docs, leaves)))
     named = found.join(leaves.select(F.col("node").alias("leaf"), "least"), F.col("node") == F.col("leaf")).select("component", "leaf", "least")
     best = named.groupBy("component").agg(F.min("least").alias("best")).withColumnRenamed("component", "c")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from inkstone.llm import neardup
 
@@ -50,3 +52,45 @@ def test_large_group_null_and_repeated_ids(spark):
     kept = [r.doc_id for r in neardup.deduplicate(docs).collect()]
     assert sorted(i for i in kept if i is not None and i < 5000) == want
     assert kept.count(None) == 2 and 5000 not in kept
+
+
+def test_links_come_from_the_trie_join(spark, monkeypatch):
+    rng = random.Random(9)
+    text = [rng.choice(WORDS) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join([*text[: 50 * i], "changed", *text[50 * i + 1 :]])) for i in range(4)], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+    monkeypatch.setattr(neardup, "join_chunks", lambda dealt, **_: dealt.selectExpr("node a", "node b").limit(0))
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 4
+
+
+def test_candidates_against_all_pairs(spark):
+    rng = random.Random(10)
+    rows = []
+    for copies in [150, 20, *[2] * 120]:
+        text = [rng.choice(WORDS) for _ in range(rng.choice([12, 60, 300]))]
+        rows += [" ".join(edited(text, rng, rng.choice([0.01, 0.03, 0.06]))) for _ in range(copies)]
+    docs = spark.createDataFrame([*enumerate(rows), (9000, "a short one"), (9001, "")], "doc_id bigint, text string")
+    leaves = neardup.prints(docs).drop("key").distinct().cache()
+    found = [(r[0], np.array(r[1:], dtype=np.int64).view(np.uint64)) for r in leaves.collect() if r[1] is not None]
+    assert len(found) < leaves.count()  # short sets have no print
+    chosen = neardup.choices(len(found))
+    bits = np.stack([np.unpackbits(p.view(np.uint8), bitorder="little") for _, p in found])
+    assert chosen.shape[1] > 0
+    want = {node: node for node, _ in found}
+
+    def join(label, a, b):
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        return {k: new if v == old else v for k, v in label.items()} if old != new else label
+
+    got = dict(want)
+    for i, (node, print_) in enumerate(found):
+        differ = bits[i] != bits
+        near = (differ.sum(axis=1) <= neardup.BUDGET) & (differ[:, :64].sum(axis=1) <= neardup.LEAD_BUDGET)
+        for j in np.flatnonzero(near & ~differ[:, chosen].any(axis=2).all(axis=1)):
+            want = join(want, node, found[j][0])
+    for group_rows in (40, 30_000):
+        label = got
+        for a, b in neardup.candidates(leaves, group_rows=group_rows).collect():
+            label = join(label, a, b)
+        assert label == want
+    assert 1 < len(set(want.values())) < len(found) - 200
