@@ -46,7 +46,7 @@ def b4(spark, sf):
 
 @query("b5_any_pattern", "select seq, regexp_matches(original, '(?i)\\band\\b|\\bder\\b|\\bles\\b') as formulaic from corpus", "corpus")
 def b5(spark, sf):
-    return _corpus(spark, sf).select("seq", F.col("original").rlike("(?i)\\band\\b|\\bder\\b|\\bles\\b").alias("formulaic"))
+    return _corpus(spark, sf).select("seq", T.matches(F.col("original"), "(?i)\\band\\b|\\bder\\b|\\bles\\b").alias("formulaic"))
 
 
 @query("b6_first_pattern_label", f"select seq, {_FIRST} as label from corpus", "corpus")
