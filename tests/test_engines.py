@@ -24,6 +24,6 @@ BESIDE = ["", " ", "é", "ß", "한", "ſ", "́", " ", "x", "1", "_", "𠀀", "
 ODD_WORDS = [a + w + b for w in WORDS for a in BESIDE for b in BESIDE] + ["lesé der", "and les licenſe", None, "", "land", "éclesé\nand"]
 
 
-@pytest.mark.parametrize("name", ["b5_any_pattern", "b6_first_pattern_label", "b7_all_matching_phrases", "b9_stratum_key"])
+@pytest.mark.parametrize("name", ["b5_any_pattern", "b6_first_pattern_label", "b7_all_matching_phrases", "b9_stratum_key", "l36_guide_block"])
 def test_words_are_of_ascii(spark, tmp_path, name):
     check(spark, tmp_path, name, ODD_WORDS)
